@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The analyses here are closed cohorts read as batch tables, so nothing needs
+watermarks or state.  The row-level functions of ``operators.visits``
+(completion, response and outcome flags) use no aggregate or window and
+can be applied to a streaming DataFrame as they are.
+"""
