@@ -9,7 +9,6 @@ from pairwave.functions.distributions import NORMAL_975
 from pairwave.operators.cox import (
     ZPH_SCHEMA, fit_cox, proportional_hazards_test, survival_frame)
 from pairwave.operators.design import Fit, Model, Term, factor, levels_of, numeric, term_table
-from pairwave.operators.dyads import role_view
 from pairwave.operators.glm import Z, fit_glms, model_patterns
 from pairwave.sources.reports import literal_table
 
@@ -49,6 +48,13 @@ def fit_partner_glms(roles: DataFrame, family: str = "binomial", robust: bool =
     return fit_glms(patterns, "dm_incident", models, family, robust)
 
 
+def fit_crude_rr(roles: DataFrame) -> list[Fit]:
+    """Risk ratio by partner status alone, robust variance, per role."""
+    models = [Model("Crude", (PARTNER,), role) for role in ROLES]
+    patterns = model_patterns(model_frame(roles), "dm_incident", models)
+    return fit_glms(patterns, "dm_incident", models, "poisson", robust=True)
+
+
 def partner_counts(roles: DataFrame, with_time: bool = False) -> dict:
     rows = model_frame(roles, with_time).groupBy("role", "partner_baseline_dm").count().collect()
     return {(r["role"], int(r["partner_baseline_dm"])): r["count"] for r in rows}
@@ -194,7 +200,3 @@ def fit_partner_cox(roles: DataFrame) -> list[Fit]:
                            ("partner_baseline_dm", "age", *MODEL_2))
     levels = levels_of(frame.rows, MODEL_2)
     return fit_cox(frame, nested_models(levels, {role: () for role in ROLES}))
-
-
-def dyad_roles(dyads: DataFrame) -> DataFrame:
-    return role_view(dyads)

@@ -38,7 +38,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        if context.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="pairwave-checkpoint-")
     if context.getCheckpointDir() is None:
@@ -54,3 +54,4 @@ def pin(frame: DataFrame) -> DataFrame:
     """
     checkpoint_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
