@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracle import compose
+from oracle.models import clustered_tables, cox_tables, glm_tables, padded
 from oracle.tables import MEMBER_COLUMNS, WAVE_VALUES, WIDE_VALUES, members_wide
 
 BINARY = ("smk_overall", "alc_overall", "famhx_htn", "famhx_dm", "famhx_cvd", "chd", "cva", "ckd",
@@ -299,3 +300,204 @@ STATEMENTS: dict[str, str] = {
 }
 
 ORACLES = {name: compose(statement, DESCRIBE_TABLES) for name, statement in STATEMENTS.items()}
+
+
+# -- models ------------------------------------------------------------------
+
+def _factor(column: str, levels) -> list[tuple[str, str]]:
+    return [(f"{column}{level}", f"coalesce({column} = {level!r}, false)") for level in levels]
+
+
+AGE = [("partner_dm_statusDiabetes", "partner_baseline_dm = 1"), ("age", "age")]
+FIRST = AGE + _factor("edu_category", (2, 3)) + _factor("famhx_dm", (1,))
+SECOND = FIRST + _factor("morbidity_category", (1,)) + _factor("bmi_category", (1, 2))
+MEN = SECOND + _factor("alc_overall", (2,))
+FIRST_KNOWN, SECOND_KNOWN = ["edu_category", "famhx_dm"], ["edu_category", "famhx_dm", "morbidity_category", "bmi_category"]
+# (role, model, terms that can be estimated, all terms, columns that must be known)
+NESTED = [
+    ("Women", "Age adjusted", AGE, AGE, []), ("Women", "Model 1", FIRST, FIRST, FIRST_KNOWN),
+    ("Women", "Model 2", SECOND, SECOND, SECOND_KNOWN),
+    ("Men", "Age adjusted", AGE, AGE, []), ("Men", "Model 1", FIRST, FIRST, FIRST_KNOWN),
+    # Smoking is the complement of the drinking level among these men.
+    ("Men", "Model 2", MEN, MEN + _factor("smk_overall", (1,)), SECOND_KNOWN + ["alc_overall", "smk_overall"])]
+CRUDE = [(role, "Crude", AGE[:1], AGE[:1], []) for role in ("Women", "Men")]
+GLM_FRAME = "baseline_dm = 0 AND partner_baseline_dm IS NOT NULL AND dm_incident IS NOT NULL"
+
+
+def _known(columns) -> str:
+    return "".join(f" AND {c} IS NOT NULL" for c in columns)
+
+
+def _glm_data(models) -> tuple[str, int]:
+    size = 1 + max(len(m[2]) for m in models)
+    return _stack(
+        f"SELECT '{role}/{name}' AS model, CAST(dm_incident AS DOUBLE) AS y, "
+        f"{padded(['1.0', *(e for _, e in terms)], size)} AS x FROM role_t "
+        f"WHERE role = '{role}' AND {GLM_FRAME}{_known(known)}" for role, name, terms, _, known in models), size
+
+
+def _cox_data(models, source: str, frame: str, time: str = "time_to_dm") -> tuple[str, int]:
+    size = max(len(m[2]) for m in models)
+    return _stack(
+        f"SELECT '{role}/{name}' AS model, hhid AS id, {time} AS t, dm_incident AS e, {padded([e for _, e in terms], size)} AS x "
+        f"FROM {source} WHERE role = '{role}' AND {frame} AND dm_incident IS NOT NULL AND {time} IS NOT NULL{_known(known)}"
+        for role, name, terms, _, known in models), size
+
+
+def _term_list(models, offset: int) -> str:
+    """(model, role, name, position, term, place); place is null where not estimable."""
+    rows = []
+    for role, name, terms, every, _ in models:
+        places = {t: k + 1 + offset for k, (t, _) in enumerate(terms)}
+        rows += [f"('{role}/{name}', '{role}', '{name}', {k}, '{t}', {places.get(t, 'NULL')})" for k, (t, _) in enumerate(every)]
+    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") v(model, sex, name, position, term, place)"
+
+
+def _model_terms(prefix: str, z: float, frame: str, source: str, robust: bool = False) -> str:
+    error = "sqrt(q.var)" if robust else "sqrt(f.inv[t.place][t.place])"
+    joined = f"LEFT JOIN {prefix}_robust_t q ON q.model = t.model AND q.k = t.place" if robust else ""
+    return f"""
+SELECT sex, name AS model, CAST(position AS INT) AS position, term, {r('b', 'estimate')}, {r('se', 'std_error')},
+       {r('exp(b)', 'ratio')}, {r(f'exp(b - {z} * se)', 'conf_low')}, {r(f'exp(b + {z} * se)', 'conf_high')},
+       {r(erfc('(b / se / sqrt(2))').replace('abs((b / se / sqrt(2)))', 'abs(b / se / sqrt(2))'), 'p_value')},
+       n_frame, n_model, events
+FROM (SELECT t.*, f.b[t.place] AS b, {error} AS se, s.n_model,
+             (SELECT count(*) FROM {source} WHERE role = t.sex AND {frame}) AS n_frame,
+             (SELECT count(*) FROM {source} WHERE role = t.sex AND {frame} AND dm_incident = 1) AS events
+      FROM {prefix}_term_t t JOIN {prefix}_end_t f ON f.model = t.model {joined}
+      JOIN (SELECT model, count(*) AS n_model FROM {prefix}_data_t GROUP BY model) s ON s.model = t.model) w"""
+
+
+def _ratios(prefix: str, measure: str, names, frame: str, robust: bool = False) -> str:
+    """Printed table of partner ratios: a reference row and an estimate row per role."""
+    error = "sqrt(q.var)" if robust else "sqrt(f.inv[2][2])"
+    joined = f"JOIN {prefix}_robust_t q ON q.model = f.model AND q.k = 2" if robust else ""
+    estimate = fixed("exp(b)", 2) + " || ' (' || " + fixed("exp(b - 1.96 * se)", 2) + " || ' - ' || " + fixed("exp(b + 1.96 * se)", 2) + " || ')'"
+    columns = ", ".join(
+        f"CASE k WHEN 0 THEN '1.00' ELSE (SELECT {estimate} FROM (SELECT f.b[2] AS b, {error} AS se FROM {prefix}_end_t f {joined} "
+        f"WHERE f.model = g.role || '/{n}') e) END AS \"{n}{'' if n.startswith('Age') else ' adjusted'} {measure} (95% CI)\"" for n in names)
+    return f"""
+SELECT CAST(CASE role WHEN 'Women' THEN 0 ELSE 2 END + k AS INT) AS position,
+       role || ' without diabetes at baseline (n=' || total || ')' AS "Individual's status at baseline",
+       CASE k WHEN 0 THEN 'No diabetes' ELSE 'Diabetes' END || ' (n=' || n || ')'
+         AS "Individuals with following partner's status at baseline", {columns}
+FROM (SELECT role, partner_baseline_dm AS k, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY role) AS BIGINT) AS total
+      FROM role_t WHERE {frame} GROUP BY role, partner_baseline_dm) g"""
+
+
+SPOUSE = [("partner_baseline_dm", "partner_baseline_dm")]
+
+
+def _plain(columns) -> list[tuple[str, str]]:
+    return [(c, c) for c in columns]
+
+
+def _cox_models():
+    models = []
+    for role, label in (("Women", "Female"), ("Men", "Male")):
+        for name, columns in (("spouse status", []), ("spouse status + age", ["age"]),
+                              ("spouse status + Model 1", ["age", "edu_category", "famhx_dm"]),
+                              ("spouse status + Model 2", ["age", "edu_category", "famhx_dm", "morbidity_category", "bmi_category"])):
+            used, every = list(columns), list(columns)
+            if role == "Men" and name.endswith("Model 2"):
+                used, every = [*columns, "smk_overall"], [*columns, "smk_overall", "alc_overall"]
+            models.append((role, f"{label}: {name}", SPOUSE + _plain(used), SPOUSE + _plain(every), ["partner_baseline_dm", *every]))
+    return models
+
+
+COX_FRAME = "baseline_dm = 0 AND dyad_at_risk = 1 AND time_to_dm IS NOT NULL AND dm_incident IS NOT NULL"
+WAVE_FRAME = GLM_FRAME + " AND time_to_dm >= 0"
+WAVE_ROLES = _stack(f"""
+SELECT '{role}' AS role, w.hhid, w.carrs, w.{own}_pid AS pid, {own}_baseline_dm AS baseline_dm,
+       {partner}_baseline_dm AS partner_baseline_dm, {own}_age AS age, {own}_edu_category AS edu_category,
+       {own}_famhx_dm AS famhx_dm, {own}_morbidity_category AS morbidity_category, {own}_bmi_category AS bmi_category,
+       e.dm_incident, e.time_to_dm
+FROM wave_t w LEFT JOIN model_event_t e ON e.carrs = w.carrs AND e.pid = w.{own}_pid WHERE w.fup = 0"""
+                    for role, own, partner in (("Women", "female", "male"), ("Men", "male", "female")))
+TEXT_SECOND = FIRST + _factor("morbidity_category", ("None", "Single morbidity")) + _factor(
+    "bmi_category", ("Overweight", "Underweight or normal weight"))
+WAVE_MODELS = [(role, name, terms, terms, known) for role in ("Women", "Men") for name, terms, known in (
+    ("Age adjusted", AGE, []), ("Model 1", FIRST, FIRST_KNOWN), ("Model 2", TEXT_SECOND, SECOND_KNOWN))]
+
+CLUSTER_FRAME = """
+SELECT e.hhid, e.dm_incident, e.time_to_dm, b.sex, b.age, b.bmi AS bmi_baseline, b.edu_category, b.employ_category,
+       b.hhincome, b.site, b.carrs, b.famhx_dm
+FROM model_event_t e LEFT JOIN (SELECT * FROM model_annotated_t WHERE fup = 0) b
+  ON e.carrs = b.carrs AND e.pid = b.pid AND e.hhid = b.hhid
+WHERE b.baseline_dm = 0 AND e.time_to_dm >= 0 AND e.dm_incident IS NOT NULL"""
+CLUSTER_ALL = (_factor("sex", ("male",)) + _plain(["age", "bmi_baseline"]) + _factor("edu_category", (2, 3))
+               + _factor("employ_category", (2, 3, 4, 5)) + _factor("hhincome", (2, 3, 4)) + _factor("site", (2, 3))
+               + _factor("carrs", (2,)) + _factor("famhx_dm", (1,)))
+# Body mass is missing for one employment code, and household income fixes the study.
+CLUSTER_USED = [t for t in CLUSTER_ALL if t[0] not in ("employ_category5", "carrs2")]
+_CLUSTER_TESTS = [
+    ("sex", [1]), ("age", [2]), ("bmi_baseline", [3]), ("edu_category", [4, 5]), ("employ_category", [6, 7, 8]),
+    ("hhincome", [9, 10, 11]), ("site", [12, 13]), ("famhx_dm", [14]), ("GLOBAL", list(range(1, 15)))]
+NORMAL_975 = 1.959963984540054
+
+
+def _model_tables() -> dict[str, str]:
+    tables = {"wave_role_t": WAVE_ROLES, "cluster_frame_t": CLUSTER_FRAME}
+    for prefix, models, family in (("logit", NESTED, "binomial"), ("pois", NESTED, "poisson"), ("crude", CRUDE, "poisson")):
+        data, size = _glm_data(models)
+        tables |= glm_tables(prefix, data, size, family) | {f"{prefix}_term_t": _term_list(models, 1)}
+    for prefix, models, source, frame in (("cox", _cox_models(), "role_t", COX_FRAME),
+                                          ("wavecox", WAVE_MODELS, "wave_role_t", WAVE_FRAME)):
+        data, size = _cox_data(models, source, frame)
+        tables |= cox_tables(prefix, data, size) | {f"{prefix}_term_t": _term_list(models, 0)}
+    known = _known(c for c in ("age", "bmi_baseline", "sex", "edu_category", "employ_category", "hhincome", "site",
+                               "carrs", "famhx_dm"))
+    size = len(CLUSTER_USED)
+    tables |= cox_tables("clus", f"SELECT 1 AS model, hhid AS id, time_to_dm AS t, dm_incident AS e, "
+                         f"{padded([e for _, e in CLUSTER_USED], size)} AS x FROM cluster_frame_t WHERE true{known}", size)
+    tables |= clustered_tables("clus", size)
+    tables["clus_test_t"] = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {c})" for n, c in _CLUSTER_TESTS) + ") v(name, cols)"
+    places = {t: k + 1 for k, (t, _) in enumerate(CLUSTER_USED)}
+    tables["clus_term_t"] = "SELECT * FROM (VALUES " + ", ".join(
+        f"({k}, '{t}', {places.get(t, 'NULL')})" for k, (t, _) in enumerate(CLUSTER_ALL)) + ") v(position, term, place)"
+    tables["clus_hr_t"] = """
+SELECT position, term, f.b[t.place] AS b, sqrt(q.var) AS se FROM clus_term_t t, clus_end_t f
+LEFT JOIN clus_robust_t q ON q.k = t.place"""
+    return tables
+
+
+_P = erfc("(b / se / sqrt(2))")
+_HAZARDS = f"""CAST(position AS INT) AS position, term, {r('exp(b)', 'hazard_ratio')},
+    {r(f'exp(b - {NORMAL_975} * se)', 'conf_low_95')}, {r(f'exp(b + {NORMAL_975} * se)', 'conf_high_95')}, {r(_P, 'p_value')}"""
+MODEL_STATEMENTS = {
+    "logit_crude": f"""
+SELECT 'dm_biomarker0_wife (1 vs 0)' AS term, {r('b', 'estimate_log_odds')}, {r('exp(b)', 'odds_ratio')},
+       {r('exp(b - 1.96 * se)', 'conf_low_95')}, {r('exp(b + 1.96 * se)', 'conf_high_95')}, {r(_P, 'p_value')}
+FROM (SELECT ln(n00 * n11 / (n01 * n10)) AS b, sqrt(1 / n00 + 1 / n01 + 1 / n10 + 1 / n11) AS se FROM (
+  SELECT CAST(count(*) FILTER (dm_biomarker0_wife = 0 AND dm_biomarker0_husb = 0) AS DOUBLE) AS n00,
+         CAST(count(*) FILTER (dm_biomarker0_wife = 0 AND dm_biomarker0_husb = 1) AS DOUBLE) AS n01,
+         CAST(count(*) FILTER (dm_biomarker0_wife = 1 AND dm_biomarker0_husb = 0) AS DOUBLE) AS n10,
+         CAST(count(*) FILTER (dm_biomarker0_wife = 1 AND dm_biomarker0_husb = 1) AS DOUBLE) AS n11 FROM dyad_t) c) e""",
+    "logit_adjusted": _model_terms("logit", 1.96, GLM_FRAME, "role_t"),
+    "logit_estimates": "SELECT sex, model, ratio, conf_low AS low, conf_high AS high, n_frame, n_model FROM ("
+                       + _model_terms("logit", 1.96, GLM_FRAME, "role_t") + ") m WHERE position = 0",
+    "logit_report": _ratios("logit", "OR", ("Age adjusted", "Model 1", "Model 2"), GLM_FRAME),
+    "poisson_rr_crude": f"""
+SELECT sex, 'Crude' AS model, 0 AS position, 'partner_dm_statusDiabetes' AS term, {r('b', 'estimate')}, {r('se', 'std_error')},
+       {r('exp(b)', 'ratio')}, {r('exp(b - 1.96 * se)', 'conf_low')}, {r('exp(b + 1.96 * se)', 'conf_high')}, {r(_P, 'p_value')},
+       n AS n_frame, n AS n_model, CAST(e AS BIGINT) AS events
+FROM (SELECT role AS sex, count(*) AS n, sum(dm_incident) AS e,
+             ln(avg(dm_incident) FILTER (partner_baseline_dm = 1) / avg(dm_incident) FILTER (partner_baseline_dm = 0)) AS b,
+             sqrt((1 - avg(dm_incident) FILTER (partner_baseline_dm = 1)) / sum(dm_incident) FILTER (partner_baseline_dm = 1)
+                + (1 - avg(dm_incident) FILTER (partner_baseline_dm = 0)) / sum(dm_incident) FILTER (partner_baseline_dm = 0)) AS se
+      FROM role_t WHERE {GLM_FRAME} GROUP BY role) c""",
+    "poisson_rr_adjusted": _model_terms("pois", 1.96, GLM_FRAME, "role_t", robust=True),
+    "poisson_report": _ratios("pois", "RR", ("Age adjusted", "Model 1", "Model 2"), GLM_FRAME, robust=True),
+    "cox_adjusted": _model_terms("cox", NORMAL_975, COX_FRAME, "role_t"),
+    "cox_spouse": """
+SELECT CAST(CASE sex WHEN 'Women' THEN 0 ELSE 4 END + CASE WHEN model LIKE '%age' THEN 1 WHEN model LIKE '%Model 1' THEN 2
+            WHEN model LIKE '%Model 2' THEN 3 ELSE 0 END AS INT) AS position, model, n_frame AS n, n_model, events,
+       ratio AS hr_spouse, conf_low AS hr_lcl, conf_high AS hr_ucl, p_value
+FROM (""" + _model_terms("cox", NORMAL_975, COX_FRAME, "role_t") + ") m WHERE term = 'partner_baseline_dm'",
+    "cox_factor": _model_terms("wavecox", NORMAL_975, WAVE_FRAME, "wave_role_t"),
+    "cox_cluster": f"SELECT {_HAZARDS} FROM clus_hr_t",
+    "hr_table": f"SELECT {_HAZARDS} FROM (SELECT *, row_number() OVER (ORDER BY b NULLS LAST) AS place FROM clus_hr_t) h WHERE place > 2",
+    "ph_test": f"SELECT name AS term, {r('chisq')}, CAST(df AS INT) AS df, {r(chi_square_tail('chisq', 'df', 14), 'p_value')} FROM clus_zph_t",
+}
+MODEL_TABLES = _model_tables()
+ORACLES |= {name: compose(statement, MODEL_TABLES) for name, statement in MODEL_STATEMENTS.items()}
