@@ -69,7 +69,7 @@ def glm_tables(prefix: str, data: str, size: int, family: str, steps: int = 14)
     }
 
 
-def cox_tables(prefix: str, data: str, size: int, steps: int = 10) -> dict[str, str]:
+def cox_tables(prefix: str, data: str, size: int, steps: int = 8) -> dict[str, str]:
     """``data`` gives (model, id, t, e, x); Efron ties."""
     wide = size + 1
     tied = (f"SELECT model, step, any_value(b) AS b, t, d, l, list(s - l / d * en ORDER BY i, j) AS m FROM ("

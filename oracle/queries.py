@@ -174,7 +174,76 @@ FROM (SELECT *, {_MASS} AS mass FROM (
         SELECT *, (low + high) / 2 AS mid, atan((low + high) / 2 / sqrt(df)) AS a FROM tsearch_t WHERE step < 70) m) s"""
 T_CRIT = "SELECT df, (low + high) / 2 AS t FROM tsearch_t WHERE step = 70"
 
+def _pair(k: int, v: str) -> str:
+    return (f"SELECT {k} AS position, '{v}' AS variable, CAST({v}_husb AS INT) AS m, CAST({v}_wife AS INT) AS f FROM dyad_t "
+            f"WHERE {v}_husb IS NOT NULL AND {v}_wife IS NOT NULL")
+
+
+# Exact test: weights over the support, then bisection on the log odds ratio
+# for the estimate and both limits.
+FISHER_CELLS = """
+SELECT position, variable, CASE WHEN two THEN n00 END AS n00, CASE WHEN two THEN n01 END AS n01,
+       CASE WHEN two THEN n10 END AS n10, CASE WHEN two THEN n11 END AS n11
+FROM (SELECT position, variable, count(DISTINCT m) = 2 AND count(DISTINCT f) = 2 AS two,
+             count(*) FILTER (m = m0 AND f = f0) AS n00, count(*) FILTER (m = m0 AND f = f1) AS n01,
+             count(*) FILTER (m = m1 AND f = f0) AS n10, count(*) FILTER (m = m1 AND f = f1) AS n11
+      FROM (SELECT *, min(m) OVER w AS m0, max(m) OVER w AS m1, min(f) OVER w AS f0, max(f) OVER w AS f1
+            FROM fpair_t WINDOW w AS (PARTITION BY variable)) a GROUP BY position, variable) b"""
+FISHER_SUPPORT = """
+SELECT variable, n00 AS x, lo, hi, j, lgamma(col + 1) - lgamma(j + 1) - lgamma(col - j + 1)
+         + lgamma(oth + 1) - lgamma(tot - j + 1) - lgamma(oth - tot + j + 1) AS w
+FROM (SELECT variable, n00, col, oth, tot, lo, hi, unnest(range(lo, hi + 1)) AS j FROM (
+  SELECT variable, n00, n00 + n10 AS col, n01 + n11 AS oth, n00 + n01 AS tot,
+         greatest(0, n00 + n01 - n01 - n11) AS lo, least(n00 + n01, n00 + n10) AS hi FROM fcell_t WHERE n00 IS NOT NULL) c) s"""
+FISHER_SEARCH = """
+SELECT variable, kind, 0 AS step, -30.0::DOUBLE AS low, 30.0::DOUBLE AS high
+FROM (SELECT DISTINCT variable FROM fsupport_t) v, (VALUES ('mean'), ('lower'), ('upper')) k(kind)
+UNION ALL
+SELECT variable, kind, step + 1, CASE WHEN above THEN low ELSE mid END, CASE WHEN above THEN mid ELSE high END
+FROM (SELECT variable, kind, step, low, high, mid, CASE kind WHEN 'mean' THEN sum(q * j) / sum(q) > max(x)
+               WHEN 'lower' THEN sum(CASE WHEN j >= x THEN q ELSE 0 END) / sum(q) > 0.025
+               ELSE sum(CASE WHEN j <= x THEN q ELSE 0 END) / sum(q) < 0.025 END AS above
+      FROM (SELECT s.*, f.kind, f.step, f.low, f.high, (f.low + f.high) / 2 AS mid,
+                   exp(s.w + s.j * (f.low + f.high) / 2 - max(s.w + s.j * (f.low + f.high) / 2) OVER (PARTITION BY s.variable, f.kind)) AS q
+            FROM fsearch_t f JOIN fsupport_t s ON f.variable = s.variable WHERE f.step < 60) a
+      GROUP BY variable, kind, step, low, high, mid) b"""
+FISHER = """
+SELECT c.*, CASE WHEN e.x = e.lo THEN 0 ELSE exp(e.mean) END AS odds_ratio, CASE WHEN e.x = e.lo THEN 0 ELSE exp(e.lower) END AS conf_low,
+       exp(e.upper) AS conf_high, p.p AS p_value
+FROM fcell_t c LEFT JOIN (
+  SELECT f.variable, any_value(s.x) AS x, any_value(s.lo) AS lo, max((low + high) / 2) FILTER (kind = 'mean') AS mean,
+         max((low + high) / 2) FILTER (kind = 'lower') AS lower, max((low + high) / 2) FILTER (kind = 'upper') AS upper
+  FROM fsearch_t f JOIN (SELECT DISTINCT variable, x, lo FROM fsupport_t) s ON f.variable = s.variable
+  WHERE step = 60 GROUP BY f.variable) e ON e.variable = c.variable
+LEFT JOIN (SELECT variable, least(sum(CASE WHEN q <= qx * (1 + 1e-7) THEN q ELSE 0 END) / sum(q), 1) AS p
+           FROM (SELECT *, max(CASE WHEN j = x THEN q END) OVER (PARTITION BY variable) AS qx
+                 FROM (SELECT *, exp(w - max(w) OVER (PARTITION BY variable)) AS q FROM fsupport_t) a) b GROUP BY variable) p
+  ON p.variable = c.variable"""
+_MISSING = {role: fixed(f"missing_{role}", 1) + f" || '%' AS missing_{role}" for role in ("female", "male")}
+TABLE_ONE = f"""
+SELECT 1 AS section, position, 0::BIGINT AS line, variable, CAST(NULL AS VARCHAR) AS level,
+       {fixed('mean_female', 1)} || ' (' || {fixed('sd_female', 1)} || ')' AS female,
+       {fixed('mean_male', 1)} || ' (' || {fixed('sd_male', 1)} || ')' AS male, {fixed('correlation', 3)} AS compare,
+       {_MISSING['female']}, {_MISSING['male']} FROM contsum_t
+UNION ALL
+SELECT 2, b.position, 0, b.variable, NULL, n_female || ' (' || {fixed('pct_female', 1)} || '%)',
+       n_male || ' (' || {fixed('pct_male', 1)} || '%)',
+       CASE WHEN odds_ratio IS NULL THEN 'NA' ELSE {fixed('odds_ratio', 2)} || ' (' || {fixed('conf_low', 2)} || ', ' || {fixed('conf_high', 2)} || ')' END,
+       {_MISSING['female']}, {_MISSING['male']}
+FROM binsum_t b LEFT JOIN fisher_t f ON f.variable = b.variable
+UNION ALL
+SELECT 3, list_position({list(CATEGORICAL)}, s.variable) - 1, line, CASE line WHEN 0 THEN s.variable ELSE '' END, CAST(level AS VARCHAR),
+       {fixed('pct_female', 1)} || '%', {fixed('pct_male', 1)} || '%',
+       CASE WHEN line > 0 THEN '' WHEN p < 0.001 THEN '< 0.001' ELSE {fixed('p', 3)} END,
+       CASE line WHEN 0 THEN {fixed('missing_female', 1)} || '%' ELSE '' END, CASE line WHEN 0 THEN {fixed('missing_male', 1)} || '%' ELSE '' END
+FROM (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY level) - 1 AS line FROM share_t) s
+JOIN (SELECT variable, {chi_square_tail('statistic', 'df')} AS p FROM chi_t) c ON c.variable = s.variable"""
+
 DESCRIBE_TABLES = {
+    "contsum_t": _stack(_continuous(k, v) for k, v in enumerate(CONTINUOUS)),
+    "binsum_t": _stack(_binary(k, v) for k, v in enumerate(BINARY)),
+    "fpair_t": _stack(_pair(k, v) for k, v in enumerate(BINARY)), "fcell_t": FISHER_CELLS, "fsupport_t": FISHER_SUPPORT,
+    "fsearch_t": FISHER_SEARCH, "fisher_t": FISHER,
     "stacked_t": STACKED, "level_t": LEVELS, "share_t": SHARES, "chi_t": CHI, "risk_t": RISK,
     "means_t": MEANS, "ratios_t": RATIOS, "tneeded_t": T_NEEDED, "tsearch_t": T_SEARCH, "tcrit_t": T_CRIT,
     "cells_t": """
@@ -285,10 +354,10 @@ STATEMENTS: dict[str, str] = {
           AND m.partner_baseline_dm IS NOT DISTINCT FROM q.partner_baseline_dm""",
     "continuous_summary": "SELECT position, variable, " + ", ".join(r(c) for c in (
         "mean_female", "sd_female", "missing_female", "mean_male", "sd_male", "missing_male", "correlation"))
-        + " FROM (" + _stack(_continuous(k, v) for k, v in enumerate(CONTINUOUS)) + ") s",
+        + " FROM contsum_t",
     "binary_summary": "SELECT position, variable, n_female, known_female, n_male, known_male, " + ", ".join(r(c) for c in (
         "pct_female", "missing_female", "pct_male", "missing_male"))
-        + " FROM (" + _stack(_binary(k, v) for k, v in enumerate(BINARY)) + ") s",
+        + " FROM binsum_t",
     "level_shares": f"""SELECT variable, level, n_female, n_male, {r('pct_female')}, {r('missing_female')}, {r('pct_male')},
         {r('missing_male')} FROM share_t""",
     "contingency": """SELECT educcat_wife, educcat_husb, count(*) AS n FROM dyad_t
@@ -296,6 +365,10 @@ STATEMENTS: dict[str, str] = {
     "concordance_cells": f"SELECT {_PAIRS} FROM celltext_t",
     "concordance_display": """SELECT Women_Status, max(cell_text) FILTER (Men_Status = 'No diabetes') AS "No diabetes",
         max(cell_text) FILTER (Men_Status = 'Diabetes') AS "Diabetes" FROM celltext_t GROUP BY Women_Status""",
+    "fisher_by_variable": "SELECT position, variable, n00, n01, n10, n11, " + ", ".join(
+        r(c) for c in ("odds_ratio", "conf_low", "conf_high", "p_value")) + " FROM fisher_t",
+    "table_one": f"SELECT section, CAST(position AS INT) AS position, line, variable, level, female, male, compare, "
+                 f"missing_female, missing_male FROM ({TABLE_ONE}) t",
     "chi_square": f"SELECT variable, {r('statistic')}, df, {r(chi_square_tail('statistic', 'df'), 'p_value')} FROM chi_t",
 }
 
