@@ -290,6 +290,12 @@ STATEMENTS: dict[str, str] = {
         morbidity_category, famhx_cvd, famhx_htn, famhx_dm, alc_overall, smk_overall, bmi_category FROM linked_recoded_t""",
     "event_or_censor_long": """SELECT pid, carrs, fup, hhid, dm_biomarker, dm_incident, dm_incident_day, time_to_dm,
         baseline_dm FROM long_annotated_t""",
+    "event_or_censor": "SELECT carrs, pid, fup, hhid, dm_incident, dm_incident_day, time_to_dm FROM long_event_t",
+    "annotated_visits": """SELECT pid, carrs, fup, hhid, dm_biomarker, dm_incident, dm_incident_day, time_to_dm,
+        baseline_dm FROM long_annotated_t""",
+    "complete_persons": """SELECT pid, hhid, age FROM person_t WHERE pid IN (SELECT pid FROM extra_t
+        WHERE spousedyad_new = 1 AND fup = 0 AND age IS NOT NULL AND sex IS NOT NULL AND edu_category IS NOT NULL
+          AND famhx_dm IS NOT NULL)""",
     "person_event_summary": """SELECT carrs, pid, bool_or(fup > 0 AND dm_biomarker IS NOT NULL) AS has_fup_dm_biomarker,
         max(dm_biomarker) FILTER (fup > 0) AS event_dm_biomarker,
         CAST(min(visit_date) FILTER (fup > 0 AND dm_biomarker = 1) AS VARCHAR) AS date_dm_biomarker,

@@ -79,8 +79,8 @@ def nan_to_null(frame: DataFrame) -> DataFrame:
     ``>=`` threshold.
     """
     floating = {f.name for f in frame.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    return frame.select(*[
-        F.when(~F.isnan(c), F.col(c)).alias(c) if c in floating else F.col(c) for c in frame.columns])
+    return frame.selectExpr(*[
+        f"case when not isnan(`{c}`) then `{c}` end as `{c}`" if c in floating else f"`{c}`" for c in frame.columns])
 
 
 def day_number(date: Column) -> Column:

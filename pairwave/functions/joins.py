@@ -63,8 +63,7 @@ def first_per_key(frame: DataFrame, keys, order) -> DataFrame:
     keys, order = list(keys), list(order)
     rest = [c for c in frame.columns if c not in keys and c not in order]
     picked = frame.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_row"))
-    return picked.select(*[
-        F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in frame.columns])
+    return picked.selectExpr(*[c if c in keys else f"_row.{c} as {c}" for c in frame.columns])
 
 
 def require_unique(frame: DataFrame, keys) -> DataFrame:

@@ -21,10 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwave.functions.columns import all_of
 from pairwave.functions.distributions import chi_square_tail, inverse
 from pairwave.functions.joins import attach
-from pairwave.operators.design import Fit, Model, dependent_columns, expand
+from pairwave.operators.design import Fit, Model, dependent_columns, expand, sum_of_products
 from pairwave.session import pin
 
 BLOCK_TIMES = 50_000
@@ -40,9 +39,9 @@ class SurvivalFrame:
 
     rows: DataFrame
     cuts: tuple[float, ...]
-    covariates: tuple[str, ...]
     centers: dict
     counts: dict
+    levels: dict
     cluster: str | None = None
 
     def blocks(self) -> bool:
@@ -50,7 +49,7 @@ class SurvivalFrame:
 
 
 def survival_frame(frame: DataFrame, time: str, event: str, covariates, group: str | None = "role",
-                   cluster: str | None = None, block_times: int = BLOCK_TIMES,
+                   cluster: str | None = None, factors=(), block_times: int = BLOCK_TIMES,
                    times_per_range: int = TIMES_PER_RANGE) -> SurvivalFrame:
     """Collapse equal rows, sort them by time into partitions, and pin them.
 
@@ -66,20 +65,23 @@ def survival_frame(frame: DataFrame, time: str, event: str, covariates, group: s
                     F.col(event).cast("int").alias("event"), *keys)
             .groupBy("role", "time", "event", *keys).agg(F.count(F.lit(1)).alias("n")))
     rows = pin(rows.repartitionByRange("time", F.xxhash64("role", "event", *keys)))
+    numbers = _numbers(rows, covariates)
     measured = rows.groupBy("role").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("event")).alias("events"),
-        *[F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in _numbers(rows, covariates)])
-    measured = measured.collect()
-    distinct = rows.agg(F.approx_count_distinct("time", 0.02)).first()[0]
+        F.approx_count_distinct("time", 0.02).alias("times"),
+        *[F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in numbers],
+        *[F.sort_array(F.collect_set(c)).alias(f"levels_{c}") for c in factors]).collect()
+    distinct = sum(r["times"] for r in measured)
     cuts: tuple[float, ...] = ()
     if distinct > block_times:
         ranges = int(min(MAX_RANGES, max(2, distinct // times_per_range)))
         points = [k / ranges for k in range(1, ranges)]
         cuts = tuple(sorted(set(rows.select("time").distinct().approxQuantile("time", points, 0.1 / ranges))))
     return SurvivalFrame(
-        rows, cuts, covariates,
-        {r["role"]: {c: r[f"mean_{c}"] or 0.0 for c in _numbers(rows, covariates)} for r in measured},
-        {r["role"]: (int(r["n"]), int(r["events"])) for r in measured}, cluster)
+        rows, cuts,
+        {r["role"]: {c: r[f"mean_{c}"] or 0.0 for c in numbers} for r in measured},
+        {r["role"]: (int(r["n"]), int(r["events"])) for r in measured},
+        {(r["role"], c): list(r[f"levels_{c}"]) for r in measured for c in factors}, cluster)
 
 
 def _numbers(rows: DataFrame, covariates) -> list[str]:
@@ -195,6 +197,7 @@ def _add_tied(result, which, place, d, s, e):
 class _Block:
     """Event-time quantities of one block, times ascending."""
 
+    rows: float
     time: np.ndarray
     deaths: np.ndarray
     at_risk: np.ndarray
@@ -228,7 +231,7 @@ def _evaluate(p: int, beta: np.ndarray, time: np.ndarray, sums: np.ndarray, late
             + scaled(b1, cross + cross.transpose(0, 2, 1)) - scaled(b2, e1[:, :, None] * e1[:, None, :]))
     mean_sum = scaled(a0, s1) - scaled(a1, e1)
     return _Block(
-        time[here], d, at_or_after[here, layout.at_risk], covariates @ beta - log_q, covariates - mean_sum, info,
+        sums[:, layout.at_risk].sum(), time[here], d, at_or_after[here, layout.at_risk], covariates @ beta - log_q, covariates - mean_sum, info,
         a0, scaled(b0, s1) - scaled(b1, e1), a0 - a1,
         scaled(b0 - b1, s1) - scaled(b1 - b2, e1), mean_sum / d[:, None])
 
@@ -236,7 +239,7 @@ def _evaluate(p: int, beta: np.ndarray, time: np.ndarray, sums: np.ndarray, late
 def _pack(block: _Block, p: int, survival_before: float | None) -> np.ndarray:
     """Sums of a block: likelihood, score and information, and if asked for
     the score and information weighted by 1 - survival just before the event."""
-    parts = [[block.loglik.sum()], block.residual.sum(axis=0), block.info.sum(axis=0).ravel()]
+    parts = [[block.rows, block.loglik.sum()], block.residual.sum(axis=0), block.info.sum(axis=0).ravel()]
     if survival_before is not None:
         step = 1.0 - block.deaths / block.at_risk
         before = survival_before * np.concatenate([[1.0], np.cumprod(step)[:-1]]) if len(step) else step
@@ -315,7 +318,8 @@ def _block_of(partial: pd.DataFrame, k: int, model: Model, beta: np.ndarray) ->
 
 
 def _unpack(packed: np.ndarray, p: int):
-    return packed[0], packed[1:1 + p], packed[1 + p:1 + p + p * p].reshape(p, p)
+    """Log-likelihood, score and information; the first entry counts the rows."""
+    return packed[1], packed[2:2 + p], packed[2 + p:2 + p + p * p].reshape(p, p)
 
 
 # -- fitting ---------------------------------------------------------------
@@ -363,25 +367,15 @@ def fit_cox(frame: SurvivalFrame, models, robust: bool = False) -> list[Fit]:
         for k, model in enumerate(models):
             meat = cluster_meat(frame, model, betas[k])
             covs[k] = covs[k] @ meat @ covs[k]
-    fits, used = [], _rows_used(frame, asked)
+    fits = []
     for k, (model, fitted) in enumerate(zip(asked, models)):
         n_frame, events = frame.counts.get(model.group, (0, 0)) if model.group is not None else (
             sum(v[0] for v in frame.counts.values()), sum(v[1] for v in frame.counts.values()))
         coef, cov = expand(fitted.names, model.names, betas[k], covs[k])
-        fits.append(Fit(model, coef, cov, n_frame, used[k], events, extra[k]))
+        fits.append(Fit(model, coef, cov, n_frame, int(round(start[k][0])), events, extra[k]))
     return fits
 
 
-def _rows_used(frame: SurvivalFrame, models) -> list[int]:
-    """Rows with every model column known, for all models in one aggregate."""
-    sums = []
-    for k, model in enumerate(models):
-        used = all_of([F.col(c).isNotNull() for c in model.columns] + [
-            F.lit(True) if model.group is None else F.col("role") == model.group])
-        sums.append(F.coalesce(F.sum(F.when(used, F.col("n"))), F.lit(0)).alias(f"n{k}"))
-    return [int(v) for v in frame.rows.agg(*sums).first()]
-
-
 # -- clustered variance ----------------------------------------------------
 
 def _hazard_table(frame: SurvivalFrame, model: Model, beta: np.ndarray) -> DataFrame:
@@ -458,13 +452,7 @@ def cluster_meat(frame: SurvivalFrame, model: Model, beta: np.ndarray) -> np.nda
         residuals.append((F.col("n") * (jump - risk * (xj * hazard - mean))).alias(f"u{j}"))
     per_cluster = joined.select(frame.cluster, *residuals).groupBy(frame.cluster).agg(
         *[F.sum(f"u{j}").alias(f"u{j}") for j in range(p)])
-    products = [F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i in range(p) for j in range(i, p)]
-    row = per_cluster.agg(*products).first()
-    meat = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            meat[i, j] = meat[j, i] = row[f"m{i}_{j}"]
-    return meat
+    return sum_of_products(per_cluster.select(*[f"u{j}" for j in range(p)]))
 
 
 # -- proportional-hazards test ---------------------------------------------
@@ -479,7 +467,7 @@ def proportional_hazards_test(frame: SurvivalFrame, fit: Fit) -> list[tuple[str,
     p = len(model.terms)
     packed = _step(frame, [model], [beta], weighted=True)[0]
     _, _, info = _unpack(packed, p)
-    rest = packed[1 + p + p * p:]
+    rest = packed[2 + p + p * p:]
     score = rest[:p]
     cross, weighted = rest[p:].reshape(2, p, p)
     columns: dict[str, list[int]] = {}

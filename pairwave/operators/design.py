@@ -172,6 +172,25 @@ def partial_sums(patterns: DataFrame, models, kernel: Callable[[Model, pd.DataFr
     return {k: np.array([v[i] for i in range(len(v))]) for k, v in result.items()}
 
 
+def sum_of_products(frame: DataFrame) -> np.ndarray:
+    """Inner products of all columns, added up per partition first."""
+    size = len(frame.columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            values = batch.to_numpy("float64")
+            total += values.T @ values
+        yield pd.DataFrame({"position": np.arange(size * size), "value": total.ravel()})
+
+    cells = frame.mapInPandas(run, "position int, value double")
+    summed = cells.groupBy("position").agg(F.sum("value").alias("value")).collect()
+    product = np.zeros(size * size)
+    for row in summed:
+        product[row["position"]] = row["value"]
+    return product.reshape(size, size)
+
+
 def dependent_columns(gram: np.ndarray) -> list[int]:
     """Columns that are combinations of earlier ones, from their inner products."""
     work, dropped = gram.astype(float).copy(), []

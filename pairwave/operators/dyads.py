@@ -35,8 +35,8 @@ def pair_members(persons: DataFrame, household: str = "hhid", sex: str = "sex",
     if having is not None:
         pairs = pairs.where(having)
     both = [F.col(f"_{s}").isNotNull() for s in SUFFIXES.values()]
-    return pairs.where(both[0] & both[1]).select(household, *[
-        F.col(f"_{suffix}.{c}").alias(f"{c}_{suffix}") for suffix in SUFFIXES.values() for c in columns])
+    return pairs.where(both[0] & both[1]).selectExpr(household, *[
+        f"_{suffix}.{c} as {c}_{suffix}" for suffix in SUFFIXES.values() for c in columns])
 
 
 def pair_cohort(persons: DataFrame, eligible: Column, spouse: str = "spousedyad_new",
@@ -115,8 +115,7 @@ def members_to_wide(visits: DataFrame, keys=("hhid", "carrs", "fup"), sex: str =
         F.min(F.when(F.col(sex) == label, F.struct(order, *rest))).alias(f"_{label}") for label in labels])
     if complete:
         wide = wide.where(" and ".join(f"_{label}.{order} is not null" for label in labels))
-    return wide.select(*keys, *[
-        F.col(f"_{label}.{c}").alias(f"{label}_{c}") for label in labels for c in values])
+    return wide.selectExpr(*keys, *[f"_{label}.{c} as {label}_{c}" for label in labels for c in values])
 
 
 def event_free_couples(waves: DataFrame, keys=("carrs", "hhid", "female_pid", "male_pid"),

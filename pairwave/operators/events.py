@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwave.functions.columns import count_known, first_match
@@ -66,6 +66,11 @@ def baseline_ids(visits: DataFrame, event: bool, key: str = "pid", wave: str = "
     return visits.where((F.col(wave) == 0) & state).select(key).distinct()
 
 
+def _position(wave: str, day: str) -> Column:
+    """Sortable place of a row in its person's history: wave, then day, unknown days last."""
+    return F.col(wave).cast("double") * F.lit(1e7) + F.coalesce(F.col(day), F.lit(9e6))
+
+
 def event_or_censor(visits: DataFrame, keys=("carrs", "pid"), household: str = "hhid", wave: str = "fup",
                     outcome: str = "dm_biomarker", day: str = "doi_day", midpoint: str = "midpoint_day",
                     baseline: str = "baseline_day", event_date: str = "midpoint") -> DataFrame:
@@ -73,21 +78,21 @@ def event_or_censor(visits: DataFrame, keys=("carrs", "pid"), household: str = "
 
     An event is dated at the inter-visit midpoint (or at the visit), a
     censored person at the day of the last row.  First and last rows are
-    picked by one aggregate on a sortable position, wave then day, so rows
-    are combined before the shuffle.
+    picked by one aggregate on a sortable position, so rows are combined
+    before the shuffle.  Being event-free is a property of the person across
+    studies; the window for it sees one row per study.
     """
     at_event = midpoint if event_date == "midpoint" else day
-    position = (F.col(wave).cast("double") * F.lit(1e7)
-                + F.coalesce(F.col(day), F.lit(9e6)))
+    position = _position(wave, day)
     hit = F.col(outcome) == 1
-    person = keys[-1]
     picked = visits.groupBy(*keys).agg(
         F.coalesce(F.bool_or(hit), F.lit(False)).alias("_event"),
+        F.max(F.when((F.col(wave) == 0) & (F.col(outcome) == 0), 1)).alias("_free"),
         *[F.min_by(F.col(c), F.when(hit, position)).alias(f"_first_{c}")
           for c in (wave, household, at_event, baseline)],
         *[F.max_by(F.col(c), position).alias(f"_last_{c}") for c in (wave, household, day, baseline)])
-    free = baseline_ids(visits, event=False, key=person, wave=wave, outcome=outcome)
-    chosen = picked.join(free, person, "left_semi")
+    free = F.max("_free").over(Window.partitionBy(keys[-1]))
+    chosen = picked.withColumn("_free", free).where(F.col("_free") == 1)
 
     def either(first, last):
         return F.when(F.col("_event"), F.col(f"_first_{first}")).otherwise(F.col(f"_last_{last}"))
@@ -102,7 +107,37 @@ def event_or_censor(visits: DataFrame, keys=("carrs", "pid"), household: str = "
 def annotate_events(visits: DataFrame, events: DataFrame, keys=("carrs", "fup", "pid", "hhid"),
                     person: str = "pid", wave: str = "fup", outcome: str = "dm_biomarker") -> DataFrame:
     """Join event rows back on the visits and flag baseline cases."""
-    cases = baseline_ids(visits, event=True, key=person, wave=wave, outcome=outcome)
-    cases = cases.select(person, F.lit(1).alias("_case"))
-    return (visits.join(events, list(keys), "left").join(cases, person, "left")
-            .withColumn("baseline_dm", F.coalesce(F.col("_case"), F.lit(0))).drop("_case"))
+    return flag_baseline_cases(visits.join(events, list(keys), "left"), person, wave, outcome)
+
+
+def flag_baseline_cases(visits: DataFrame, person: str = "pid", wave: str = "fup",
+                        outcome: str = "dm_biomarker") -> DataFrame:
+    """1 on every row of a person known to have the event at baseline, else 0."""
+    case = F.when((F.col(wave) == 0) & (F.col(outcome) != 0), 1)
+    return visits.withColumn("baseline_dm", F.coalesce(F.max(case).over(Window.partitionBy(person)), F.lit(0)))
+
+
+def mark_events(visits: DataFrame, keys=("carrs", "pid"), wave: str = "fup", outcome: str = "dm_biomarker",
+                day: str = "doi_day", midpoint: str = "midpoint_day", baseline: str = "baseline_day",
+                event_date: str = "midpoint") -> DataFrame:
+    """Event or censor columns on the row they belong to, and baseline status.
+
+    Same rows as joining ``event_or_censor`` back with ``annotate_events``,
+    but as windows over the person: visits that are already partitioned by
+    person are neither shuffled nor read again.
+    """
+    at_event = midpoint if event_date == "midpoint" else day
+    within, person = Window.partitionBy(*keys), Window.partitionBy(keys[-1])
+    hit = F.col(outcome) == 1
+    free = F.max(F.when((F.col(wave) == 0) & (F.col(outcome) == 0), 1)).over(person)
+    marked = visits.withColumn("_position", _position(wave, day)).withColumns({
+        "_free": free,
+        "_first": F.min(F.when(hit, F.col("_position"))).over(within),
+        "_last": F.max("_position").over(within)})
+    event = (F.col("_free") == 1) & hit & (F.col("_position") == F.col("_first"))
+    censored = (F.col("_free") == 1) & F.col("_first").isNull() & (F.col("_position") == F.col("_last"))
+    marked = marked.withColumns({
+        "dm_incident": first_match((event, 1), (censored, 0)),
+        "dm_incident_day": first_match((event, F.col(at_event)), (censored, F.col(day)))})
+    marked = marked.withColumn("time_to_dm", F.col("dm_incident_day") - F.col(baseline))
+    return flag_baseline_cases(marked, keys[-1], wave, outcome).drop("_position", "_free", "_first", "_last")

@@ -1,14 +1,15 @@
 """Household summaries, eligibility flags and household filters.
 
 A household key can be badly skewed (a placeholder number, an institution),
-so no operator here opens a window over a household: summaries are
+so no operator here opens a window over a household (windows over a person
+see at most one row per wave): summaries are
 aggregates, combined before the shuffle, and go back to the rows through
 ``functions.joins.attach``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwave.functions.columns import all_of, count_known, count_null, first_match, is_in, sum_known
@@ -172,6 +173,17 @@ def keep_persons(visits: DataFrame, persons: DataFrame, key: str = "pid") -> Dat
     return visits.join(persons, key, "left_semi")
 
 
+def keep_complete_persons(visits: DataFrame, covariates, person: str = "pid", wave: str = "fup") -> DataFrame:
+    """Visits of people with every covariate at baseline.
+
+    Same rows as ``keep_persons`` with ``complete_persons``, by a window over
+    the person's few rows instead of a second pass and a join.
+    """
+    known = all_of([F.col(wave) == 0, *(F.col(c).isNotNull() for c in covariates)])
+    complete = F.max(F.when(known, 1)).over(Window.partitionBy(person))
+    return visits.withColumn("_complete", complete).where(F.col("_complete") == 1).drop("_complete")
+
+
 def keep_spouses(visits: DataFrame, spouse: str = "spousedyad_new", valid: str | None = None) -> DataFrame:
     conditions = [F.col(spouse) == 1] + ([F.col(valid) == 1] if valid else [])
     return visits.where(all_of(conditions))

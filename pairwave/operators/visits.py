@@ -110,7 +110,7 @@ def visits_to_wide(visits: DataFrame, key: str = "pid", index: str = "visit", va
     ``pivot`` would first group by person and visit and shuffle twice.
     """
     return visits.where(F.col(index).isNotNull()).groupBy(key).agg(*[
-        F.max(F.when(F.col(index) == i, F.col(v))).alias(f"{v}{i}") for v in values for i in indexes])
+        F.expr(f"max(case when {index} = {i} then {v} end) as {v}{i}") for v in values for i in indexes])
 
 
 def _person(keys):

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 
 from pairwave.functions.joins import attach
 from pairwave.operators.dyads import members_to_wide
-from pairwave.operators.events import annotate_events, event_or_censor
-from pairwave.operators.households import complete_persons, eligible_couples, keep_persons, keep_spouses
+from pairwave.operators.events import mark_events
+from pairwave.operators.households import eligible_couples, keep_complete_persons, keep_spouses
 from pairwave.operators.recode import recode_visit_covariates
 from pairwave.operators.visits import (
     define_gated_outcomes, flag_response, impute_visit_dates, keep_schedule, link_visit_dates,
@@ -35,14 +35,13 @@ def dated_visits(visits: DataFrame) -> DataFrame:
 
 def complete_couples(dated: DataFrame, covariates=COMPLETE_CASE_COLUMNS) -> DataFrame:
     """Spouses with complete baseline covariates in mixed couples close in age."""
-    spouses = keep_spouses(dated)
-    complete = keep_persons(spouses, complete_persons(spouses, covariates))
+    complete = keep_complete_persons(keep_spouses(dated), covariates)
     return attach(complete, eligible_couples(complete), "hhid", how="left_semi")
 
 
 def event_rows(recoded: DataFrame) -> DataFrame:
     """Visits with the person's event or censor row and baseline status."""
-    return annotate_events(recoded, event_or_censor(recoded))
+    return mark_events(recoded)
 
 
 def analytic_long(visits: DataFrame) -> DataFrame:

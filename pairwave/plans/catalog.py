@@ -7,7 +7,6 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pairwave.functions.distributions import NORMAL_975
 from pairwave.operators import describe, dyads, events, households, recode, visits
@@ -28,15 +27,8 @@ WAVE_VALUES = ("pid", "age", "edu_category", "famhx_dm", "morbidity_category", "
 
 def comparable(frame: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded and dates as text, so that engines agree on the values."""
-    columns = []
-    for field in frame.schema.fields:
-        c = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.DoubleType):
-            c = F.round(c, digits) + F.lit(0.0)
-        elif isinstance(field.dataType, T.DateType):
-            c = c.cast("string")
-        columns.append(c.alias(field.name))
-    return frame.select(*columns)
+    forms = {"double": f"round({{0}}, {digits}) + 0D as {{0}}", "date": "cast({0} as string) as {0}"}
+    return frame.selectExpr(*[forms.get(kind, "{0}").format(f"`{c}`") for c, kind in frame.dtypes])
 
 
 def query(function: Query, digits: int = 6) -> Query:
@@ -81,10 +73,10 @@ def _extra_outcomes(spark, folder):
 
 
 def _model_couples(spark, folder):
-    """Recoded visits of complete couples, and their event rows."""
-    couples = archive.complete_couples(pin(_dated(spark, folder)), MODEL_CASE_COLUMNS)
-    long = pin(recode.recode_visit_covariates(couples))
-    return long, events.event_or_censor(long)
+    """Visits of complete couples with their event columns, and the event rows."""
+    couples = archive.complete_couples(_dated(spark, folder), MODEL_CASE_COLUMNS)
+    long = pin(archive.event_rows(recode.recode_visit_covariates(couples)))
+    return long, long.where("dm_incident is not null").select("carrs", "pid", "hhid", "dm_incident", "time_to_dm")
 
 
 # -- visits ------------------------------------------------------------------
@@ -189,6 +181,20 @@ def event_or_censor_long(spark, folder):
         *PERSON_WAVE, "hhid", "dm_biomarker", "dm_incident", "dm_incident_day", "time_to_dm", "baseline_dm")
 
 
+@query
+def event_or_censor(spark, folder):
+    """One event or censor row per person free of the event at baseline."""
+    return events.event_or_censor(_recoded_visits(spark, folder))
+
+
+@query
+def annotated_visits(spark, folder):
+    """Event rows joined back on the visits by study, wave, person and household."""
+    recoded = _recoded_visits(spark, folder)
+    return events.annotate_events(recoded, events.event_or_censor(recoded)).select(
+        *PERSON_WAVE, "hhid", "dm_biomarker", "dm_incident", "dm_incident_day", "time_to_dm", "baseline_dm")
+
+
 @query
 def person_event_summary(spark, folder):
     """Follow-up event, its first date and baseline status of valid spouses."""
@@ -241,8 +247,15 @@ def members_histogram(spark, folder):
 def complete_cases(spark, folder):
     """Spouses' visits restricted to people with complete baseline covariates."""
     spouses = households.keep_spouses(_dated(spark, folder))
-    complete = households.complete_persons(spouses, archive.COMPLETE_CASE_COLUMNS)
-    return households.keep_persons(spouses, complete).select(*PERSON_WAVE, "hhid")
+    return households.keep_complete_persons(spouses, archive.COMPLETE_CASE_COLUMNS).select(*PERSON_WAVE, "hhid")
+
+
+@query
+def complete_persons(spark, folder):
+    """Distinct spouses with complete baseline covariates, as a semi-join key."""
+    spouses = households.keep_spouses(cohort.visit_extra(spark, folder))
+    ids = households.complete_persons(spouses, MODEL_CASE_COLUMNS)
+    return households.keep_persons(cohort.person(spark, folder), ids).select("pid", "hhid", "age")
 
 
 @query
@@ -456,15 +469,13 @@ def cox_adjusted(spark, folder):
 def cox_factor(spark, folder):
     """Cox by partner status with factor covariates, from dyad waves."""
     long, rows = _model_couples(spark, folder)
-    waves = dyads.members_to_wide(events.annotate_events(long, rows).select(
-        "hhid", "carrs", "fup", "sex", *WAVE_VALUES))
+    waves = dyads.members_to_wide(long.select("hhid", "carrs", "fup", "sex", *WAVE_VALUES))
     return _terms(spark, reports.fit_partner_cox(reports.wave_roles(waves, rows)), NORMAL_975)
 
 
 def _clustered(spark, folder):
     long, rows = _model_couples(spark, folder)
-    annotated = events.annotate_events(long, rows)
-    return reports.fit_clustered_cox(reports.event_frame(rows, reports.baseline_covariates(annotated)))
+    return reports.fit_clustered_cox(reports.event_frame(rows, reports.baseline_covariates(long)))
 
 
 @query

@@ -155,11 +155,11 @@ def event_frame(events: DataFrame, baseline: DataFrame) -> DataFrame:
 def fit_clustered_cox(frame: DataFrame, cluster: str = "hhid"):
     """Main model of the longitudinal variant with household-clustered variance."""
     covariates = ("age", "bmi_baseline", *BASELINE_FACTORS)
-    rows = survival_frame(frame, "time_to_dm", "dm_incident", covariates, group=None, cluster=cluster)
-    found = rows.rows.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in BASELINE_FACTORS]).first()
-    terms = [*factor("sex", found["sex"]), *numeric("age", "bmi_baseline")]
+    rows = survival_frame(frame, "time_to_dm", "dm_incident", covariates, group=None, cluster=cluster,
+                          factors=BASELINE_FACTORS)
+    terms = [*factor("sex", rows.levels[None, "sex"]), *numeric("age", "bmi_baseline")]
     for c in BASELINE_FACTORS[1:]:
-        terms += factor(c, found[c])
+        terms += factor(c, rows.levels[None, c])
     return rows, fit_cox(rows, [Model("clustered", tuple(terms))], robust=True)[0]
 
 
@@ -197,6 +197,5 @@ def wave_roles(waves: DataFrame, events: DataFrame) -> DataFrame:
 def fit_partner_cox(roles: DataFrame) -> list[Fit]:
     """Cox by partner status with factor covariates, three models per role."""
     frame = survival_frame(model_frame(roles, with_time=True), "time_to_dm", "dm_incident",
-                           ("partner_baseline_dm", "age", *MODEL_2))
-    levels = levels_of(frame.rows, MODEL_2)
-    return fit_cox(frame, nested_models(levels, {role: () for role in ROLES}))
+                           ("partner_baseline_dm", "age", *MODEL_2), factors=MODEL_2)
+    return fit_cox(frame, nested_models(frame.levels, {role: () for role in ROLES}))

@@ -19,6 +19,9 @@ def build_session(app: str = "pairwave", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Call sites are recorded per column expression otherwise, which
+        # takes longer than planning for tables of fifty columns.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     builder = SparkSession.builder.appName(app)

@@ -56,13 +56,21 @@ MAIN_VISITS = {1: {0: 0, 2: 1, 4: 2, 7: 3}, 2: {0: 0, 2: 1}}
 LAST_WAVE = {1: 7, 2: 2}
 
 
-def _table(spark: SparkSession, folder: str, name: str, columns) -> DataFrame:
-    return nan_to_null(spark.read.parquet(f"{folder}/{name}.parquet").select(*columns))
+# Only the columns that are used; a declared schema needs no look at the files.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+}
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return nan_to_null(spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet"))
 
 
 def person(spark: SparkSession, folder: str) -> DataFrame:
     """Baseline person table; its dyad flags are ``pid, hhid, spousedyad_new``."""
-    customer = _table(spark, folder, "customer", ("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey"))
+    customer = _table(spark, folder, "customer")
     return customer.selectExpr(*[f"{e} as {c}" for c, e in PERSON_COLUMNS.items()])
 
 
@@ -81,8 +89,7 @@ def visit(spark: SparkSession, folder: str) -> DataFrame:
     ahead of the shuffle: a customer with a huge number of orders sends at
     most eight rows per input partition.
     """
-    orders = _table(spark, folder, "orders",
-                    ("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice"))
+    orders = _table(spark, folder, "orders")
     by_date = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     ranked = (orders.withColumn("rank", F.row_number().over(by_date))
               .where(F.col("rank") <= max(LAST_WAVE.values()) + 1).withColumn("fup", F.col("rank") - 1))
