@@ -82,31 +82,39 @@ def dyad_flags(spark: SparkSession, folder: str) -> DataFrame:
     return person(spark, folder).select("pid", "hhid", "spousedyad_new")
 
 
-def visit(spark: SparkSession, folder: str) -> DataFrame:
-    """Long visit table: a customer's orders by date are the waves.
+def _waves(spark: SparkSession, folder: str) -> DataFrame:
+    """Visits beside their person's columns: a customer's orders by date are the waves.
 
     The rank limit comes before the join, where the optimizer can apply it
     ahead of the shuffle: a customer with a huge number of orders sends at
-    most eight rows per input partition.
+    most eight rows per input partition, and (person, wave) is a key.
     """
-    orders = _table(spark, folder, "orders")
     by_date = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    ranked = (orders.withColumn("rank", F.row_number().over(by_date))
+    ranked = (_table(spark, folder, "orders").withColumn("rank", F.row_number().over(by_date))
               .where(F.col("rank") <= max(LAST_WAVE.values()) + 1).withColumn("fup", F.col("rank") - 1))
-    people = person(spark, folder).select("pid", "carrs", "hhid")
+    people = person(spark, folder).drop("doi").withColumnRenamed("dm", "baseline_dm")
     waves = " or ".join(f"(carrs = {s} and fup <= {w})" for s, w in LAST_WAVE.items())
-    number = " ".join(f"when carrs = {s} and fup = {w} then {v}"
-                      for s, visits in MAIN_VISITS.items() for w, v in visits.items())
-    return ranked.join(people, ranked["o_custkey"] == people["pid"]).where(waves).selectExpr(
-        "pid", "carrs", "hhid", "fup",
-        f"case {number} end as visit",
-        "case when o_orderkey % 23 = 0 then null else cast(o_orderdate as date) end as doi",
-        "case when o_orderkey % 9 = 0 then 'refused' end as reason",
-        "case when o_orderkey % 7 = 0 then null else 70 + o_totalprice / 500000 * 65 end as fpg",
-        "case when o_orderkey % 8 = 0 then null else 4.5D + ((o_orderkey * 37) % 1000) / 1000.0D * 2.1D end as hba1c",
-        "cast(case when o_orderkey % 6 = 0 then null when o_orderpriority = '1-URGENT' and o_orderkey % 5 = 0"
-        " then 1 else 0 end as int) as dm",
-        "cast(case when o_orderkey % 10 = 0 then null when o_orderkey % 97 = 0 then 1 else 0 end as int) as dm_allo")
+    return ranked.join(people, ranked["o_custkey"] == people["pid"]).where(waves)
+
+
+_NUMBER = " ".join(f"when carrs = {s} and fup = {w} then {v}"
+                   for s, visits in MAIN_VISITS.items() for w, v in visits.items())
+VISIT_COLUMNS = {
+    "pid": "pid", "carrs": "carrs", "hhid": "hhid", "fup": "fup",
+    "visit": f"case {_NUMBER} end",
+    "doi": "case when o_orderkey % 23 = 0 then null else cast(o_orderdate as date) end",
+    "reason": "case when o_orderkey % 9 = 0 then 'refused' end",
+    "fpg": _unless("o_orderkey % 7 = 0", "70 + o_totalprice / 500000 * 65"),
+    "hba1c": _unless("o_orderkey % 8 = 0", "4.5D + ((o_orderkey * 37) % 1000) / 1000.0D * 2.1D"),
+    "dm": _int("case when o_orderkey % 6 = 0 then null"
+               " when o_orderpriority = '1-URGENT' and o_orderkey % 5 = 0 then 1 else 0 end"),
+    "dm_allo": _int("case when o_orderkey % 10 = 0 then null when o_orderkey % 97 = 0 then 1 else 0 end"),
+}
+
+
+def visit(spark: SparkSession, folder: str) -> DataFrame:
+    """Long visit table, one row per (study, person, wave)."""
+    return _waves(spark, folder).selectExpr(*[f"{e} as {c}" for c, e in VISIT_COLUMNS.items()])
 
 
 EXTRA_COLUMNS = {
@@ -140,10 +148,5 @@ EXTRA_COLUMNS = {
 
 def visit_extra(spark: SparkSession, folder: str) -> DataFrame:
     """The visits with the covariates of the longitudinal variant."""
-    taken = {"htn", "chd", "cva", "ckd", "famhx_cvd", "famhx_htn", "famhx_dm", "smk_overall", "alc_overall"}
-    people = person(spark, folder).drop("carrs", "doi", "dm", *(taken - set(EXTRA_COLUMNS)))
-    people = people.withColumnRenamed("hhid", "home")
-    joined = visit(spark, folder).join(people, "pid").drop("home")
-    kept = ("pid", "carrs", "hhid", "fup", "visit", "doi", "reason", "fpg", "hba1c", "dm", "dm_allo",
-            "spousedyad_new")
-    return joined.selectExpr(*kept, *[f"{e} as {c}" for c, e in EXTRA_COLUMNS.items()])
+    columns = {**VISIT_COLUMNS, "spousedyad_new": "spousedyad_new", **EXTRA_COLUMNS}
+    return _waves(spark, folder).selectExpr(*[f"{e} as {c}" for c, e in columns.items()])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from pairwave.functions.columns import nan_to_null
+from pairwave.functions.joins import require_unique
 
 _INT, _LONG, _DOUBLE, _DATE, _TEXT = T.IntegerType(), T.LongType(), T.DoubleType(), T.DateType(), T.StringType()
 
@@ -33,8 +34,15 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return nan_to_null(reader.load(path))
 
 
-def read_visits(spark: SparkSession, path: str, source: str = "parquet", **options) -> DataFrame:
-    return read_table(spark, path, VISIT_SCHEMA, source, **options)
+def read_visits(spark: SparkSession, path: str, source: str = "parquet", check_key: bool = True,
+                **options) -> DataFrame:
+    """Long visit table; its key (study, person, wave) is checked unless trusted.
+
+    The key is what bounds a person's rows, and with them every window over
+    a person, by the number of waves.
+    """
+    visits = read_table(spark, path, VISIT_SCHEMA, source, **options)
+    return require_unique(visits, ("carrs", "pid", "fup")) if check_key else visits
 
 
 def read_baseline(spark: SparkSession, path: str, source: str = "parquet", **options) -> DataFrame:
