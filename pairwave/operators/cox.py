@@ -5,7 +5,7 @@ back, per distinct time, sums over the rows at that time.  Reverse
 cumulative sums over the times are the risk sets; the likelihood, its
 derivatives and the proportional-hazards test are sums over event times.
 
-Follow-up counted in days has some ten thousand distinct times, which are
+Follow-up counted in days has a few thousand distinct times, which are
 evaluated as one block.  Above ``BLOCK_TIMES`` distinct times the time axis
 is cut into ranges: the totals per range give each range the sums of all
 later ones, and the ranges are evaluated on the executors.
@@ -26,11 +26,13 @@ from pairwave.functions.joins import attach
 from pairwave.operators.design import Fit, Model, dependent_columns, expand, sum_of_products
 from pairwave.session import pin
 
-BLOCK_TIMES = 50_000
+BLOCK_TIMES = 10_000
 TIMES_PER_RANGE = 5_000
 MAX_RANGES = 4_096
 MAX_STEPS = 25
 TIED_CHUNK = 1_000_000
+# A task holds sums for at most this many times before it passes them on.
+HELD_TIMES = 50_000
 
 
 @dataclass
@@ -141,10 +143,21 @@ def _add_by(keys: np.ndarray, values: np.ndarray):
 
 
 def _sums(frame: SurvivalFrame, models, betas, per_range: bool) -> DataFrame:
-    """Partial sums per model and time (or only per range of times)."""
+    """Partial sums per model and time (or only per range of times).
+
+    A task adds up all its batches first; as it holds a range of times, the
+    rows it returns number about as many as its distinct times.
+    """
     models, cuts, centers = list(models), np.array(frame.cuts), frame.centers
 
+    def output(k: int, held) -> pd.DataFrame:
+        keys, sums = held
+        return pd.DataFrame({
+            "model": k, "part": keys.astype(int) if per_range else np.searchsorted(cuts, keys, side="right"),
+            "time": keys.astype(float), "sums": list(sums)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for k, model in enumerate(models):
                 rows = model.rows(batch)
@@ -152,10 +165,14 @@ def _sums(frame: SurvivalFrame, models, betas, per_range: bool) -> DataFrame:
                     continue
                 time = rows["time"].to_numpy("float64")
                 keys = np.searchsorted(cuts, time, side="right") if per_range else time
-                keys, sums = _add_by(keys, _row_sums(model, rows, betas[k], centers.get(model.group, {})))
-                yield pd.DataFrame({
-                    "model": k, "part": keys.astype(int) if per_range else np.searchsorted(cuts, keys, side="right"),
-                    "time": keys.astype(float), "sums": list(sums)})
+                added = _add_by(keys, _row_sums(model, rows, betas[k], centers.get(model.group, {})))
+                if k in held:
+                    added = _add_by(*(np.concatenate(pair) for pair in zip(held[k], added)))
+                held[k] = added
+                if len(added[0]) > HELD_TIMES:
+                    yield output(k, held.pop(k))
+        for k in held:
+            yield output(k, held[k])
 
     return frame.rows.mapInPandas(run, "model int, part int, time double, sums array<double>")
 

@@ -84,7 +84,8 @@ def role_view(dyads: DataFrame, columns: dict[str, str] | None = None, baseline:
               event: str = "event_DMbiomarker", unused: dict[str, tuple] | None = None) -> DataFrame:
     """The dyads seen from each member: own and partner status, covariates.
 
-    Behaviours that a role's models do not use become typed nulls.
+    Behaviours that a role's models do not use become typed nulls.  Both
+    views come out of one pass; a union would compute the dyads twice.
     """
     columns = ROLE_COLUMNS if columns is None else columns
     unused = {"Women": ("alc_overall", "smk_overall")} if unused is None else unused
@@ -92,14 +93,14 @@ def role_view(dyads: DataFrame, columns: dict[str, str] | None = None, baseline:
     views = []
     for role, own, partner in (("Women", "wife", "husb"), ("Men", "husb", "wife")):
         skipped = unused.get(role, ())
-        views.append(dyads.select(
+        views.append(F.struct(
             F.lit(role).alias("role"), "hhid", *(["dyad_at_risk"] if "dyad_at_risk" in types else []),
             F.col(f"{baseline}_{own}").alias("baseline_dm"),
             F.col(f"{baseline}_{partner}").alias("partner_baseline_dm"),
             F.col(f"{event}_{own}").alias("dm_incident"),
             *[(F.lit(None).cast(types[f"{c}_{own}"]) if name in skipped else F.col(f"{c}_{own}")).alias(name)
               for name, c in columns.items()]))
-    return views[0].unionByName(views[1])
+    return dyads.select(F.inline(F.array(*views)))
 
 
 def members_to_wide(visits: DataFrame, keys=("hhid", "carrs", "fup"), sex: str = "sex", order: str = "pid",
@@ -120,7 +121,10 @@ def members_to_wide(visits: DataFrame, keys=("hhid", "carrs", "fup"), sex: str =
 
 def event_free_couples(waves: DataFrame, keys=("carrs", "hhid", "female_pid", "male_pid"),
                        wave: str = "fup", outcome: str = "dm_biomarker0") -> DataFrame:
-    """Baseline dyad rows of couples with at least one event-free member."""
-    free = [waves.where(F.col(f"{label}_{outcome}") == 0).select(*keys) for label in ("female", "male")]
-    ids = free[0].union(free[1]).distinct()
+    """Baseline dyad rows of couples with at least one event-free member.
+
+    One filter on either member is the distinct union of a filter on each.
+    """
+    free = any_of([F.col(f"{label}_{outcome}") == 0 for label in ("female", "male")])
+    ids = waves.where(free).select(*keys).distinct()
     return waves.where(F.col(wave) == 0).join(ids, list(keys), "left_semi")

@@ -184,14 +184,14 @@ def wave_roles(waves: DataFrame, events: DataFrame) -> DataFrame:
     baseline = waves.where(F.col("fup") == 0)
     outcome = events.select("carrs", "pid", "dm_incident", "time_to_dm").dropDuplicates(["carrs", "pid"])
     columns = ("age", "edu_category", "famhx_dm", "morbidity_category", "bmi_category")
-    views = []
-    for role, own, partner in (("Women", "female", "male"), ("Men", "male", "female")):
-        views.append(baseline.select(
-            F.lit(role).alias("role"), "hhid", "carrs", F.col(f"{own}_pid").alias("pid"),
-            F.col(f"{own}_baseline_dm").alias("baseline_dm"),
-            F.col(f"{partner}_baseline_dm").alias("partner_baseline_dm"),
-            *[F.col(f"{own}_{c}").alias(c) for c in columns]).distinct())
-    return views[0].unionByName(views[1]).join(outcome, ["carrs", "pid"], "left")
+    views = [F.struct(
+        F.lit(role).alias("role"), "hhid", "carrs", F.col(f"{own}_pid").alias("pid"),
+        F.col(f"{own}_baseline_dm").alias("baseline_dm"),
+        F.col(f"{partner}_baseline_dm").alias("partner_baseline_dm"),
+        *[F.col(f"{own}_{c}").alias(c) for c in columns])
+        for role, own, partner in (("Women", "female", "male"), ("Men", "male", "female"))]
+    roles = baseline.select(F.inline(F.array(*views))).distinct()
+    return roles.join(outcome, ["carrs", "pid"], "left")
 
 
 def fit_partner_cox(roles: DataFrame) -> list[Fit]:
