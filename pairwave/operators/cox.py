@@ -57,7 +57,9 @@ def survival_frame(frame: DataFrame, time: str, event: str, covariates, group: s
 
     Partitions by ranges of time hold few distinct times each, so the sums
     per time that leave them are short.  A time shared by very many rows is
-    spread by the hash of the covariates.
+    spread by the hash of the covariates.  There is one partition per core:
+    the work on a row grows with the square of the number of terms, so
+    partitions are not merged by size.
     """
     covariates = tuple(covariates)
     keys = [*([cluster] if cluster else []), *covariates]
@@ -66,7 +68,8 @@ def survival_frame(frame: DataFrame, time: str, event: str, covariates, group: s
             .select(role.alias("role"), F.col(time).cast("double").alias("time"),
                     F.col(event).cast("int").alias("event"), *keys)
             .groupBy("role", "time", "event", *keys).agg(F.count(F.lit(1)).alias("n")))
-    rows = pin(rows.repartitionByRange("time", F.xxhash64("role", "event", *keys)))
+    tasks = frame.sparkSession.sparkContext.defaultParallelism
+    rows = pin(rows.repartitionByRange(tasks, "time", F.xxhash64("role", "event", *keys)))
     numbers = _numbers(rows, covariates)
     measured = rows.groupBy("role").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("event")).alias("events"),
@@ -136,10 +139,13 @@ def _row_sums(model: Model, rows: pd.DataFrame, beta: np.ndarray, centers: dict)
 
 
 def _add_by(keys: np.ndarray, values: np.ndarray):
-    distinct, code = np.unique(keys, return_inverse=True)
-    sums = np.zeros((len(distinct), values.shape[1]))
-    np.add.at(sums, code, values)
-    return distinct, sums
+    """Distinct keys in order and the sums of the values at each."""
+    if not len(keys):
+        return keys, values
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(values[order], starts, axis=0)
 
 
 def _sums(frame: SurvivalFrame, models, betas, per_range: bool) -> DataFrame:
@@ -350,22 +356,28 @@ def fit_cox(frame: SurvivalFrame, models, robust: bool = False) -> list[Fit]:
     """
     asked = list(models)
     start = _step(frame, asked, [np.zeros(len(m.terms)) for m in asked])
-    models = []
+    models, sums = [], []
     for model, packed in zip(asked, start):
-        _, _, info = _unpack(packed, len(model.terms))
-        models.append(model.without({model.terms[c].name for c in dependent_columns(info)}))
+        loglik, score, info = _unpack(packed, len(model.terms))
+        dropped = dependent_columns(info)
+        kept = [c for c in range(len(model.terms)) if c not in dropped]
+        models.append(model.without({model.terms[c].name for c in dropped}))
+        sums.append((loglik, score[kept], info[np.ix_(kept, kept)]))
     betas = [np.zeros(len(m.terms)) for m in models]
     steps = [np.zeros(len(m.terms)) for m in models]
     best = [-np.inf] * len(models)
     infos: list = [None] * len(models)
     open_models = [k for k, m in enumerate(models) if m.terms]
-    for _ in range(MAX_STEPS):
+    for number in range(MAX_STEPS):
         if not open_models:
             break
-        packed = _step(frame, [models[k] for k in open_models], [betas[k] for k in open_models])
+        if number == 0:
+            current = [sums[k] for k in open_models]
+        else:
+            packed = _step(frame, [models[k] for k in open_models], [betas[k] for k in open_models])
+            current = [_unpack(v, len(models[k].terms)) for k, v in zip(open_models, packed)]
         still_open = []
-        for k, sums in zip(open_models, packed):
-            loglik, score, info = _unpack(sums, len(models[k].terms))
+        for k, (loglik, score, info) in zip(open_models, current):
             if loglik < best[k] - 1e-10 * abs(best[k]) or not np.isfinite(loglik):
                 steps[k] = steps[k] / 2.0
                 betas[k] = betas[k] - steps[k]

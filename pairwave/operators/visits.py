@@ -138,15 +138,20 @@ def wave_midpoints(visits: DataFrame, schedule=None, study: str = "carrs", wave:
 
 
 def impute_visit_dates(visits: DataFrame, schedule=None, study: str = "carrs", wave: str = "fup",
-                       date: str = "doi", respond: str = "respond") -> DataFrame:
+                       date: str = "doi", respond: str = "respond", middles: DataFrame | None = None) -> DataFrame:
     """Give responders without a date the midpoint of their wave.
 
     A wave holds a large share of all rows, so its range is an aggregate and
     not a window.  The aggregate has at most one row per entry of the
     schedule, which is the bound that makes the broadcast safe.  ``doi_day``
     is the (possibly half) day number behind the floored date.
+
+    Only responses count towards a midpoint, and trimming drops none, so
+    ``middles`` may come from the untrimmed visits: a pruned scan and a small
+    aggregate in place of a second run through the person windows.
     """
-    middles = wave_midpoints(visits, schedule, study, wave, date, respond)
+    if middles is None:
+        middles = wave_midpoints(visits, schedule, study, wave, date, respond)
     return (visits.join(F.broadcast(middles), [study, wave], "left")
             .withColumn("doi_day", first_match(
                 (F.col(respond) != 1, None),

@@ -11,7 +11,7 @@ from pairwave.operators.households import eligible_couples, keep_complete_person
 from pairwave.operators.recode import recode_visit_covariates
 from pairwave.operators.visits import (
     define_gated_outcomes, flag_response, impute_visit_dates, keep_schedule, link_visit_dates,
-    trim_trailing_nonresponse)
+    trim_trailing_nonresponse, wave_midpoints)
 
 # Fixed list of covariates a complete case must have at baseline, without
 # the columns that the cohort tables at hand do not carry.
@@ -30,7 +30,8 @@ def dated_visits(visits: DataFrame) -> DataFrame:
 
     The trim and the linking windows share one shuffle on (study, person).
     """
-    return link_visit_dates(impute_visit_dates(main_visits(visits)))
+    middles = wave_midpoints(flag_response(visits))
+    return link_visit_dates(impute_visit_dates(main_visits(visits), middles=middles))
 
 
 def complete_couples(dated: DataFrame, covariates=COMPLETE_CASE_COLUMNS) -> DataFrame:
