@@ -124,18 +124,29 @@ def _centered(model: Model, rows: pd.DataFrame, centers: dict) -> np.ndarray:
     return x - np.array(shift)
 
 
-def _row_sums(model: Model, rows: pd.DataFrame, beta: np.ndarray, centers: dict) -> np.ndarray:
+def _sums_by(keys: np.ndarray, model: Model, rows: pd.DataFrame, beta: np.ndarray, centers: dict):
+    """Sums per distinct key: one small matrix product over each key's rows,
+    and one over those of them with an event."""
     layout = _Layout(len(model.terms))
-    x = _centered(model, rows, centers)
-    n, event = rows["n"].to_numpy("float64"), rows["event"].to_numpy("float64")
-    weight = n * np.exp(x @ beta)
-    moments = np.column_stack([np.ones(len(x)), x, x[:, layout.upper[0]] * x[:, layout.upper[1]]])
-    out = np.empty((len(x), layout.width))
-    out[:, layout.risk] = moments * weight[:, None]
-    out[:, layout.tied] = moments * (weight * event)[:, None]
-    out[:, layout.deaths], out[:, layout.at_risk] = n * event, n
-    out[:, layout.covariates] = x * (n * event)[:, None]
-    return out
+    event = rows["event"].to_numpy("int64")
+    order = np.lexsort((event, keys))
+    keys, event, n = keys[order], event[order], rows["n"].to_numpy("float64")[order]
+    x = _centered(model, rows, centers)[order]
+    with_one = np.column_stack([np.ones(len(x)), x])
+    weighted = with_one * (n * np.exp(x @ beta))[:, None]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    ends = np.append(starts[1:], len(keys))
+    events = ends - np.add.reduceat(event, starts)
+    upper = np.triu_indices(layout.p + 1)
+    out = np.zeros((len(starts), layout.width))
+    for row, start, first, end in zip(out, starts, events, ends):
+        row[layout.risk] = (weighted[start:end].T @ with_one[start:end])[upper]
+        if first < end:
+            row[layout.tied] = (weighted[first:end].T @ with_one[first:end])[upper]
+    out[:, layout.deaths] = np.add.reduceat(n * event, starts)
+    out[:, layout.at_risk] = np.add.reduceat(n, starts)
+    out[:, layout.covariates] = np.add.reduceat(x * (n * event)[:, None], starts, axis=0)
+    return keys[starts], out
 
 
 def _add_by(keys: np.ndarray, values: np.ndarray):
@@ -171,7 +182,7 @@ def _sums(frame: SurvivalFrame, models, betas, per_range: bool) -> DataFrame:
                     continue
                 time = rows["time"].to_numpy("float64")
                 keys = np.searchsorted(cuts, time, side="right") if per_range else time
-                added = _add_by(keys, _row_sums(model, rows, betas[k], centers.get(model.group, {})))
+                added = _sums_by(keys, model, rows, betas[k], centers.get(model.group, {}))
                 if k in held:
                     added = _add_by(*(np.concatenate(pair) for pair in zip(held[k], added)))
                 held[k] = added
