@@ -71,7 +71,7 @@ def _position(wave: str, day: str) -> Column:
     return F.col(wave).cast("double") * F.lit(1e7) + F.coalesce(F.col(day), F.lit(9e6))
 
 
-def event_or_censor(visits: DataFrame, keys=("carrs", "pid"), household: str = "hhid", wave: str = "fup",
+def event_or_censor(visits: DataFrame, keys=("pid", "carrs"), household: str = "hhid", wave: str = "fup",
                     outcome: str = "dm_biomarker", day: str = "doi_day", midpoint: str = "midpoint_day",
                     baseline: str = "baseline_day", event_date: str = "midpoint") -> DataFrame:
     """One row per baseline event-free person: the first event or the last row.
@@ -91,7 +91,7 @@ def event_or_censor(visits: DataFrame, keys=("carrs", "pid"), household: str = "
         *[F.min_by(F.col(c), F.when(hit, position)).alias(f"_first_{c}")
           for c in (wave, household, at_event, baseline)],
         *[F.max_by(F.col(c), position).alias(f"_last_{c}") for c in (wave, household, day, baseline)])
-    free = F.max("_free").over(Window.partitionBy(keys[-1]))
+    free = F.max("_free").over(Window.partitionBy(keys[0]))
     chosen = picked.withColumn("_free", free).where(F.col("_free") == 1)
 
     def either(first, last):
@@ -110,14 +110,18 @@ def annotate_events(visits: DataFrame, events: DataFrame, keys=("carrs", "fup",
     return flag_baseline_cases(visits.join(events, list(keys), "left"), person, wave, outcome)
 
 
+def _baseline_case(wave: str, outcome: str, person: str) -> Column:
+    case = F.when((F.col(wave) == 0) & (F.col(outcome) != 0), 1)
+    return F.coalesce(F.max(case).over(Window.partitionBy(person)), F.lit(0))
+
+
 def flag_baseline_cases(visits: DataFrame, person: str = "pid", wave: str = "fup",
                         outcome: str = "dm_biomarker") -> DataFrame:
     """1 on every row of a person known to have the event at baseline, else 0."""
-    case = F.when((F.col(wave) == 0) & (F.col(outcome) != 0), 1)
-    return visits.withColumn("baseline_dm", F.coalesce(F.max(case).over(Window.partitionBy(person)), F.lit(0)))
+    return visits.withColumn("baseline_dm", _baseline_case(wave, outcome, person))
 
 
-def mark_events(visits: DataFrame, keys=("carrs", "pid"), wave: str = "fup", outcome: str = "dm_biomarker",
+def mark_events(visits: DataFrame, keys=("pid", "carrs"), wave: str = "fup", outcome: str = "dm_biomarker",
                 day: str = "doi_day", midpoint: str = "midpoint_day", baseline: str = "baseline_day",
                 event_date: str = "midpoint") -> DataFrame:
     """Event or censor columns on the row they belong to, and baseline status.
@@ -127,11 +131,11 @@ def mark_events(visits: DataFrame, keys=("carrs", "pid"), wave: str = "fup", out
     person are neither shuffled nor read again.
     """
     at_event = midpoint if event_date == "midpoint" else day
-    within, person = Window.partitionBy(*keys), Window.partitionBy(keys[-1])
+    within, person = Window.partitionBy(*keys), Window.partitionBy(keys[0])
     hit = F.col(outcome) == 1
-    free = F.max(F.when((F.col(wave) == 0) & (F.col(outcome) == 0), 1)).over(person)
     marked = visits.withColumn("_position", _position(wave, day)).withColumns({
-        "_free": free,
+        "_free": F.max(F.when((F.col(wave) == 0) & (F.col(outcome) == 0), 1)).over(person),
+        "baseline_dm": _baseline_case(wave, outcome, keys[0]),
         "_first": F.min(F.when(hit, F.col("_position"))).over(within),
         "_last": F.max("_position").over(within)})
     event = (F.col("_free") == 1) & hit & (F.col("_position") == F.col("_first"))
@@ -140,4 +144,4 @@ def mark_events(visits: DataFrame, keys=("carrs", "pid"), wave: str = "fup", out
         "dm_incident": first_match((event, 1), (censored, 0)),
         "dm_incident_day": first_match((event, F.col(at_event)), (censored, F.col(day)))})
     marked = marked.withColumn("time_to_dm", F.col("dm_incident_day") - F.col(baseline))
-    return flag_baseline_cases(marked, keys[-1], wave, outcome).drop("_position", "_free", "_first", "_last")
+    return marked.drop("_position", "_free", "_first", "_last")

@@ -2,7 +2,9 @@
 
 The key bounds a person's rows by the number of waves, so windows over a
 person are small; ``functions.joins.require_unique`` checks input that is
-not known to respect it.
+not known to respect it.  Window keys start with the person: data
+partitioned and sorted that way once serves all windows over a person,
+within one study or across studies.
 """
 
 from __future__ import annotations
@@ -117,14 +119,16 @@ def _person(keys):
     return Window.partitionBy(*keys)
 
 
-def trim_trailing_nonresponse(visits: DataFrame, keys=("carrs", "pid"), wave: str = "fup",
+def trim_trailing_nonresponse(visits: DataFrame, keys=("pid", "carrs"), wave: str = "fup",
                               respond: str = "respond") -> DataFrame:
-    """Drop the waves after a person's last response, and people without any."""
-    person = _person(keys)
-    return (visits
-            .withColumn("_order", F.row_number().over(person.orderBy(F.col(wave).asc_nulls_last())))
-            .withColumn("_last", F.max(F.when(F.col(respond) == 1, F.col("_order"))).over(person))
-            .where(F.col("_order") <= F.col("_last")).drop("_order", "_last"))
+    """Drop the waves after a person's last response, and people without any.
+
+    The wave orders a person's rows, so its maximum among responses stands
+    for the last position; an unknown wave comes last.
+    """
+    place = F.coalesce(F.col(wave), F.lit(2**31 - 1))
+    last = F.max(F.when(F.col(respond) == 1, place)).over(_person(keys))
+    return visits.withColumn("_last", last).where(place <= F.col("_last")).drop("_last")
 
 
 def wave_midpoints(visits: DataFrame, schedule=None, study: str = "carrs", wave: str = "fup",
@@ -161,7 +165,7 @@ def impute_visit_dates(visits: DataFrame, schedule=None, study: str = "carrs", w
             .drop("doi_midpoint_day"))
 
 
-def link_visit_dates(visits: DataFrame, keys=("carrs", "pid"), wave: str = "fup",
+def link_visit_dates(visits: DataFrame, keys=("pid", "carrs"), wave: str = "fup",
                      day: str = "doi_day") -> DataFrame:
     """Baseline day, last known earlier day, and the midpoint between visits.
 
@@ -179,9 +183,9 @@ def link_visit_dates(visits: DataFrame, keys=("carrs", "pid"), wave: str = "fup"
                 F.col("prior_day") + (F.col(day) - F.col("prior_day")) / 2.0)))
 
 
-def carry_forward(visits: DataFrame, column: str, keys=("carrs", "pid"), wave: str = "fup",
+def carry_forward(visits: DataFrame, column: str, keys=("pid", "carrs"), wave: str = "fup",
                   name: str | None = None) -> DataFrame:
     """Last known value up to and including the current wave."""
-    so_far = (_person(keys).orderBy(F.col(wave).asc_nulls_last())
+    so_far = (_person(keys).orderBy(F.col(wave).asc_nulls_last(), F.col(column).asc_nulls_last())
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return visits.withColumn(name or f"{column}_last_obs", F.last(column, ignorenulls=True).over(so_far))
