@@ -290,6 +290,8 @@ STATEMENTS: dict[str, str] = {
         morbidity_category, famhx_cvd, famhx_htn, famhx_dm, alc_overall, smk_overall, bmi_category FROM linked_recoded_t""",
     "event_or_censor_long": """SELECT pid, carrs, fup, hhid, dm_biomarker, dm_incident, dm_incident_day, time_to_dm,
         baseline_dm FROM long_annotated_t""",
+    "baseline_ids": """SELECT DISTINCT pid, dm_biomarker AS baseline_event FROM extra_outcome_t
+        WHERE fup = 0 AND dm_biomarker IS NOT NULL""",
     "event_or_censor": "SELECT carrs, pid, fup, hhid, dm_incident, dm_incident_day, time_to_dm FROM long_event_t",
     "annotated_visits": """SELECT pid, carrs, fup, hhid, dm_biomarker, dm_incident, dm_incident_day, time_to_dm,
         baseline_dm FROM long_annotated_t""",
@@ -447,21 +449,22 @@ FROM (SELECT t.*, f.b[t.place] AS b, {error} AS se, s.n_model,
       JOIN (SELECT model, count(*) AS n_model FROM {prefix}_data_t GROUP BY model) s ON s.model = t.model) w"""
 
 
-def _ratios(prefix: str, measure: str, names, frame: str, robust: bool = False) -> str:
+def _ratios(prefix: str, measure: str, names, frame: str, robust: bool = False, source: str = "role_t",
+            place: int = 2, z: float = 1.96, total: str = "CAST(sum(count(*)) OVER (PARTITION BY role) AS BIGINT)") -> str:
     """Printed table of partner ratios: a reference row and an estimate row per role."""
-    error = "sqrt(q.var)" if robust else "sqrt(f.inv[2][2])"
+    error = "sqrt(q.var)" if robust else f"sqrt(f.inv[{place}][{place}])"
     joined = f"JOIN {prefix}_robust_t q ON q.model = f.model AND q.k = 2" if robust else ""
-    estimate = fixed("exp(b)", 2) + " || ' (' || " + fixed("exp(b - 1.96 * se)", 2) + " || ' - ' || " + fixed("exp(b + 1.96 * se)", 2) + " || ')'"
+    estimate = fixed("exp(b)", 2) + " || ' (' || " + fixed(f"exp(b - {z} * se)", 2) + " || ' - ' || " + fixed(f"exp(b + {z} * se)", 2) + " || ')'"
     columns = ", ".join(
-        f"CASE k WHEN 0 THEN '1.00' ELSE (SELECT {estimate} FROM (SELECT f.b[2] AS b, {error} AS se FROM {prefix}_end_t f {joined} "
+        f"CASE k WHEN 0 THEN '1.00' ELSE (SELECT {estimate} FROM (SELECT f.b[{place}] AS b, {error} AS se FROM {prefix}_end_t f {joined} "
         f"WHERE f.model = g.role || '/{n}') e) END AS \"{n}{'' if n.startswith('Age') else ' adjusted'} {measure} (95% CI)\"" for n in names)
     return f"""
 SELECT CAST(CASE role WHEN 'Women' THEN 0 ELSE 2 END + k AS INT) AS position,
        role || ' without diabetes at baseline (n=' || total || ')' AS "Individual's status at baseline",
        CASE k WHEN 0 THEN 'No diabetes' ELSE 'Diabetes' END || ' (n=' || n || ')'
          AS "Individuals with following partner's status at baseline", {columns}
-FROM (SELECT role, partner_baseline_dm AS k, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY role) AS BIGINT) AS total
-      FROM role_t WHERE {frame} GROUP BY role, partner_baseline_dm) g"""
+FROM (SELECT role, partner_baseline_dm AS k, count(*) AS n, {total} AS total
+      FROM {source} s WHERE {frame} GROUP BY role, partner_baseline_dm) g"""
 
 
 SPOUSE = [("partner_baseline_dm", "partner_baseline_dm")]
@@ -574,6 +577,9 @@ SELECT CAST(CASE sex WHEN 'Women' THEN 0 ELSE 4 END + CASE WHEN model LIKE '%age
        ratio AS hr_spouse, conf_low AS hr_lcl, conf_high AS hr_ucl, p_value
 FROM (""" + _model_terms("cox", NORMAL_975, COX_FRAME, "role_t") + ") m WHERE term = 'partner_baseline_dm'",
     "cox_factor": _model_terms("wavecox", NORMAL_975, WAVE_FRAME, "wave_role_t"),
+    "cox_report": _ratios("wavecox", "HR", ("Age adjusted", "Model 1", "Model 2"), WAVE_FRAME, source="wave_role_t",
+                          place=1, z=NORMAL_975,
+                          total="(SELECT count(*) FROM wave_role_t w WHERE w.role = s.role AND w.baseline_dm = 0)"),
     "cox_cluster": f"SELECT {_HAZARDS} FROM clus_hr_t",
     "hr_table": f"SELECT {_HAZARDS} FROM (SELECT *, row_number() OVER (ORDER BY b NULLS LAST) AS place FROM clus_hr_t) h WHERE place > 2",
     "ph_test": f"SELECT name AS term, {r('chisq')}, CAST(df AS INT) AS df, {r(chi_square_tail('chisq', 'df', 14), 'p_value')} FROM clus_zph_t",

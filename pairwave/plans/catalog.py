@@ -181,6 +181,14 @@ def event_or_censor_long(spark, folder):
         *PERSON_WAVE, "hhid", "dm_biomarker", "dm_incident", "dm_incident_day", "time_to_dm", "baseline_dm")
 
 
+@query
+def baseline_ids(spark, folder):
+    """People known to have, or to be free of, the event at baseline."""
+    recoded = _extra_outcomes(spark, folder)
+    return events.baseline_ids(recoded, event=True).withColumn("baseline_event", F.lit(1)).unionByName(
+        events.baseline_ids(recoded, event=False).withColumn("baseline_event", F.lit(0)))
+
+
 @query
 def event_or_censor(spark, folder):
     """One event or censor row per person free of the event at baseline."""
@@ -473,6 +481,17 @@ def cox_factor(spark, folder):
     return _terms(spark, reports.fit_partner_cox(reports.wave_roles(waves, rows)), NORMAL_975)
 
 
+@query
+def cox_report(spark, folder):
+    """Partner hazard ratios as printed."""
+    long, rows = _model_couples(spark, folder)
+    waves = dyads.members_to_wide(long.select("hhid", "carrs", "fup", "sex", *WAVE_VALUES))
+    roles = pin(reports.wave_roles(waves, rows))
+    totals = {r["role"]: r["count"] for r in roles.where("baseline_dm = 0").groupBy("role").count().collect()}
+    return reports.ratio_table(spark, reports.fit_partner_cox(roles), reports.partner_counts(roles, with_time=True),
+                               "HR", NORMAL_975, totals)
+
+
 def _clustered(spark, folder):
     long, rows = _model_couples(spark, folder)
     return reports.fit_clustered_cox(reports.event_frame(rows, reports.baseline_covariates(long)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwave.functions.distributions import NORMAL_975
+from pairwave.functions.joins import first_per_key
 from pairwave.operators.cox import (
     ZPH_SCHEMA, fit_cox, proportional_hazards_test, survival_frame)
 from pairwave.operators.design import Fit, Model, Term, factor, levels_of, numeric, term_table
@@ -141,8 +142,9 @@ BASELINE_FACTORS = ("sex", "edu_category", "employ_category", "hhincome", "site"
 def baseline_covariates(long: DataFrame) -> DataFrame:
     """Baseline rows' covariates, one row per (study, person)."""
     columns = ("sex", "age", "edu_category", "employ_category", "hhincome", "site", "famhx_dm", "baseline_dm")
-    return long.where(F.col("fup") == 0).select(
-        "carrs", "pid", "hhid", F.col("bmi").alias("bmi_baseline"), *columns).dropDuplicates(["carrs", "pid"])
+    rows = long.where(F.col("fup") == 0).select(
+        "carrs", "pid", "hhid", F.col("bmi").alias("bmi_baseline"), *columns)
+    return first_per_key(rows, ("carrs", "pid"), ("hhid",))
 
 
 def event_frame(events: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -182,7 +184,7 @@ def zph_table(spark, rows, fit: Fit) -> DataFrame:
 def wave_roles(waves: DataFrame, events: DataFrame) -> DataFrame:
     """Role view of the baseline dyad waves with each member's outcome."""
     baseline = waves.where(F.col("fup") == 0)
-    outcome = events.select("carrs", "pid", "dm_incident", "time_to_dm").dropDuplicates(["carrs", "pid"])
+    outcome = first_per_key(events.select("carrs", "pid", "time_to_dm", "dm_incident"), ("carrs", "pid"), ("time_to_dm",))
     columns = ("age", "edu_category", "famhx_dm", "morbidity_category", "bmi_category")
     views = [F.struct(
         F.lit(role).alias("role"), "hhid", "carrs", F.col(f"{own}_pid").alias("pid"),

@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Application id -> checkpoint folder that was handed to its context.
+_in_use: dict[str, str] = {}
+
 
 def build_session(app: str = "pairwave", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators are written for.
@@ -19,6 +22,8 @@ def build_session(app: str = "pairwave", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Pinned frames are removed from the checkpoint folder once unused.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Call sites are recorded per column expression otherwise, which
         # takes longer than planning for tables of fifty columns.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -39,14 +44,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
     on a cluster a machine-local folder would be lost with its executor.
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and context.getCheckpointDir() is not None:
+        return context.getCheckpointDir()
+    if named is None:
         if context.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="pairwave-checkpoint-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+        named = tempfile.mkdtemp(prefix="pairwave-checkpoint-")
+    if _in_use.get(context.applicationId) != named:
+        context.setCheckpointDir(named)
+        _in_use[context.applicationId] = named
+    return named
 
 
 def pin(frame: DataFrame) -> DataFrame:
