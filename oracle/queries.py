@@ -332,6 +332,15 @@ STATEMENTS: dict[str, str] = {
     "dyad_waves_wide": "SELECT hhid, carrs, fup, " + ", ".join(
         (r(f"{s}_{v}") if v == "bmi" else f"{s}_{v}") for s in ("female", "male") for v in WAVE_VALUES)
         + " FROM (" + members_wide("long_annotated_t", WAVE_VALUES) + ") w",
+    "wave_dyads_at_risk": """SELECT hhid, carrs, female_pid, male_pid,
+        CASE WHEN female_dm_biomarker = 1 AND male_dm_biomarker = 1 THEN NULL ELSE 1 END AS dyad_at_risk,
+        CASE WHEN female_dm_biomarker = 1 OR female_known = 0 THEN NULL ELSE 1 END AS female_at_risk,
+        CASE WHEN male_dm_biomarker = 1 OR male_known = 0 OR male_habits = 0 THEN NULL ELSE 1 END AS male_at_risk
+        FROM (""" + members_wide(
+        "(SELECT *, CASE WHEN age IS NULL OR bmi IS NULL OR edu_category IS NULL OR famhx_dm IS NULL "
+        "OR morbidity_category IS NULL THEN 0 ELSE 1 END AS known, "
+        "CASE WHEN smk_overall IS NULL OR alc_overall IS NULL THEN 0 ELSE 1 END AS habits "
+        "FROM outcome_recoded_t WHERE fup = 0)", ("pid", "dm_biomarker", "known", "habits")) + ") w",
     "event_free_couples": "SELECT * FROM (" + members_wide(
         "(SELECT *, dm_biomarker AS dm_biomarker0 FROM extra_outcome_t WHERE fup = 0)", ("pid", "age", "dm_biomarker0"))
         + ") w WHERE female_dm_biomarker0 = 0 OR male_dm_biomarker0 = 0",

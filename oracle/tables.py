@@ -319,6 +319,7 @@ TABLES = {
     "case_t": complete_cases("spouse_t", COMPLETE_CASE_COLUMNS),
     "mixed_t": MIXED.format(source="case_t"), "close_t": CLOSE.format(source="mixed_t"),
     "long_t": RECODE_VISITS.format(source="close_t"),
+    "outcome_recoded_t": RECODE_VISITS.format(source="extra_outcome_t"),
     "linked_recoded_t": RECODE_VISITS.format(source="linked_t"),
     "long_event_t": EVENT_ROWS.format(source="linked_recoded_t"),
     "long_annotated_t": ANNOTATED.format(source="linked_recoded_t", events="long_event_t"),

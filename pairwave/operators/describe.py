@@ -194,7 +194,12 @@ def level_shares(dyads: DataFrame, variables=CATEGORICAL, roles=None) -> DataFra
 
 
 def chi_square(dyads: DataFrame, variables=CATEGORICAL, roles=None) -> DataFrame:
-    """Pearson chi-square of level by role; continuity-corrected for 2x2 tables."""
+    """Pearson chi-square of level by role; continuity-corrected for 2x2 tables.
+
+    A variable with a single level is tested for equal counts in the roles,
+    and one without known values in a role gives nulls, as in the published
+    test.
+    """
     roles = ROLES if roles is None else roles
     whole = Window.partitionBy("variable")
     counts = level_counts(dyads, variables, roles).where("level is not null").withColumns({
@@ -202,17 +207,21 @@ def chi_square(dyads: DataFrame, variables=CATEGORICAL, roles=None) -> DataFrame
         **{f"_col_{r}": F.sum(f"n_{r}").over(whole) for r in roles},
         "_levels": F.count(F.lit(1)).over(whole)})
     total = sum((F.col(f"_col_{r}") for r in roles), F.lit(0)).cast("double")
-    expected = {r: F.try_divide(F.col("_row") * F.col(f"_col_{r}").cast("double"), total) for r in roles}
+    single = F.col("_levels") == 1
+    empty = ~single & F.least(*[F.col(f"_col_{r}") for r in roles]).eqNullSafe(F.lit(0))
+    expected = {r: F.when(single, total / len(roles)).otherwise(
+        F.try_divide(F.col("_row") * F.col(f"_col_{r}").cast("double"), total)) for r in roles}
     deviation = {r: F.abs(F.col(f"n_{r}") - expected[r]) for r in roles}
     correction = F.when((F.col("_levels") == 2) & (F.lit(len(roles)) == 2), F.lit(0.5)).otherwise(F.lit(0.0))
     # The correction never exceeds the smallest deviation, as in the published test.
     smallest = F.min(F.least(*deviation.values())).over(whole)
     corrected = counts.withColumns({
         "_part": sum((F.try_divide(F.pow(deviation[r] - F.least(correction, smallest), 2.0), expected[r])
-                      for r in roles), F.lit(0.0))})
+                      for r in roles), F.lit(0.0)),
+        "_empty": empty})
     return (corrected.groupBy("variable").agg(
-        F.sum("_part").alias("statistic"), (F.max("_levels") - 1).cast("int").alias("df"))
-        .withColumn("df", F.col("df") * (len(roles) - 1))
+        F.when(~F.max("_empty"), F.sum("_part")).alias("statistic"),
+        (F.greatest(F.max("_levels") - 1, F.lit(1)) * (len(roles) - 1)).cast("int").alias("df"))
         .withColumn("p_value", chi_square_p(F.col("statistic"), F.col("df"))))
 
 

@@ -65,15 +65,28 @@ def member_at_risk(status: str, covariates) -> Column:
                        (any_of([F.col(c).isNull() for c in covariates]), None), default=1)
 
 
-def flag_dyads_at_risk(dyads: DataFrame, outcome: str = "dm_biomarker0",
-                       female=FEMALE_COVARIATES, male=MALE_COVARIATES) -> DataFrame:
+def flag_dyads_at_risk(dyads: DataFrame, outcome: str = "dm_biomarker0", female=FEMALE_COVARIATES,
+                       male=MALE_COVARIATES, wife: str = "{}_wife", husband: str = "{}_husb") -> DataFrame:
+    """Dyad and member flags; the patterns name a member's columns, for
+    suffixed dyads as well as for the prefixed rows of ``members_to_wide``."""
     return dyads.withColumns({
-        "dyad_at_risk": dyad_at_risk(f"{outcome}_husb", f"{outcome}_wife"),
-        "female_at_risk": member_at_risk(f"{outcome}_wife", [f"{c}_wife" for c in female]),
-        "male_at_risk": member_at_risk(f"{outcome}_husb", [f"{c}_husb" for c in male]),
+        "dyad_at_risk": dyad_at_risk(husband.format(outcome), wife.format(outcome)),
+        "female_at_risk": member_at_risk(wife.format(outcome), [wife.format(c) for c in female]),
+        "male_at_risk": member_at_risk(husband.format(outcome), [husband.format(c) for c in male]),
     })
 
 
+# Fixed covariate lists of the longitudinal variant's at-risk flags.
+WAVE_COVARIATES = ("age", "bmi", "edu_category", "famhx_dm", "morbidity_category")
+WAVE_BEHAVIOURS = ("smk_overall", "alc_overall")
+
+
+def flag_waves_at_risk(waves: DataFrame, outcome: str = "dm_biomarker", wave: str = "fup") -> DataFrame:
+    """At-risk flags on the baseline rows of the dyad waves."""
+    return flag_dyads_at_risk(waves.where(F.col(wave) == 0), outcome, WAVE_COVARIATES,
+                              (*WAVE_COVARIATES, *WAVE_BEHAVIOURS), "female_{}", "male_{}")
+
+
 ROLE_COLUMNS = {
     "age": "age", "edu_category": "educcat", "famhx_dm": "famhx_dm",
     "morbidity_category": "multimorbiditycat", "bmi_category": "bmicat",

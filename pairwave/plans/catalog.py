@@ -292,6 +292,16 @@ def dyad_waves_wide(spark, folder):
     return dyads.members_to_wide(long)
 
 
+@query
+def wave_dyads_at_risk(spark, folder):
+    """At-risk flags of baseline dyad waves."""
+    recoded = recode.recode_visit_covariates(_extra_outcomes(spark, folder))
+    waves = dyads.members_to_wide(recoded.select(
+        "hhid", "carrs", "fup", "sex", "pid", "dm_biomarker", *dyads.WAVE_COVARIATES, *dyads.WAVE_BEHAVIOURS))
+    return dyads.flag_waves_at_risk(waves).select(
+        "hhid", "carrs", "female_pid", "male_pid", "dyad_at_risk", "female_at_risk", "male_at_risk")
+
+
 @query
 def event_free_couples(spark, folder):
     """Baseline rows of couples with an event-free member."""

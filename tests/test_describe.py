@@ -115,6 +115,14 @@ def test_chi_square_correction_only_for_two_by_two(spark):
     assert got["b"]["df"] == 2 and got["b"]["p_value"] < 1e-4
 
 
+def test_chi_square_of_one_level_and_of_an_empty_role(spark):
+    frame = spark.createDataFrame([(1, 1, 1, None)] * 6 + [(1, None, 2, None)] * 2,
+                                  "a_wife int, a_husb int, b_wife int, b_husb int")
+    got = {r["variable"]: r for r in describe.chi_square(frame, variables=("a", "b")).collect()}
+    assert got["a"]["df"] == 1 and math.isclose(got["a"]["statistic"], 2 * (8 - 7) ** 2 / 7)
+    assert got["b"]["statistic"] is None and got["b"]["p_value"] is None
+
+
 def test_level_shares_with_unknown_values(spark):
     frame = spark.createDataFrame([(1, 2), (1, 1), (None, 1), (3, None)], "e_wife int, e_husb int")
     got = {r["level"]: r for r in describe.level_shares(frame, variables=("e",)).collect()}
