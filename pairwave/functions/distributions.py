@@ -105,6 +105,17 @@ def p_text(p: Column) -> Column:
 
 
 def inverse(matrix: np.ndarray) -> np.ndarray:
-    """Inverse of a symmetric positive matrix after scaling its diagonal to one."""
-    scale = 1.0 / np.sqrt(np.diag(matrix))
-    return np.linalg.inv(matrix * np.outer(scale, scale)) * np.outer(scale, scale)
+    """Inverse of a symmetric positive matrix after scaling its diagonal to one.
+
+    A matrix that has become singular (a covariate separates the events)
+    gives NaN, so that the fit reports no estimate instead of failing.
+    """
+    with np.errstate(invalid="ignore", divide="ignore"):
+        scale = 1.0 / np.sqrt(np.diag(matrix))
+        scaled = matrix * np.outer(scale, scale)
+    if not np.all(np.isfinite(scaled)):
+        return np.full_like(matrix, np.nan)
+    try:
+        return np.linalg.inv(scaled) * np.outer(scale, scale)
+    except np.linalg.LinAlgError:
+        return np.full_like(matrix, np.nan)

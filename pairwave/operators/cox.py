@@ -133,7 +133,8 @@ def _sums_by(keys: np.ndarray, model: Model, rows: pd.DataFrame, beta: np.ndarra
     keys, event, n = keys[order], event[order], rows["n"].to_numpy("float64")[order]
     x = _centered(model, rows, centers)[order]
     with_one = np.column_stack([np.ones(len(x)), x])
-    weighted = with_one * (n * np.exp(x @ beta))[:, None]
+    with np.errstate(over="ignore"):
+        weighted = with_one * (n * np.exp(x @ beta))[:, None]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     ends = np.append(starts[1:], len(keys))
     events = ends - np.add.reduceat(event, starts)
@@ -247,27 +248,29 @@ class _Block:
 
 def _evaluate(p: int, beta: np.ndarray, time: np.ndarray, sums: np.ndarray, later: np.ndarray) -> _Block:
     """Likelihood pieces per event time; ``later`` holds the sums of all later blocks."""
-    layout = _Layout(p)
-    time, sums = _add_by(time, sums)
-    at_or_after = sums[::-1].cumsum(axis=0)[::-1] + later
-    here = sums[:, layout.deaths] > 0
-    d = sums[here, layout.deaths]
-    s0, s1, s2 = layout.split(at_or_after[here][:, layout.risk])
-    e0, e1, e2 = layout.split(sums[here][:, layout.tied])
-    log_q, a0, a1, b0, b1, b2 = _tied_sums(d, s0, e0).T
-    covariates = sums[here][:, layout.covariates]
-
-    def scaled(factor, array):
-        return factor.reshape(-1, *([1] * (array.ndim - 1))) * array
-
-    cross = s1[:, :, None] * e1[:, None, :]
-    info = (scaled(a0, s2) - scaled(a1, e2) - scaled(b0, s1[:, :, None] * s1[:, None, :])
-            + scaled(b1, cross + cross.transpose(0, 2, 1)) - scaled(b2, e1[:, :, None] * e1[:, None, :]))
-    mean_sum = scaled(a0, s1) - scaled(a1, e1)
-    return _Block(
-        sums[:, layout.at_risk].sum(), time[here], d, at_or_after[here, layout.at_risk], covariates @ beta - log_q, covariates - mean_sum, info,
-        a0, scaled(b0, s1) - scaled(b1, e1), a0 - a1,
-        scaled(b0 - b1, s1) - scaled(b1 - b2, e1), mean_sum / d[:, None])
+    # Coefficients that run away overflow; the step control rejects the result.
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        layout = _Layout(p)
+        time, sums = _add_by(time, sums)
+        at_or_after = sums[::-1].cumsum(axis=0)[::-1] + later
+        here = sums[:, layout.deaths] > 0
+        d = sums[here, layout.deaths]
+        s0, s1, s2 = layout.split(at_or_after[here][:, layout.risk])
+        e0, e1, e2 = layout.split(sums[here][:, layout.tied])
+        log_q, a0, a1, b0, b1, b2 = _tied_sums(d, s0, e0).T
+        covariates = sums[here][:, layout.covariates]
+
+        def scaled(factor, array):
+            return factor.reshape(-1, *([1] * (array.ndim - 1))) * array
+
+        cross = s1[:, :, None] * e1[:, None, :]
+        info = (scaled(a0, s2) - scaled(a1, e2) - scaled(b0, s1[:, :, None] * s1[:, None, :])
+                + scaled(b1, cross + cross.transpose(0, 2, 1)) - scaled(b2, e1[:, :, None] * e1[:, None, :]))
+        mean_sum = scaled(a0, s1) - scaled(a1, e1)
+        return _Block(
+            sums[:, layout.at_risk].sum(), time[here], d, at_or_after[here, layout.at_risk], covariates @ beta - log_q, covariates - mean_sum, info,
+            a0, scaled(b0, s1) - scaled(b1, e1), a0 - a1,
+            scaled(b0 - b1, s1) - scaled(b1 - b2, e1), mean_sum / d[:, None])
 
 
 def _pack(block: _Block, p: int, survival_before: float | None) -> np.ndarray:
@@ -304,7 +307,7 @@ def _step(frame: SurvivalFrame, models, betas, weighted: bool = False) -> list[n
     for a single block, two or three for ranges."""
     models = list(models)
     if not frame.blocks():
-        partial = _sums(frame, models, betas, per_range=False).toPandas()
+        partial = _sums(frame, models, betas, per_range=False).toArrow().to_pandas()
         packed = []
         for k, model in enumerate(models):
             block = _block_of(partial, k, model, betas[k])
@@ -396,6 +399,8 @@ def fit_cox(frame: SurvivalFrame, models, robust: bool = False) -> list[Fit]:
                 continue
             infos[k], best[k] = info, loglik
             step = inverse(info) @ score
+            if not np.all(np.isfinite(step)):
+                continue
             if np.max(np.abs(step) * np.sqrt(np.diag(info))) > 1e-9:
                 steps[k], betas[k] = step, betas[k] + step
                 still_open.append(k)
@@ -437,9 +442,11 @@ def _hazard_table(frame: SurvivalFrame, model: Model, beta: np.ndarray) -> DataF
             "own_hazard": own[:, 0], "own_mean": list(own[:, 1:]), "tied": list(tied)})
 
     if not frame.blocks():
-        partial = _sums(frame, [model], [beta], per_range=False).toPandas()
+        partial = _sums(frame, [model], [beta], per_range=False).toArrow().to_pandas()
         block = _block_of(partial, 0, model, beta)
-        return spark.createDataFrame(table(block, np.unique(partial["time"].to_numpy("float64")), np.zeros(1 + p)), schema)
+        rows = table(block, np.unique(partial["time"].to_numpy("float64")), np.zeros(1 + p))
+        columns = [[v.tolist() if isinstance(v, np.ndarray) else float(v) for v in rows[c]] for c in rows]
+        return spark.createDataFrame(list(zip(*columns)), schema)
 
     later = _totals_per_range(frame, [model], [beta])[0]
 
@@ -517,8 +524,10 @@ def proportional_hazards_test(frame: SurvivalFrame, fit: Fit) -> list[tuple[str,
     rows = []
     for name, index in tests:
         reduced = weighted[np.ix_(index, index)] - cross[index] @ inverse(info) @ cross[:, index]
-        statistic = float(score[index] @ np.linalg.solve(reduced, score[index]))
-        rows.append((name, statistic, len(index), chi_square_tail(statistic, len(index))))
+        statistic = float(score[index] @ inverse(reduced) @ score[index])
+        known = np.isfinite(statistic)
+        rows.append((name, statistic if known else None, len(index),
+                     chi_square_tail(statistic, len(index)) if known else None))
     return rows
 
 

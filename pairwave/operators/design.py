@@ -95,7 +95,7 @@ class Fit:
         if term not in self.model.names:
             return None, None
         k = self.model.names.index(term)
-        if not np.isfinite(self.coef[k]):
+        if not np.isfinite(self.coef[k]) or not self.cov[k, k] >= 0:
             return None, None
         return float(self.coef[k]), float(np.sqrt(self.cov[k, k]))
 

@@ -64,7 +64,7 @@ def fit_glms(patterns: DataFrame, outcome: str, models, family: str = "binomial"
         else:
             coef, cov, n_model = np.full(len(names), np.nan), np.full((len(names),) * 2, np.nan), 0
         fits.append(Fit(model, coef[1:], cov[1:, 1:], n_frame, n_model, n_events,
-                        {"intercept": coef[0], "intercept_se": float(np.sqrt(cov[0, 0]))}))
+                        {"intercept": coef[0], "intercept_variance": cov[0, 0]}))
     return fits
 
 

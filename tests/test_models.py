@@ -136,6 +136,26 @@ def test_clustered_variance(spark):
     assert np.allclose(cluster_meat(lone, model, b), residuals.T @ residuals, rtol=1e-6)
 
 
+def test_sessions_without_arrow_conversion(spark):
+    frame, _ = simulated(spark, n=120)
+    model = Model("m", TERMS, "all")
+    fits = []
+    for enabled in ("true", "false"):
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", enabled)
+        rows = survival_frame(frame, "time", "event", ("x", "z", "g"), cluster="home")
+        fits.append(fit_cox(rows, [model], robust=True)[0])
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    assert np.allclose(fits[0].cov, fits[1].cov)
+
+
+def test_a_separating_covariate_does_not_fail(spark):
+    rows = [("all", float(k + 1), int(k < 5), float(k < 5)) for k in range(10)]
+    frame = spark.createDataFrame(rows, "role string, time double, event int, x double")
+    fit = fit_cox(survival_frame(frame, "time", "event", ("x",)), [Model("m", numeric("x"), "all")])[0]
+    ratio = fit.ratio("x", 1.96)
+    assert ratio[0] is None or ratio[0] > 1000
+
+
 def test_partitioning_does_not_change_the_fit(spark):
     frame, _ = simulated(spark)
     model = Model("m", TERMS, "all")
