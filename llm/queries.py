@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+from llm import source_mixing
+from llm.decontamination import op2_decontamination
+from llm.embedding_neardup import op6_embedding_neardup
+from llm.main_text import op7_html_extraction
 from llm.ngram_jaccard import op9_ngram_jaccard
+from llm.pii import op5_pii
+from llm.source_mixing import op3_source_mixing
 from llm.substring_dedup import op1_substring_dedup
+from llm.token_files import op10_token_files
+from llm.toxicity import op8_toxicity
+from llm.warc import op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op9_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (
+    op1_substring_dedup, op2_decontamination, op3_source_mixing, op4_warc, op5_pii, op6_embedding_neardup,
+    op7_html_extraction, op8_toxicity, op9_ngram_jaccard, op10_token_files)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_source_mixing": source_mixing.oracle()}
