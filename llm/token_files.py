@@ -4,12 +4,13 @@ A file holds documents in ascending id order: magic and counts, a table of docum
 ids), a table of blocks (ids, words, CRC-32 of the ids), the CRC-32 of all that, and the blocks'
 payloads.  A block is ``BLOCK`` ids with a model and a coder of its own, so it can be read alone.
 
-Model.  Orders 0, 1 and 2 each predict an id: a slot named by the ids before holds the id seen
-most of late and how sure it is.  The prediction of the highest order that is sure is
-the candidate; each order gives its probability by its agreement and sureness, learned in the block,
-and the three are mixed by weights that follow the better ones.  One binary decision codes whether the candidate
-is right.  If not, the id is coded by its magnitude class under adaptive order-0 counts and by its
-place in the class.  All arithmetic is on integers, so every machine decodes the same.
+Model.  Orders 1 and 2 each predict an id: a slot named by the ids before holds the id seen most of
+late and how sure it is.  The prediction of the highest order that is sure is the candidate.  Each
+order gives its probability by its sureness and whether the other agrees, order 0 by how often
+candidates are right at all; these are learned in the block and mixed by weights that follow the
+better ones.  One binary decision codes whether the candidate is right.  If not, the id is coded by
+its magnitude class under adaptive order-0 counts and by its place in the class.  All arithmetic is
+on integers, so every machine decodes the same.
 
 Blocks are coded side by side: one step handles the next id of every block at once.
 """
@@ -21,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +36,18 @@ from llm.common import fresh_folder, ranges_hash, row_slices, saved, strings, _B
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
-BLOCK = 4096
+BLOCK = 2048
 #: Blocks coded side by side, and ids in a file, at most.
-LANES, FILE_IDS = 1024, 8_000_000
+LANES, FILE_IDS = 4096, 8_000_000
 #: Distinct pieces of text whose ids a worker remembers.
-PIECES = 500_000
+PIECES = 800_000
 
 MAGIC = b"TOKMIX01"
-CLASSES, STEP = 64, 12
-SLOTS = 4096
+#: Places for magnitude classes (60 are used), and what an id adds to the count of its own.
+CLASSES, STEP = 64, 24
+SLOTS, SLOT_SHIFT = 2048, np.uint32(21)
 U32 = np.uint64(32)
+ONE, TWO, THREE, FOUR = (np.uint32(k) for k in (1, 2, 3, 4))
 
 
 def _class_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,62 +56,66 @@ def _class_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     power = np.frexp(x.astype(float))[1] - 1
     classes = (power - 2) * 4 + ((x >> (power - 2)) & 3)
     bits = np.arange(CLASSES) // 4
-    return classes.astype(np.int64), ((4 + np.arange(CLASSES) % 4) << bits) - 4, bits.astype(np.uint64)
+    return classes.astype(np.int64), (((4 + np.arange(CLASSES) % 4) << bits) - 4).astype(np.uint64), bits.astype(np.uint64)
 
 
 CLASS_OF, CLASS_BASE, CLASS_BITS = _class_tables()
 MOST_ID = len(CLASS_OF) - 1
+#: What a class adds to the counts below each class.
+RAISES = (np.arange(CLASSES) > np.arange(CLASSES)[:, None]).astype(np.uint16) * np.uint16(STEP)
 
 
 class _Model:
-    """The models of several blocks, one step at a time."""
+    """The models of several blocks, one step at a time.
+
+    A slot holds an id times four and how sure it is, from 0 to 3.
+    """
 
     def __init__(self, lanes: int) -> None:
-        self.lane = np.arange(lanes)
-        self.first, self.second = np.zeros((2, lanes * SLOTS), np.uint32)
-        self.zero = np.zeros(lanes, np.uint32)
-        guess = np.array([3000, 4000, 5000, 6000, 9000, 20000, 32000, 45000], np.int32)
-        self.trust = [np.tile(guess, lanes) for _ in range(3)]
-        self.weight1 = np.full(lanes, 20000, np.int32)
-        self.weight2 = np.full(lanes, 30000, np.int32)
-        self.counts = np.repeat(np.arange(CLASSES + 1, dtype=np.uint16)[:, None], lanes, 1)
-        self.rows = np.arange(CLASSES + 1, dtype=np.uint8)[:, None]
-        self.before = np.zeros(lanes, np.uint32)
-        self.two = np.zeros(lanes, np.uint32)
-        self.total = CLASSES
-        self.base = (self.lane * SLOTS).astype(np.int64)
-        self.eight = (self.lane * 8).astype(np.int64)
+        lane = np.arange(lanes)
+        self.slot1, self.slot2 = np.zeros((2, lanes * SLOTS), np.uint32)
+        self.base, self.eight, self.wide = lane * SLOTS, lane * 8, lane * CLASSES
+        # by sureness, then the same where the other order agrees
+        self.trust1 = np.tile(np.array([2000, 5000, 9000, 14000, 4000, 16000, 26000, 36000], np.int32), lanes)
+        self.trust2 = np.tile(np.array([2000, 9000, 20000, 30000, 4000, 20000, 32000, 45000], np.int32), lanes)
+        self.trust0 = np.full(lanes, 6000, np.int32)
+        self.weight1, self.weight2 = np.full(lanes, 5000, np.int32), np.full(lanes, 8000, np.int32)
+        self.counts = np.tile(np.arange(CLASSES, dtype=np.uint16), (lanes, 1))
+        self.flat = self.counts.reshape(-1)
+        self.total = CLASSES - 1
+        self.before = self.two = np.zeros(lanes, np.uint32)
 
     def predict(self) -> np.ndarray:
         """Sets the candidates; returns their probabilities in 1 / 4096."""
-        self.at1 = self.base + ((self.before * np.uint32(0x9E3779B1)) >> np.uint32(20))
-        self.at2 = self.base + (((self.before + self.two * np.uint32(0x2545F491)) * np.uint32(0x85EBCA6B)) >> np.uint32(20))
-        self.slots = self.zero, self.first[self.at1], self.second[self.at2]
-        ids = [s >> np.uint32(2) for s in self.slots]
-        sure = [s & np.uint32(3) for s in self.slots]
-        self.candidate = np.where(sure[2] > 0, ids[2], np.where(sure[1] > 0, ids[1], ids[0]))
-        self.states = [self.eight + (s + ((i == self.candidate).view(np.uint8) << 2)) for i, s in zip(ids, sure)]
-        self.chances = [t[s] for t, s in zip(self.trust, self.states)]
-        q0, q1, q2 = self.chances
-        self.mixed = q0 + (((q1 - q0) * (self.weight1 >> 2) + (q2 - q0) * (self.weight2 >> 2)) >> 14)
-        return np.clip(self.mixed >> 4, 24, 4072).astype(np.uint64)
+        self.at1 = self.base + ((self.before * np.uint32(0x9E3779B1)) >> SLOT_SHIFT)
+        self.at2 = self.base + (((self.before + self.two * np.uint32(0x2545F491)) * np.uint32(0x85EBCA6B)) >> SLOT_SHIFT)
+        self.found1, self.found2 = self.slot1.take(self.at1), self.slot2.take(self.at2)
+        self.sure1, self.sure2 = self.found1 & THREE, self.found2 & THREE
+        self.id1, self.id2 = self.found1 >> TWO, self.found2 >> TWO
+        self.candidate = np.where(self.sure2 > 0, self.id2, self.id1)
+        agree = (self.id1 == self.id2) * FOUR
+        self.state1, self.state2 = self.eight + (self.sure1 + agree), self.eight + (self.sure2 + agree)
+        self.chance1, self.chance2 = self.trust1.take(self.state1), self.trust2.take(self.state2)
+        self.off1, self.off2 = self.chance1 - self.trust0, self.chance2 - self.trust0
+        self.mixed = self.trust0 + ((self.off1 * self.weight1 + self.off2 * self.weight2) >> 14)
+        return np.minimum(np.maximum(self.mixed >> 4, 24), 4072).astype(np.uint64)
 
     def update(self, ids: np.ndarray, hit: np.ndarray, classes: np.ndarray) -> None:
         """Learn the ids that came."""
-        goal = np.where(hit, np.int32(65535), np.int32(0))
-        sign = np.where(hit, np.int32(1), np.int32(-1))
-        for table, state, chance in zip(self.trust, self.states, self.chances):
-            table[state] = chance + ((goal - chance) >> 5)
-        self.weight1 = np.clip(self.weight1 + ((sign * (self.chances[1] - self.mixed)) >> 7), 1000, 30000)
-        self.weight2 = np.clip(self.weight2 + ((sign * (self.chances[2] - self.mixed)) >> 7), 1000, 34000)
-        fresh = (ids << np.uint32(2)) | np.uint32(1)
-        new = []
-        for slot in self.slots:
-            sure = slot & np.uint32(3)
-            same = (slot >> np.uint32(2)) == ids
-            new.append(np.where(same & (sure > 0), slot + (sure < 3), np.where(sure > 0, slot - np.uint32(1), fresh)))
-        self.zero, self.first[self.at1], self.second[self.at2] = new
-        self.counts += (self.rows > classes.astype(np.uint8)).view(np.uint8) * np.uint8(STEP)
+        goal = hit * np.int32(65535)
+        self.trust1[self.state1] = self.chance1 + ((goal - self.chance1) >> 5)
+        self.trust2[self.state2] = self.chance2 + ((goal - self.chance2) >> 5)
+        # a weight grows when its order was nearer to what came than the mix
+        error = (goal - self.mixed) >> 8
+        self.weight1 = np.minimum(np.maximum(self.weight1 + ((error * (self.off1 >> 8)) >> 9), 500), 14000)
+        self.weight2 = np.minimum(np.maximum(self.weight2 + ((error * (self.off2 >> 8)) >> 9), 500), 14000)
+        self.trust0 += (goal - self.trust0) >> 6
+        fresh = (ids << TWO) | ONE
+        self.slot1[self.at1] = np.where(self.id1 == ids, self.found1 + (self.sure1 < THREE),
+                                        np.where(self.sure1 > 0, self.found1 - ONE, fresh))
+        self.slot2[self.at2] = np.where(self.id2 == ids, self.found2 + (self.sure2 < THREE),
+                                        np.where(self.sure2 > 0, self.found2 - ONE, fresh))
+        self.counts += RAISES.take(classes, 0)
         self.total += STEP
         self.two, self.before = self.before, ids
 
@@ -143,26 +151,25 @@ def encode_blocks(ids: np.ndarray) -> list[np.ndarray]:
         now = ids[step]
         chance = model.predict()
         hit = now == model.candidate
-        classes = CLASS_OF[now]
+        classes = CLASS_OF.take(now)
         part = width >> np.uint64(12)
         right = part * chance
         moved = np.where(hit, low, low + right)
         carry(low, moved)
         low, width = moved, np.where(hit, right, part * (np.uint64(4096) - chance))
         shift()
-        begin = model.counts[classes, model.lane].astype(np.uint64)
-        share = model.counts[classes + 1, model.lane].astype(np.uint64) - begin
-        bits = np.where(hit, np.uint64(0), CLASS_BITS[classes])
+        place = model.wide + classes
+        begin = model.flat.take(place).astype(np.uint64)
+        share = model.flat.take(place + 1).astype(np.uint64) - begin
         part = width // np.uint64(model.total)
-        rest = (now - CLASS_BASE[classes]).astype(np.uint64)
-        inner = part * share >> bits
-        moved = np.where(hit, low, low + part * begin + inner * rest)
+        inner = part * share >> CLASS_BITS.take(classes)
+        moved = np.where(hit, low, low + part * begin + inner * (now - CLASS_BASE.take(classes)))
         carry(low, moved)
         low, width = moved, np.where(hit, width, inner)
         shift()
         model.update(now, hit, classes)
     for _ in range(2):
-        out[model.lane, used] = low >> U32
+        out[np.arange(lanes), used] = low >> U32
         used += 1
         low <<= U32
     return [row[:n].copy() for row, n in zip(out, used)]
@@ -198,19 +205,21 @@ def decode_blocks(payloads: list[np.ndarray], length: int) -> np.ndarray:
         shift()
         part = width // np.uint64(model.total)
         value = np.minimum(code // part, np.uint64(model.total - 1)).astype(np.uint16)
-        classes = (model.counts[1:] <= value).view(np.uint8).sum(0, dtype=np.uint8).astype(np.int64)
-        begin = model.counts[classes, model.lane].astype(np.uint64)
-        share = model.counts[classes + 1, model.lane].astype(np.uint64) - begin
-        bits = CLASS_BITS[classes]
+        below = np.packbits(model.counts <= value[:, None], axis=1).view(np.uint64).reshape(-1)
+        classes = np.bitwise_count(below).astype(np.int64) - 1
+        place = model.wide + classes
+        begin = model.flat.take(place).astype(np.uint64)
+        share = model.flat.take(place + 1).astype(np.uint64) - begin
+        bits = CLASS_BITS.take(classes)
         inner = part * share >> bits
         left = code - part * begin
         rest = np.minimum(left // inner, (np.uint64(1) << bits) - np.uint64(1))
-        now = np.where(hit, model.candidate, CLASS_BASE[classes] + rest.astype(np.int64)).astype(np.uint32)
+        now = np.where(hit, model.candidate, (CLASS_BASE.take(classes) + rest).astype(np.uint32))
         code = np.where(hit, code, left - inner * rest)
         width = np.where(hit, width, inner)
         shift()
         out[step] = now
-        model.update(now, hit, CLASS_OF[now])
+        model.update(now, hit, CLASS_OF.take(now))
     return out.T
 
 
@@ -318,7 +327,7 @@ class Encoder:
     def _learn(self, hashes: list[int], pieces: list[str]) -> None:
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         sizes = np.array([len(e) for e in encoded])
-        flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
         first, need = len(self.known), self.filled + len(flat)
         while need > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
@@ -394,7 +403,7 @@ class Encoder:
             where = index[new]
             self._learn([keys[k] for k in new], [raw[x:y].decode() for x, y in zip(starts[where].tolist(), ends[where].tolist())])
         known = self.known
-        place = np.fromiter((known[h] for h in keys), np.int64, len(keys))[inverse]
+        place = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[inverse]
         sizes = self.sizes[place]
         total = np.concatenate([[0], np.cumsum(sizes)])
         at = np.repeat(self.starts[place] - total[:-1], sizes) + np.arange(total[-1])
