@@ -14,9 +14,9 @@ strings, so that a match of ``length`` words tells whether it lies in an earlier
 
 Only distinct segments of shards with two or more of them reach an automaton; equal copies of a
 segment are settled by one aggregate.  A shard with more than ``SHARD`` distinct segments (a very
-common passage in many contexts) is split to single windows, whose automata are chains and
-are compared as hashes: an aggregate that combines before the shuffle.  Windows are compared by 64-bit
-hashes there, words by 32-bit hashes in an automaton.
+common passage in many contexts) is split to chunks and then to single windows, whose automata are
+chains and are compared as hashes: aggregates that combine before the shuffle.  Windows are compared
+by 64-bit hashes there, words by 32-bit hashes in an automaton.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ ANCHOR = 16
 RUN = 64
 #: Distinct segments that one automaton takes.
 SHARD = 128
+#: Windows in a chunk of a segment, on average.
+CHUNK = 8
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -194,24 +196,54 @@ def _match(length: int):
     return run
 
 
-def _windows(length: int):
+def _chunks(length: int):
+    """Segments cut at windows chosen by their content, with the hashes of each chunk's windows."""
     schema = pa.schema([("shard", pa.int64()), ("segment", pa.int64()), ("owner", pa.int64()), ("first", pa.int64()),
-                        ("window", pa.int64())])
+                        ("windows", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
                 sequences = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) for x in part.column("words")]
-                size = np.array([len(s) - length + 1 for s in sequences])
                 hashes = [grams(s, length) for s in sequences]
+                firsts = [np.union1d([0], np.flatnonzero(h % np.uint64(CHUNK) == 0)) for h in hashes]
+                counts = [np.diff(np.append(f, len(h))) for f, h in zip(firsts, hashes)]
+                chunks = [ranges_hash(s, f, f + n + length - 1) for s, f, n in zip(sequences, firsts, counts)]
+                each, count = [len(f) for f in firsts], np.concatenate(counts)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()),
+                                                 as_signed(np.concatenate(hashes)))
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.repeat(part.column(c).to_numpy(), size)) for c in ("shard", "segment", "owner")),
-                     pa.array(np.concatenate([np.arange(n) for n in size])), as_signed(np.concatenate(hashes))], schema=schema)
+                    [*(pa.array(np.repeat(part.column(c).to_numpy(), each)) for c in ("shard", "segment", "owner")),
+                     pa.array(np.concatenate(firsts)), pa.array(count), as_signed(np.concatenate(chunks)), lists], schema=schema)
 
     return run
 
 
+def _chained(contents: DataFrame, length: int) -> DataFrame:
+    """(shard, segment, first, windows): runs of windows with an earlier owner, by hashes.
+
+    Whole chunks first: they collapse the inner part of a common passage.  Only one chunk of each
+    content, its first, goes on to be compared window by window.
+    """
+    chunks = saved(contents.select("shard", "segment", "owner", "words").mapInArrow(
+        _chunks(length), "shard long, segment long, owner long, first long, windows long, chunk long, hashes array<long>"),
+        "dedup-chunks")
+    first = chunks.groupBy("shard", "chunk").agg(F.min("owner").alias("before"), F.count(F.lit(1)).alias("n"))
+    marked = chunks.join(first.where("n > 1").select("shard", "chunk", "before"), ["shard", "chunk"], "left")
+    whole = marked.where("before < owner").select("shard", "segment", "first", "windows")
+    windows = marked.where("before is null or before >= owner").select(
+        "shard", "segment", "owner", "first", F.posexplode("hashes").alias("k", "window"))
+    least = windows.groupBy("shard", "window").agg(F.min("owner").alias("before"), F.max("owner").alias("last")).where("before < last")
+    single = windows.join(least, ["shard", "window"]).where("before < owner")
+    found = single.groupBy("shard", "segment").agg(F.collect_set((F.col("first") + F.col("k")).cast("long")).alias("at"))
+    begins = F.array_sort(F.filter("at", lambda x: ~F.array_contains("at", x - 1)))
+    ends = F.array_sort(F.filter("at", lambda x: ~F.array_contains("at", x + 1)))
+    runs = found.select("shard", "segment", F.explode(F.zip_with(begins, ends, lambda x, y: F.struct(
+        x.alias("first"), (y - x + 1).alias("windows")))).alias("run")).select("shard", "segment", "run.*")
+    return whole.unionByName(runs)
+
+
 def repeated_spans(docs: DataFrame, length: int = 50, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, first, words): runs of words that lie in windows which start in an earlier document as well.
 
@@ -235,11 +267,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, doc: str = "doc_id", text:
     matched = contents.where(F.col("distinct") <= SHARD).select("shard", "segment", "owner", "words").repartition(
         partitions, "shard").sortWithinPartitions("shard", "owner", "segment").mapInArrow(
         _match(length), "shard long, segment long, first long, windows long")
-    single = contents.where(F.col("distinct") > SHARD).select("shard", "segment", "owner", "words").mapInArrow(
-        _windows(length), "shard long, segment long, owner long, first long, window long")
-    first = single.groupBy("shard", "window").agg(F.min("owner").alias("before"))
-    chained = single.join(first, ["shard", "window"]).where("before < owner").select(
-        "shard", "segment", "first", F.lit(1).cast("long").alias("windows"))
+    chained = _chained(contents.where(F.col("distinct") > SHARD), length)
     matched = matched.unionByName(chained)
     owners = distinct.select("shard", "segment", F.col("doc").alias("owner"))
     copied = parts.join(owners.join(distinct.where("rows > 1").select("shard", "segment"), ["shard", "segment"], "semi"),
