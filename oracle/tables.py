@@ -43,10 +43,12 @@ SELECT o_custkey AS pid, p.carrs, p.hhid, CAST(seq AS INT) AS fup,
        CAST(CASE WHEN o_orderkey % 6 = 0 THEN NULL
                  WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS INT) AS dm,
        CAST(CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 97 = 0 THEN 1 ELSE 0 END AS INT) AS dm_allo
-FROM (SELECT o.*, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS seq
-      FROM orders o) s
-JOIN person_t p ON p.pid = s.o_custkey
-WHERE (p.carrs = 1 AND seq <= 7) OR (p.carrs = 2 AND seq <= 2)"""
+FROM (SELECT o_custkey, seq, min(o_orderkey) AS o_orderkey, min(o_orderdate) AS o_orderdate,
+             max(o_totalprice) AS o_totalprice, min(o_orderpriority) AS o_orderpriority
+      FROM (SELECT *, (CAST(o_orderdate AS DATE) - DATE '1995-01-01')
+                      // CASE (o_custkey // 2) % 2 WHEN 0 THEN 301 ELSE 802 END AS seq FROM orders) o
+      GROUP BY o_custkey, seq) s
+JOIN person_t p ON p.pid = s.o_custkey"""
 
 EXTRA = """
 SELECT v.*, p.spousedyad_new,

@@ -6,7 +6,7 @@ the same values in Spark and in DuckDB.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwave.functions.columns import nan_to_null
@@ -53,7 +53,8 @@ PERSON_COLUMNS = {
 
 # Waves of the main visits per study: wave -> visit number.
 MAIN_VISITS = {1: {0: 0, 2: 1, 4: 2, 7: 3}, 2: {0: 0, 2: 1}}
-LAST_WAVE = {1: 7, 2: 2}
+# The calendar grid: waves follow each other from the first day, each of so many days per study.
+FIRST_DAY, WAVE_DAYS = "date'1995-01-01'", {1: 301, 2: 802}
 
 
 # Only the columns that are used; a declared schema needs no look at the files.
@@ -83,18 +84,21 @@ def dyad_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _waves(spark: SparkSession, folder: str) -> DataFrame:
-    """Visits beside their person's columns: a customer's orders by date are the waves.
+    """Visits beside their person's columns: a customer's orders in one period of the calendar are a wave.
 
-    The rank limit comes before the join, where the optimizer can apply it
-    ahead of the shuffle: a customer with a huge number of orders sends at
-    most eight rows per input partition, and (person, wave) is a key.
+    Every order belongs to a wave.  The orders of a (person, wave) are combined before the shuffle,
+    so it is a key, and a customer with a huge number of orders sends one row per wave and task.
     """
-    by_date = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    ranked = (_table(spark, folder, "orders").withColumn("rank", F.row_number().over(by_date))
-              .where(F.col("rank") <= max(LAST_WAVE.values()) + 1).withColumn("fup", F.col("rank") - 1))
+    days = " ".join(f"when {study} then {width}" for study, width in WAVE_DAYS.items())
+    study = PERSON_COLUMNS["carrs"].replace("c_custkey", "o_custkey")
+    orders = _table(spark, folder, "orders").selectExpr(
+        "*", f"cast(datediff(cast(o_orderdate as date), {FIRST_DAY}) div case {study} {days} end as int) as fup")
+    combined = orders.groupBy("o_custkey", "fup").agg(
+        F.min("o_orderkey").alias("o_orderkey"), F.min("o_orderdate").alias("o_orderdate"),
+        F.max("o_totalprice").alias("o_totalprice"), F.min("o_orderpriority").alias("o_orderpriority"),
+        F.count(F.lit(1)).alias("orders"))
     people = person(spark, folder).drop("doi").withColumnRenamed("dm", "baseline_dm")
-    waves = " or ".join(f"(carrs = {s} and fup <= {w})" for s, w in LAST_WAVE.items())
-    return ranked.join(people, ranked["o_custkey"] == people["pid"]).where(waves)
+    return combined.join(people, combined["o_custkey"] == people["pid"])
 
 
 _NUMBER = " ".join(f"when carrs = {s} and fup = {w} then {v}"
