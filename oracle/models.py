@@ -43,11 +43,18 @@ def _start(source: str, size: int) -> str:
     return f"SELECT DISTINCT model, 0 AS step, {zeros} AS b, CAST(NULL AS DOUBLE[][]) AS inv FROM {source}"
 
 
+def _end(prefix: str, size: int, steps: int, first: int) -> str:
+    """The last step; a term whose variance has grown ten thousandfold since the null model is separated."""
+    return (f"SELECT model, b, inv, lost, NOT list_bool_or(lost) AS converged FROM (SELECT e.model, e.b, e.inv, "
+            f"list_transform(range(1, {size + 1}), lambda k: k >= {first} AND e.inv[k][k] > 1e4 * z.inv[k][k]) AS lost "
+            f"FROM {prefix}_fit_t e JOIN {prefix}_fit_t z ON z.model = e.model WHERE e.step = {steps} AND z.step = 1) x")
+
+
 def padded(expressions, size: int) -> str:
     return "[" + ", ".join([f"CAST({e} AS DOUBLE)" for e in expressions] + ["0.0::DOUBLE"] * (size - len(expressions))) + "]"
 
 
-def glm_tables(prefix: str, data: str, size: int, family: str, steps: int = 14) -> dict[str, str]:
+def glm_tables(prefix: str, data: str, size: int, family: str, steps: int = 27) -> dict[str, str]:
     """``data`` gives (model, y, x); the result table is ``{prefix}_end_t``."""
     mean = "exp(eta)" if family == "poisson" else "1 / (1 + exp(-eta))"
     weight = "mu" if family == "poisson" else "mu * (1 - mu)"
@@ -61,7 +68,7 @@ def glm_tables(prefix: str, data: str, size: int, family: str, steps: int = 14)
     return {
         f"{prefix}_data_t": data,
         f"{prefix}_fit_t": f"{_start(f'{prefix}_data_t', size)}\nUNION ALL\n{_next(cells, size)}",
-        f"{prefix}_end_t": f"SELECT model, b, inv FROM {prefix}_fit_t WHERE step = {steps}",
+        f"{prefix}_end_t": _end(prefix, size, steps, 2),
         f"{prefix}_meat_t": f"SELECT model, i, j, sum((y - mu) ** 2 * x[i] * x[j]) AS v FROM ({moments.format(fit=end)}) n, "
                             f"{_index('i', size)}, {_index('j', size)} GROUP BY model, i, j",
         f"{prefix}_robust_t": f"SELECT e.model, k, sum(e.inv[k][m.i] * m.v * e.inv[m.j][k]) AS var FROM {prefix}_end_t e "
@@ -69,7 +76,7 @@ def glm_tables(prefix: str, data: str, size: int, family: str, steps: int = 14)
     }
 
 
-def cox_tables(prefix: str, data: str, size: int, steps: int = 8) -> dict[str, str]:
+def cox_tables(prefix: str, data: str, size: int, steps: int = 22) -> dict[str, str]:
     """``data`` gives (model, id, t, e, x); Efron ties."""
     wide = size + 1
     tied = (f"SELECT model, step, any_value(b) AS b, t, d, l, list(s - l / d * en ORDER BY i, j) AS m FROM ("
@@ -78,7 +85,7 @@ def cox_tables(prefix: str, data: str, size: int, steps: int = 8) -> dict[str, s
             f"FROM (SELECT q.model, q.step, q.b, p.t, p.e, exp(list_dot_product(q.b, p.x)) AS r, [1.0::DOUBLE] || p.x AS o "
             f"FROM {{fit}} q JOIN {prefix}_data_t p ON q.model = p.model) f "
             f"JOIN {prefix}_time_t z ON f.model = z.model AND f.t >= z.t, {_index('i', wide)}, {_index('j', wide)} "
-            f"GROUP BY f.model, f.step, z.t, z.d, i, j) u, (SELECT unnest(range(0, 100)) AS l) v WHERE l < d "
+            f"GROUP BY f.model, f.step, z.t, z.d, i, j) u, (SELECT unnest(range(0, (SELECT max(d) FROM {prefix}_time_t))) AS l) v WHERE l < d "
             f"GROUP BY model, step, t, d, l")
 
     def at(i: str, j: str) -> str:
@@ -98,7 +105,7 @@ def cox_tables(prefix: str, data: str, size: int, steps: int = 8) -> dict[str, s
         f"{prefix}_sum_t": f"SELECT model, i, sum(CASE WHEN e = 1 THEN x[i] ELSE 0 END) AS v, max(abs(x[i])) = 0 AS flat "
                            f"FROM {prefix}_data_t, {_index('i', size)} GROUP BY model, i",
         f"{prefix}_fit_t": f"{_start(f'{prefix}_data_t', size)}\nUNION ALL\n{_next(cells, size)}",
-        f"{prefix}_end_t": f"SELECT model, b, inv FROM {prefix}_fit_t WHERE step = {steps}",
+        f"{prefix}_end_t": _end(prefix, size, steps, 1),
         # Per event time and tie, at the solution: the weighted means.
         f"{prefix}_tied_t": tied.format(fit=f"(SELECT * FROM {prefix}_fit_t WHERE step = {steps})"),
     }

@@ -450,8 +450,9 @@ def _model_terms(prefix: str, z: float, frame: str, source: str, robust: bool =
 SELECT sex, name AS model, CAST(position AS INT) AS position, term, {r('b', 'estimate')}, {r('se', 'std_error')},
        {r('exp(b)', 'ratio')}, {r(f'exp(b - {z} * se)', 'conf_low')}, {r(f'exp(b + {z} * se)', 'conf_high')},
        {r(erfc('(b / se / sqrt(2))').replace('abs((b / se / sqrt(2)))', 'abs(b / se / sqrt(2))'), 'p_value')},
-       n_frame, n_model, events
-FROM (SELECT t.*, f.b[t.place] AS b, {error} AS se, s.n_model,
+       n_frame, n_model, events, converged
+FROM (SELECT t.*, CASE WHEN NOT f.lost[t.place] THEN f.b[t.place] END AS b,
+             CASE WHEN NOT f.lost[t.place] THEN {error} END AS se, s.n_model, f.converged,
              (SELECT count(*) FROM {source} WHERE role = t.sex AND {frame}) AS n_frame,
              (SELECT count(*) FROM {source} WHERE role = t.sex AND {frame} AND dm_incident = 1) AS events
       FROM {prefix}_term_t t JOIN {prefix}_end_t f ON f.model = t.model {joined}
@@ -465,8 +466,8 @@ def _ratios(prefix: str, measure: str, names, frame: str, robust: bool = False,
     joined = f"JOIN {prefix}_robust_t q ON q.model = f.model AND q.k = 2" if robust else ""
     estimate = fixed("exp(b)", 2) + " || ' (' || " + fixed(f"exp(b - {z} * se)", 2) + " || ' - ' || " + fixed(f"exp(b + {z} * se)", 2) + " || ')'"
     columns = ", ".join(
-        f"CASE k WHEN 0 THEN '1.00' ELSE (SELECT {estimate} FROM (SELECT f.b[{place}] AS b, {error} AS se FROM {prefix}_end_t f {joined} "
-        f"WHERE f.model = g.role || '/{n}') e) END AS \"{n}{'' if n.startswith('Age') else ' adjusted'} {measure} (95% CI)\"" for n in names)
+        f"CASE k WHEN 0 THEN '1.00' ELSE (SELECT coalesce({estimate}, 'NA') FROM (SELECT CASE WHEN NOT f.lost[{place}] THEN f.b[{place}] END AS b, "
+        f"{error} AS se FROM {prefix}_end_t f {joined} WHERE f.model = g.role || '/{n}') e) END AS \"{n}{'' if n.startswith('Age') else ' adjusted'} {measure} (95% CI)\"" for n in names)
     return f"""
 SELECT CAST(CASE role WHEN 'Women' THEN 0 ELSE 2 END + k AS INT) AS position,
        role || ' without diabetes at baseline (n=' || total || ')' AS "Individual's status at baseline",
@@ -514,7 +515,7 @@ CLUSTER_FRAME = """
 SELECT e.hhid, e.dm_incident, e.time_to_dm, b.sex, b.age, b.bmi AS bmi_baseline, b.edu_category, b.employ_category,
        b.hhincome, b.site, b.carrs, b.famhx_dm
 FROM model_event_t e LEFT JOIN (SELECT * FROM model_annotated_t WHERE fup = 0) b
-  ON e.carrs = b.carrs AND e.pid = b.pid AND e.hhid = b.hhid
+  ON e.carrs = b.carrs AND e.pid = b.pid AND e.hhid IS NOT DISTINCT FROM b.hhid
 WHERE b.baseline_dm = 0 AND e.time_to_dm >= 0 AND e.dm_incident IS NOT NULL"""
 CLUSTER_ALL = (_factor("sex", ("male",)) + _plain(["age", "bmi_baseline"]) + _factor("edu_category", (2, 3))
                + _factor("employ_category", (2, 3, 4, 5)) + _factor("hhincome", (2, 3, 4)) + _factor("site", (2, 3))
@@ -547,35 +548,39 @@ def _model_tables() -> dict[str, str]:
     tables["clus_term_t"] = "SELECT * FROM (VALUES " + ", ".join(
         f"({k}, '{t}', {places.get(t, 'NULL')})" for k, (t, _) in enumerate(CLUSTER_ALL)) + ") v(position, term, place)"
     tables["clus_hr_t"] = """
-SELECT position, term, f.b[t.place] AS b, sqrt(q.var) AS se FROM clus_term_t t, clus_end_t f
+SELECT position, term, CASE WHEN NOT f.lost[t.place] THEN f.b[t.place] END AS b,
+       CASE WHEN NOT f.lost[t.place] THEN sqrt(q.var) END AS se, f.converged FROM clus_term_t t, clus_end_t f
 LEFT JOIN clus_robust_t q ON q.k = t.place"""
     return tables
 
 
 _P = erfc("(b / se / sqrt(2))")
 _HAZARDS = f"""CAST(position AS INT) AS position, term, {r('exp(b)', 'hazard_ratio')},
-    {r(f'exp(b - {NORMAL_975} * se)', 'conf_low_95')}, {r(f'exp(b + {NORMAL_975} * se)', 'conf_high_95')}, {r(_P, 'p_value')}"""
+    {r(f'exp(b - {NORMAL_975} * se)', 'conf_low_95')}, {r(f'exp(b + {NORMAL_975} * se)', 'conf_high_95')}, {r(_P, 'p_value')}, converged"""
 MODEL_STATEMENTS = {
     "logit_crude": f"""
 SELECT 'dm_biomarker0_wife (1 vs 0)' AS term, {r('b', 'estimate_log_odds')}, {r('exp(b)', 'odds_ratio')},
-       {r('exp(b - 1.96 * se)', 'conf_low_95')}, {r('exp(b + 1.96 * se)', 'conf_high_95')}, {r(_P, 'p_value')}
-FROM (SELECT ln(n00 * n11 / (n01 * n10)) AS b, sqrt(1 / n00 + 1 / n01 + 1 / n10 + 1 / n11) AS se FROM (
+       {r('exp(b - 1.96 * se)', 'conf_low_95')}, {r('exp(b + 1.96 * se)', 'conf_high_95')}, {r(_P, 'p_value')}, least(n00, n01, n10, n11) > 0 AS converged
+FROM (SELECT *, CASE WHEN least(n00, n01, n10, n11) > 0 THEN ln(n00 * n11 / (n01 * n10)) END AS b,
+             CASE WHEN least(n00, n01, n10, n11) > 0 THEN sqrt(1 / n00 + 1 / n01 + 1 / n10 + 1 / n11) END AS se FROM (
   SELECT CAST(count(*) FILTER (dm_biomarker0_wife = 0 AND dm_biomarker0_husb = 0) AS DOUBLE) AS n00,
          CAST(count(*) FILTER (dm_biomarker0_wife = 0 AND dm_biomarker0_husb = 1) AS DOUBLE) AS n01,
          CAST(count(*) FILTER (dm_biomarker0_wife = 1 AND dm_biomarker0_husb = 0) AS DOUBLE) AS n10,
          CAST(count(*) FILTER (dm_biomarker0_wife = 1 AND dm_biomarker0_husb = 1) AS DOUBLE) AS n11 FROM dyad_t) c) e""",
     "logit_adjusted": _model_terms("logit", 1.96, GLM_FRAME, "role_t"),
-    "logit_estimates": "SELECT sex, model, ratio, conf_low AS low, conf_high AS high, n_frame, n_model FROM ("
+    "logit_estimates": "SELECT sex, model, ratio, conf_low AS low, conf_high AS high, n_frame, n_model, converged FROM ("
                        + _model_terms("logit", 1.96, GLM_FRAME, "role_t") + ") m WHERE position = 0",
     "logit_report": _ratios("logit", "OR", ("Age adjusted", "Model 1", "Model 2"), GLM_FRAME),
     "poisson_rr_crude": f"""
 SELECT sex, 'Crude' AS model, 0 AS position, 'partner_dm_statusDiabetes' AS term, {r('b', 'estimate')}, {r('se', 'std_error')},
        {r('exp(b)', 'ratio')}, {r('exp(b - 1.96 * se)', 'conf_low')}, {r('exp(b + 1.96 * se)', 'conf_high')}, {r(_P, 'p_value')},
-       n AS n_frame, n AS n_model, CAST(e AS BIGINT) AS events
-FROM (SELECT role AS sex, count(*) AS n, sum(dm_incident) AS e,
-             ln(avg(dm_incident) FILTER (partner_baseline_dm = 1) / avg(dm_incident) FILTER (partner_baseline_dm = 0)) AS b,
-             sqrt((1 - avg(dm_incident) FILTER (partner_baseline_dm = 1)) / sum(dm_incident) FILTER (partner_baseline_dm = 1)
-                + (1 - avg(dm_incident) FILTER (partner_baseline_dm = 0)) / sum(dm_incident) FILTER (partner_baseline_dm = 0)) AS se
+       n AS n_frame, n AS n_model, CAST(e AS BIGINT) AS events, found AS converged
+FROM (SELECT role AS sex, count(*) AS n, sum(dm_incident) AS e, least(sum(dm_incident) FILTER (partner_baseline_dm = 1),
+                   sum(dm_incident) FILTER (partner_baseline_dm = 0)) > 0 AS found,
+             CASE WHEN found THEN ln(avg(dm_incident) FILTER (partner_baseline_dm = 1)
+                                     / avg(dm_incident) FILTER (partner_baseline_dm = 0)) END AS b,
+             CASE WHEN found THEN sqrt((1 - avg(dm_incident) FILTER (partner_baseline_dm = 1)) / sum(dm_incident) FILTER (partner_baseline_dm = 1)
+                + (1 - avg(dm_incident) FILTER (partner_baseline_dm = 0)) / sum(dm_incident) FILTER (partner_baseline_dm = 0)) END AS se
       FROM role_t WHERE {GLM_FRAME} GROUP BY role) c""",
     "poisson_rr_adjusted": _model_terms("pois", 1.96, GLM_FRAME, "role_t", robust=True),
     "poisson_report": _ratios("pois", "RR", ("Age adjusted", "Model 1", "Model 2"), GLM_FRAME, robust=True),
@@ -583,7 +588,7 @@ FROM (SELECT role AS sex, count(*) AS n, sum(dm_incident) AS e,
     "cox_spouse": """
 SELECT CAST(CASE sex WHEN 'Women' THEN 0 ELSE 4 END + CASE WHEN model LIKE '%age' THEN 1 WHEN model LIKE '%Model 1' THEN 2
             WHEN model LIKE '%Model 2' THEN 3 ELSE 0 END AS INT) AS position, model, n_frame AS n, n_model, events,
-       ratio AS hr_spouse, conf_low AS hr_lcl, conf_high AS hr_ucl, p_value
+       ratio AS hr_spouse, conf_low AS hr_lcl, conf_high AS hr_ucl, p_value, converged
 FROM (""" + _model_terms("cox", NORMAL_975, COX_FRAME, "role_t") + ") m WHERE term = 'partner_baseline_dm'",
     "cox_factor": _model_terms("wavecox", NORMAL_975, WAVE_FRAME, "wave_role_t"),
     "cox_report": _ratios("wavecox", "HR", ("Age adjusted", "Model 1", "Model 2"), WAVE_FRAME, source="wave_role_t",

@@ -289,7 +289,8 @@ QUALIFY row_number() OVER (PARTITION BY carrs, pid ORDER BY fup DESC, doi_day DE
 ANNOTATED = """
 SELECT r.*, e.dm_incident, e.dm_incident_day, e.time_to_dm,
        CASE WHEN r.pid IN (SELECT pid FROM {source} WHERE fup = 0 AND dm_biomarker <> 0) THEN 1 ELSE 0 END AS baseline_dm
-FROM {source} r LEFT JOIN {events} e ON r.carrs = e.carrs AND r.fup = e.fup AND r.pid = e.pid AND r.hhid = e.hhid"""
+FROM {source} r LEFT JOIN {events} e ON r.carrs = e.carrs AND r.fup = e.fup AND r.pid = e.pid
+  AND r.hhid IS NOT DISTINCT FROM e.hhid"""
 
 
 def members_wide(source: str, values, keys=("hhid", "carrs", "fup")) -> str:

@@ -77,3 +77,10 @@ def require_unique(frame: DataFrame, keys) -> DataFrame:
     if repeated:
         raise ValueError(f"{keys} is not a key: {repeated[0].asDict()}")
     return frame
+
+
+def null_safe_left_join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Left join on equal keys where null equals null."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, match, "left").drop(*(f"_right_{k}" for k in keys))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pairwave.functions.distributions import chi_square_tail, inverse
 from pairwave.functions.joins import attach
-from pairwave.operators.design import Fit, Model, dependent_columns, expand, sum_of_products
+from pairwave.operators.design import Fit, Model, dependent_columns, expand, separated, sum_of_products
 from pairwave.session import pin
 
 BLOCK_TIMES = 10_000
@@ -365,7 +365,8 @@ def fit_cox(frame: SurvivalFrame, models, robust: bool = False) -> list[Fit]:
     """Fit several models in step: every Newton step of all of them is one
     pass over the pinned rows.
 
-    Terms that depend linearly on others are left out and reported as null.
+    Terms that depend linearly on others are left out and reported as null;
+    terms that diverge are null too and their model has not converged.
     ``robust`` gives the variance clustered on the frame's cluster column.
     """
     asked = list(models)
@@ -406,8 +407,9 @@ def fit_cox(frame: SurvivalFrame, models, robust: bool = False) -> list[Fit]:
                 still_open.append(k)
         open_models = still_open
     covs = [inverse(i) if i is not None else np.zeros((0, 0)) for i in infos]
+    lost = [separated(s[2], i) if i is not None else np.zeros(0, bool) for s, i in zip(sums, infos)]
     extra = [{"loglik": best[k], "model_cov": covs[k], "beta": betas[k], "fitted": models[k],
-              "converged": k not in open_models} for k in range(len(models))]
+              "converged": k not in open_models and not lost[k].any()} for k in range(len(models))]
     if robust:
         for k, model in enumerate(models):
             meat = cluster_meat(frame, model, betas[k])
@@ -416,7 +418,7 @@ def fit_cox(frame: SurvivalFrame, models, robust: bool = False) -> list[Fit]:
     for k, (model, fitted) in enumerate(zip(asked, models)):
         n_frame, events = frame.counts.get(model.group, (0, 0)) if model.group is not None else (
             sum(v[0] for v in frame.counts.values()), sum(v[1] for v in frame.counts.values()))
-        coef, cov = expand(fitted.names, model.names, betas[k], covs[k])
+        coef, cov = expand(fitted.names, model.names, np.where(lost[k], np.nan, betas[k]), covs[k])
         fits.append(Fit(model, coef, cov, n_frame, int(round(start[k][0])), events, extra[k]))
     return fits
 

@@ -90,6 +90,10 @@ class Fit:
     events: int
     extra: dict = field(default_factory=dict)
 
+    @property
+    def converged(self) -> bool:
+        return bool(self.extra.get("converged", True))
+
     def estimate(self, term: str) -> tuple[float | None, float | None]:
         """Coefficient and standard error; nulls for a term that is not estimable."""
         if term not in self.model.names:
@@ -111,7 +115,7 @@ class Fit:
 
 TERM_SCHEMA = ("group string, model string, position int, term string, estimate double, std_error double, "
                "ratio double, conf_low double, conf_high double, p_value double, "
-               "n_frame bigint, n_model bigint, events bigint")
+               "n_frame bigint, n_model bigint, events bigint, converged boolean")
 
 
 def term_rows(fit: Fit, z: float, terms=None) -> list[tuple]:
@@ -119,7 +123,7 @@ def term_rows(fit: Fit, z: float, terms=None) -> list[tuple]:
     for k, term in enumerate(fit.model.names):
         if terms is None or term in terms:
             rows.append((fit.model.group, fit.model.name, k, term, *fit.estimate(term), *fit.ratio(term, z),
-                         fit.n_frame, fit.n_model, fit.events))
+                         fit.n_frame, fit.n_model, fit.events, fit.converged))
     return rows
 
 
@@ -205,6 +209,16 @@ def dependent_columns(gram: np.ndarray) -> list[int]:
     return dropped
 
 
+# A term whose variance grows by this factor from the null model to the last
+# step runs off to infinity: its events are separated, or nearly so.
+SEPARATED = 1e4
+
+
+def separated(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Terms without a finite estimate, from the information at the null model and at the last step."""
+    return ~(np.diag(inverse(end)) <= SEPARATED * np.diag(inverse(start)))
+
+
 def sandwich(bread: np.ndarray, meat: np.ndarray) -> np.ndarray:
     inner = inverse(bread)
     return inner @ meat @ inner

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairwave.functions.joins import null_safe_left_join
 from pairwave.functions.columns import count_known, first_match
 
 # Fixed value: the year length the published incidence rates are based on.
@@ -106,8 +107,8 @@ def event_or_censor(visits: DataFrame, keys=("pid", "carrs"), household: str = "
 
 def annotate_events(visits: DataFrame, events: DataFrame, keys=("carrs", "fup", "pid", "hhid"),
                     person: str = "pid", wave: str = "fup", outcome: str = "dm_biomarker") -> DataFrame:
-    """Join event rows back on the visits and flag baseline cases."""
-    return flag_baseline_cases(visits.join(events, list(keys), "left"), person, wave, outcome)
+    """Join event rows back on the visits and flag baseline cases; a missing household matches itself."""
+    return flag_baseline_cases(null_safe_left_join(visits, events, keys), person, wave, outcome)
 
 
 def _baseline_case(wave: str, outcome: str, person: str) -> Column:

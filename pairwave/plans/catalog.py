@@ -420,7 +420,7 @@ def table_one(spark, folder):
 def _terms(spark, fits, z):
     return term_table(spark, fits, z).select(
         F.col("group").alias("sex"), "model", "position", "term", "estimate", "std_error", "ratio",
-        "conf_low", "conf_high", "p_value", "n_frame", "n_model", "events")
+        "conf_low", "conf_high", "p_value", "n_frame", "n_model", "events", "converged")
 
 
 @query
@@ -429,7 +429,7 @@ def logit_crude(spark, folder):
     fit = reports.concordance_logit(_dyads(spark, folder))
     return term_table(spark, [fit], Z).select(
         "term", F.col("estimate").alias("estimate_log_odds"), F.col("ratio").alias("odds_ratio"),
-        F.col("conf_low").alias("conf_low_95"), F.col("conf_high").alias("conf_high_95"), "p_value")
+        F.col("conf_low").alias("conf_low_95"), F.col("conf_high").alias("conf_high_95"), "p_value", "converged")
 
 
 @query

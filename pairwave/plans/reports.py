@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwave.functions.distributions import NORMAL_975
-from pairwave.functions.joins import first_per_key
+from pairwave.functions.joins import first_per_key, null_safe_left_join
 from pairwave.operators.cox import (
     ZPH_SCHEMA, fit_cox, proportional_hazards_test, survival_frame)
 from pairwave.operators.design import Fit, Model, Term, factor, levels_of, numeric, term_table
@@ -62,14 +62,14 @@ def partner_counts(roles: DataFrame, with_time: bool = False) -> dict:
 
 
 def estimate_rows(fits, z: float = Z) -> list[tuple]:
-    return [(f.model.group, f.model.name, *f.ratio(PARTNER.name, z)[:3], f.n_frame, f.n_model) for f in fits]
+    return [(f.model.group, f.model.name, *f.ratio(PARTNER.name, z)[:3], f.n_frame, f.n_model, f.converged) for f in fits]
 
 
 def estimate_table(spark, fits, z: float = Z) -> DataFrame:
     """Numeric partner estimates: one row per role and model."""
     return literal_table(spark, estimate_rows(fits, z),
                          "sex string, model string, ratio double, low double, high double, "
-                         "n_frame bigint, n_model bigint")
+                         "n_frame bigint, n_model bigint, converged boolean")
 
 
 def ratio_text(ratio, low, high) -> str:
@@ -130,10 +130,10 @@ def fit_spouse_cox(roles: DataFrame) -> list[Fit]:
 
 def spouse_cox_table(spark, fits) -> DataFrame:
     """Model, n, events and the spouse hazard ratio with limits and p-value."""
-    rows = [(k, f.model.name, f.n_frame, f.n_model, f.events, *f.ratio(SPOUSE.name, NORMAL_975))
+    rows = [(k, f.model.name, f.n_frame, f.n_model, f.events, *f.ratio(SPOUSE.name, NORMAL_975), f.converged)
             for k, f in enumerate(fits)]
     return literal_table(spark, rows, "position int, model string, n bigint, n_model bigint, events bigint, "
-                         "hr_spouse double, hr_lcl double, hr_ucl double, p_value double")
+                         "hr_spouse double, hr_lcl double, hr_ucl double, p_value double, converged boolean")
 
 
 BASELINE_FACTORS = ("sex", "edu_category", "employ_category", "hhincome", "site", "carrs", "famhx_dm")
@@ -149,8 +149,8 @@ def baseline_covariates(long: DataFrame) -> DataFrame:
 
 def event_frame(events: DataFrame, baseline: DataFrame) -> DataFrame:
     """Event rows with time-fixed baseline covariates of people at risk."""
-    joined = events.select("carrs", "pid", "hhid", "dm_incident", "time_to_dm").join(
-        baseline, ["carrs", "pid", "hhid"], "left")
+    joined = null_safe_left_join(events.select("carrs", "pid", "hhid", "dm_incident", "time_to_dm"), baseline,
+                                 ("carrs", "pid", "hhid"))
     return joined.where((F.col("baseline_dm") == 0) & (F.col("time_to_dm") >= 0)).dropna(subset=["dm_incident"])
 
 
@@ -168,7 +168,7 @@ def fit_clustered_cox(frame: DataFrame, cluster: str = "hhid"):
 def hazard_ratio_table(spark, fit: Fit) -> DataFrame:
     return term_table(spark, [fit], NORMAL_975).select(
         "position", "term", F.col("ratio").alias("hazard_ratio"), F.col("conf_low").alias("conf_low_95"),
-        F.col("conf_high").alias("conf_high_95"), "p_value")
+        F.col("conf_high").alias("conf_high_95"), "p_value", "converged")
 
 
 def without_smallest(table: DataFrame, n: int = 2, by: str = "hazard_ratio", key: str = "term") -> DataFrame:
