@@ -6,52 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwave.functions.columns import any_of
-from pairwave.session import pin
 
-# A key with more rows than this is joined without shuffling its rows.
-HOT_ROWS = 10_000_000
-# At most this many keys are broadcast.  A key outside the largest 10,000
-# holds less than a ten-thousandth of the rows, which one task can spill.
-HOT_KEYS = 10_000
 
-
-def attach(rows: DataFrame, per_key: DataFrame, keys, how: str = "left", size: str = "_n",
-           hot_rows: int | None = None) -> DataFrame:
+def attach(rows: DataFrame, per_key: DataFrame, keys, how: str = "left") -> DataFrame:
     """Join ``rows`` with a summary that has one row per key.
 
-    ``per_key`` carries the number of rows behind each key in ``size``; the
-    column is not returned.  The summary is pinned, then checked for keys
-    above ``hot_rows``.  Usually there are none and the result is one
-    shuffle join.  Otherwise the summaries of the hot keys (at most
-    ``HOT_KEYS`` rows) are broadcast and their rows are not shuffled at all.
+    One plan at every size: a small summary is broadcast and a hot key's
+    partition is split by adaptive execution, since the summary has a single
+    row to repeat.  Nothing runs before the result is asked for.
 
     In a left join, rows with a missing key match nothing but would all be
     sent to one task; a hash of the row spreads them.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    added = [c for c in per_key.columns if c not in keys and c != size] if how != "left_semi" else []
+    added = [c for c in per_key.columns if c not in keys] if how != "left_semi" else []
     names = [f"_key_{k}" for k in keys]
-    right = pin(per_key.dropna(subset=keys).select(
-        *[F.col(k).alias(n) for k, n in zip(keys, names)], *added, size, F.lit(0).cast("long").alias("_known")))
+    right = per_key.dropna(subset=keys).select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], *added, F.lit(0).cast("long").alias("_known"))
     same = [F.col(k) == F.col(n) for k, n in zip(keys, names)]
     returned = [*rows.columns, *added]
-
-    def shuffled(part: DataFrame) -> DataFrame:
-        if how != "left":
-            return part.join(right, same, how).select(*returned)
-        missing = any_of([F.col(k).isNull() for k in keys])
-        spread = F.when(missing, F.xxhash64(*rows.columns)).otherwise(F.lit(0).cast("long"))
-        return (part.withColumn("_spread", spread)
-                .join(right, [F.col("_spread") == F.col("_known"), *same], how).select(*returned))
-
-    hot = right.where(F.col(size) > hot_rows)
-    if hot.isEmpty():
-        return shuffled(rows)
-    hot = hot.orderBy(F.col(size).desc(), *names).limit(HOT_KEYS)
-    in_place = rows.join(F.broadcast(hot), same, "inner").select(*returned)
-    others = rows.join(F.broadcast(hot.select(*names)), same, "left_anti")
-    return shuffled(others).unionByName(in_place)
+    if how != "left":
+        return rows.join(right, same, how).select(*returned)
+    missing = any_of([F.col(k).isNull() for k in keys])
+    spread = F.when(missing, F.xxhash64(*rows.columns)).otherwise(F.lit(0).cast("long"))
+    return (rows.withColumn("_spread", spread)
+            .join(right, [F.col("_spread") == F.col("_known"), *same], how).select(*returned))
 
 
 def first_per_key(frame: DataFrame, keys, order) -> DataFrame:

@@ -30,7 +30,8 @@ BLOCK_TIMES = 10_000
 TIMES_PER_RANGE = 5_000
 MAX_RANGES = 4_096
 MAX_STEPS = 25
-TIED_CHUNK = 1_000_000
+# Tied events added one by one per time, and times handled at once.
+TIED_DIRECT, TIED_ROWS = 128, 4_096
 # A task holds sums for at most this many times before it passes them on.
 HELD_TIMES = 50_000
 
@@ -57,9 +58,8 @@ def survival_frame(frame: DataFrame, time: str, event: str, covariates, group: s
 
     Partitions by ranges of time hold few distinct times each, so the sums
     per time that leave them are short.  A time shared by very many rows is
-    spread by the hash of the covariates.  There is one partition per core:
-    the work on a row grows with the square of the number of terms, so
-    partitions are not merged by size.
+    spread by the hash of the covariates.  The work on a row grows with the
+    square of the number of terms, so partitions are not merged by size.
     """
     covariates = tuple(covariates)
     keys = [*([cluster] if cluster else []), *covariates]
@@ -68,7 +68,7 @@ def survival_frame(frame: DataFrame, time: str, event: str, covariates, group: s
             .select(role.alias("role"), F.col(time).cast("double").alias("time"),
                     F.col(event).cast("int").alias("event"), *keys)
             .groupBy("role", "time", "event", *keys).agg(F.count(F.lit(1)).alias("n")))
-    tasks = frame.sparkSession.sparkContext.defaultParallelism
+    tasks = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pin(rows.repartitionByRange(tasks, "time", F.xxhash64("role", "event", *keys)))
     numbers = _numbers(rows, covariates)
     measured = rows.groupBy("role").agg(
@@ -136,14 +136,11 @@ def _sums_by(keys: np.ndarray, model: Model, rows: pd.DataFrame, beta: np.ndarra
     with np.errstate(over="ignore"):
         weighted = with_one * (n * np.exp(x @ beta))[:, None]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    ends = np.append(starts[1:], len(keys))
-    events = ends - np.add.reduceat(event, starts)
     upper = np.triu_indices(layout.p + 1)
     out = np.zeros((len(starts), layout.width))
-    for row, start, first, end in zip(out, starts, events, ends):
-        row[layout.risk] = (weighted[start:end].T @ with_one[start:end])[upper]
-        if first < end:
-            row[layout.tied] = (weighted[first:end].T @ with_one[first:end])[upper]
+    products = weighted[:, upper[0]] * with_one[:, upper[1]]
+    out[:, layout.risk] = np.add.reduceat(products, starts, axis=0)
+    out[:, layout.tied] = np.add.reduceat(np.where(event[:, None] == 1, products, 0.0), starts, axis=0)
     out[:, layout.deaths] = np.add.reduceat(n * event, starts)
     out[:, layout.at_risk] = np.add.reduceat(n, starts)
     out[:, layout.covariates] = np.add.reduceat(x * (n * event)[:, None], starts, axis=0)
@@ -199,33 +196,66 @@ def _sums(frame: SurvivalFrame, models, betas, per_range: bool) -> DataFrame:
 
 def _tied_sums(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """For d tied events per time, with f = l/d for l = 0..d-1 and q = s - f e:
-    the sums of log q, 1/q, f/q, 1/q^2, f/q^2 and f^2/q^2."""
+    the sums of log q, 1/q, f/q, 1/q^2, f/q^2 and f^2/q^2.
+
+    The last ``TIED_DIRECT`` terms, which may come close to q = 0, are added
+    one by one and the smooth rest in closed form, so a time costs the same
+    whatever its number of events.
+    """
     result = np.zeros((len(d), 6))
     d = d.astype(np.int64)
-    start = 0
-    while start < len(d):
-        stop = start + 1
-        total = d[start]
-        while stop < len(d) and total + d[stop] <= TIED_CHUNK:
-            total += d[stop]
-            stop += 1
-        which = np.repeat(np.arange(start, stop), d[start:stop]) if total <= TIED_CHUNK else None
-        if which is not None:
-            place = np.arange(total) - np.repeat(np.cumsum(d[start:stop]) - d[start:stop], d[start:stop])
-            _add_tied(result, which, place, d, s, e)
-        else:
-            for low in range(0, int(total), TIED_CHUNK):
-                place = np.arange(low, min(low + TIED_CHUNK, int(total)))
-                _add_tied(result, np.full(len(place), start), place, d, s, e)
-        start = stop
+    back = np.arange(TIED_DIRECT)
+    for low in range(0, len(d), TIED_ROWS):
+        part = slice(low, low + TIED_ROWS)
+        place = d[part, None] - 1 - back
+        f = np.where(place >= 0, place, 0) / d[part, None]
+        q = s[part, None] - f * e[part, None]
+        for column, value in enumerate((np.log(q), 1 / q, f / q, 1 / q**2, f / q**2, f**2 / q**2)):
+            result[part, column] = np.where(place >= 0, value, 0.0).sum(axis=1)
+    many = np.flatnonzero(d > TIED_DIRECT)
+    if len(many):
+        result[many] += _smooth_sums(d[many].astype(float), s[many], e[many])
     return result
 
 
-def _add_tied(result, which, place, d, s, e):
-    f = place / d[which]
-    q = s[which] - f * e[which]
-    for column, value in enumerate((np.log(q), 1 / q, f / q, 1 / q**2, f / q**2, f**2 / q**2)):
-        result[:, column] += np.bincount(which, value, minlength=len(d))
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(24)
+
+
+def _smooth_sums(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """The terms before the last ``TIED_DIRECT`` by the Euler-Maclaurin formula.
+
+    With c = e / d and a = s / c, q is c (a - l): sums over l = 0..n-1 of
+    log x, 1 / x, l / x, 1 / x^2, l / x^2 and l^2 / x^2 with x = a - l.
+    Integrals have closed forms; far from x = 0, where those of the terms
+    with l cancel, quadrature is exact.
+    """
+    n, c = d - TIED_DIRECT, e / d
+    a = s / c
+    z, fall = a - n, -np.log1p(-n / a)
+    spot = n[:, None] * (_NODES + 1) / 2
+    x = a[:, None] - spot
+
+    def either(closed, values):
+        return np.where(a < 2 * n, closed, (values * _WEIGHTS).sum(axis=1) * n / 2)
+
+    def total(integral, value, first, third, fifth):
+        """First, third and fifth derivative by l, as functions of x."""
+        return (integral - (value(z) - value(a)) / 2 + (first(z) - first(a)) / 12
+                - (third(z) - third(a)) / 720 + (fifth(z) - fifth(a)) / 30240)
+
+    gap = 1 / z - 1 / a
+    sums = (
+        total(n * np.log(a) + z * fall - n, np.log, lambda x: -1 / x, lambda x: -2 / x**3, lambda x: -24 / x**5) + n * np.log(c),
+        total(fall, lambda x: 1 / x, lambda x: 1 / x**2, lambda x: 6 / x**4, lambda x: 120 / x**6) / c,
+        total(either(a * fall - n, spot / x), lambda x: (a - x) / x, lambda x: a / x**2, lambda x: 6 * a / x**4,
+              lambda x: 120 * a / x**6) / e,
+        total(gap, lambda x: 1 / x**2, lambda x: 2 / x**3, lambda x: 24 / x**5, lambda x: 720 / x**7) / c**2,
+        total(either(a * gap - fall, spot / x**2), lambda x: (a - x) / x**2, lambda x: (2 * a - x) / x**3,
+              lambda x: (24 * a - 6 * x) / x**5, lambda x: (720 * a - 120 * x) / x**7) / (c * e),
+        total(either(a * (a * gap - 2 * fall) + n, (spot / x) ** 2), lambda x: ((a - x) / x) ** 2,
+              lambda x: 2 * a * (a - x) / x**3, lambda x: 12 * a * (2 * a - x) / x**5,
+              lambda x: 240 * a * (3 * a - x) / x**7) / e**2)
+    return np.column_stack(sums)
 
 
 @dataclass
@@ -487,8 +517,7 @@ def cluster_meat(frame: SurvivalFrame, model: Model, beta: np.ndarray) -> np.nda
     if not frame.blocks():
         joined = rows.join(F.broadcast(table), "time")
     else:
-        sizes = rows.groupBy("time").agg(F.count(F.lit(1)).alias("_n"))
-        joined = attach(rows, table.join(sizes, "time"), "time", how="inner")
+        joined = attach(rows, table, "time", how="inner")
     centers = frame.centers.get(model.group, {})
     x = [t.expression() - F.lit(float(centers.get(t.column, 0.0)) if t.level is None else 0.0) for t in model.terms]
     linear = sum((xj * F.lit(float(b)) for xj, b in zip(x, beta)), F.lit(0.0))

@@ -26,10 +26,10 @@ def household_summary(persons: DataFrame, flag: str = "spousedyad_new", keys=("h
         F.coalesce(F.sum(flag), F.lit(0)).cast("long").alias(total), F.count(F.lit(1)).alias("count_hh"))
 
 
-def add_household_summary(persons: DataFrame, keys=("hhid",), hot_rows: int | None = None) -> DataFrame:
+def add_household_summary(persons: DataFrame, keys=("hhid",)) -> DataFrame:
     """Left join of the household summary; people without a household get nulls."""
-    summary = household_summary(persons, keys=keys).withColumn("_n", F.col("count_hh"))
-    return attach(persons, summary, keys, how="left", hot_rows=hot_rows)
+    summary = household_summary(persons, keys=keys)
+    return attach(persons, summary, keys, how="left")
 
 
 def flag(condition: Column) -> Column:
@@ -60,9 +60,9 @@ def availability_flags(persons: DataFrame, followups=(1, 2, 3), study: str = "ca
     })
 
 
-def eligibility_flags(persons: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def eligibility_flags(persons: DataFrame) -> DataFrame:
     """Valid dyad, data availability, cohort and at-risk flags per person."""
-    flagged = availability_flags(add_household_summary(persons, hot_rows=hot_rows)).withColumn(
+    flagged = availability_flags(add_household_summary(persons)).withColumn(
         "valid_dyad", flag((F.col("sum_spouse") == 2) & (F.col("count_hh") == 2)))
     usable = (F.col("valid_dyad") == 1) & (F.col("onefollowupbio") == 1)
     return flagged.withColumns({
@@ -72,19 +72,16 @@ def eligibility_flags(persons: DataFrame, hot_rows: int | None = None) -> DataFr
 
 
 def distinct_member_dyads(visits: DataFrame, keys=("carrs", "hhid"), person: str = "pid",
-                          spouse: str = "spousedyad_new", hot_rows: int | None = None) -> DataFrame:
+                          spouse: str = "spousedyad_new") -> DataFrame:
     """Valid dyad by distinct members: two people, both flagged as spouses."""
     keys = list(keys)
     members = visits.groupBy(*keys, person).agg(
-        F.max(F.coalesce((F.col(spouse) == 1).cast("int"), F.lit(0))).alias("_spouse"),
-        F.count(F.lit(1)).alias("_rows"))
+        F.max(F.coalesce((F.col(spouse) == 1).cast("int"), F.lit(0))).alias("_spouse"))
     known = F.col(person).isNotNull().cast("int")
     households = members.groupBy(*keys).agg(
-        F.sum(F.col("_spouse") * known).alias("_spouses"), F.sum(known).alias("_members"),
-        F.sum("_rows").alias("_n"))
-    valid = households.select(
-        *keys, flag((F.col("_spouses") == 2) & (F.col("_members") == 2)).alias("_valid"), "_n")
-    return (attach(visits, valid, keys, how="left", hot_rows=hot_rows)
+        F.sum(F.col("_spouse") * known).alias("_spouses"), F.sum(known).alias("_members"))
+    valid = households.select(*keys, flag((F.col("_spouses") == 2) & (F.col("_members") == 2)).alias("_valid"))
+    return (attach(visits, valid, keys, how="left")
             .withColumn("valid_dyad", F.coalesce("_valid", F.lit(0))).drop("_valid"))
 
 
@@ -107,19 +104,18 @@ def members_histogram(visits: DataFrame, household: str = "hhid", person: str =
 
 def mixed_couples(visits: DataFrame, household: str = "hhid", person: str = "pid", sex: str = "sex") -> DataFrame:
     """Households of exactly two people, one male and one female."""
-    people = visits.groupBy(household, person, sex).agg(F.count(F.lit(1)).alias("_rows"))
+    people = visits.select(household, person, sex).distinct()
 
     def members(label):
         return F.count(F.when(F.col(sex) == label, 1))
 
     return people.groupBy(household).agg(
-        F.count(F.lit(1)).alias("_people"), members("male").alias("_men"), members("female").alias("_women"),
-        F.sum("_rows").alias("_n")
-    ).where("_people = 2 and _men = 1 and _women = 1").select(household, "_n")
+        F.count(F.lit(1)).alias("_people"), members("male").alias("_men"), members("female").alias("_women")
+    ).where("_people = 2 and _men = 1 and _women = 1").select(household)
 
 
-def keep_mixed_couples(visits: DataFrame, household: str = "hhid", hot_rows: int | None = None, **columns) -> DataFrame:
-    return attach(visits, mixed_couples(visits, household, **columns), household, how="left_semi", hot_rows=hot_rows)
+def keep_mixed_couples(visits: DataFrame, household: str = "hhid", **columns) -> DataFrame:
+    return attach(visits, mixed_couples(visits, household, **columns), household, how="left_semi")
 
 
 def close_in_age(visits: DataFrame, household: str = "hhid", person: str = "pid", age: str = "age",
@@ -134,10 +130,9 @@ def close_in_age(visits: DataFrame, household: str = "hhid", person: str = "pid"
 
 
 def keep_close_in_age(visits: DataFrame, household: str = "hhid", person: str = "pid", age: str = "age",
-                      wave: str = "fup", limit: float = MAX_AGE_GAP, hot_rows: int | None = None) -> DataFrame:
-    rows = visits.groupBy(household).agg(F.count(F.lit(1)).alias("_n"))
-    near = close_in_age(visits, household, person, age, wave, limit).join(rows, household).select(household, "_n")
-    return attach(visits, near, household, how="left_semi", hot_rows=hot_rows)
+                      wave: str = "fup", limit: float = MAX_AGE_GAP) -> DataFrame:
+    near = close_in_age(visits, household, person, age, wave, limit).select(household)
+    return attach(visits, near, household, how="left_semi")
 
 
 def eligible_couples(visits: DataFrame, household: str = "hhid", person: str = "pid", sex: str = "sex",
@@ -150,7 +145,7 @@ def eligible_couples(visits: DataFrame, household: str = "hhid", person: str = "
     at_baseline = F.col(wave) == 0
     people = visits.groupBy(household, person, sex).agg(
         F.count(F.when(at_baseline, 1)).alias("_baseline"),
-        F.max(F.when(at_baseline, F.col(age))).alias("_age"), F.count(F.lit(1)).alias("_rows"))
+        F.max(F.when(at_baseline, F.col(age))).alias("_age"))
 
     def members(label):
         return F.count(F.when(F.col(sex) == label, 1))
@@ -158,9 +153,9 @@ def eligible_couples(visits: DataFrame, household: str = "hhid", person: str = "
     return people.groupBy(household).agg(
         F.count(F.lit(1)).alias("_people"), members("male").alias("_men"), members("female").alias("_women"),
         F.count(F.when(F.col("_baseline") > 0, F.col("_age"))).alias("_aged"),
-        (F.max("_age") - F.min("_age")).alias("_gap"), F.sum("_rows").alias("_n")
+        (F.max("_age") - F.min("_age")).alias("_gap")
     ).where((F.col("_people") == 2) & (F.col("_men") == 1) & (F.col("_women") == 1)
-            & (F.col("_aged") == 2) & (F.col("_gap") <= limit)).select(household, "_n")
+            & (F.col("_aged") == 2) & (F.col("_gap") <= limit)).select(household)
 
 
 def complete_persons(visits: DataFrame, covariates, person: str = "pid", wave: str = "fup") -> DataFrame:

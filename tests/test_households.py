@@ -23,12 +23,6 @@ def test_household_summary_leaves_out_missing_households(spark):
     assert added == {1: 2, 2: 2, 3: None, 4: 1}
 
 
-def test_hot_household_path_gives_the_same_flags(spark, folder):
-    analytic = current.analytic_wide(cohort.visit(spark, folder), cohort.baseline(spark, folder),
-                                     cohort.dyad_flags(spark, folder))
-    assert same(households.eligibility_flags(analytic), households.eligibility_flags(analytic, hot_rows=1))
-
-
 def test_fused_dyads_equal_the_staged_pipeline(spark, folder):
     inputs = cohort.visit(spark, folder), cohort.baseline(spark, folder), cohort.dyad_flags(spark, folder)
     staged = current.dyads_from_cohort(current.cohort_persons(current.recoded_persons(current.analytic_wide(*inputs))))
@@ -38,7 +32,7 @@ def test_fused_dyads_equal_the_staged_pipeline(spark, folder):
 def test_one_pass_couples_equal_the_two_filters(spark, folder):
     visits = cohort.visit_extra(spark, folder)
     ids = households.eligible_couples(visits).select("hhid")
-    staged = households.keep_close_in_age(households.keep_mixed_couples(visits), hot_rows=3).select("hhid").distinct()
+    staged = households.keep_close_in_age(households.keep_mixed_couples(visits)).select("hhid").distinct()
     assert same(ids, staged)
 
 

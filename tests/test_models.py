@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -184,13 +185,21 @@ def test_single_event_and_event_at_time_zero(spark):
     assert math.isclose(fit.coef[0], 0.0, abs_tol=1e-9) and fit.events == 1
 
 
-def test_tied_sums_by_chunks(monkeypatch):
-    d, s, e = np.array([1.0, 5.0, 12.0]), np.array([4.0, 9.0, 13.0]), np.array([1.0, 9.0, 12.5])
-    whole = _tied_sums(d, s, e)
-    monkeypatch.setattr("pairwave.operators.cox.TIED_CHUNK", 4)
-    assert np.allclose(whole, _tied_sums(d, s, e))
-    f = np.arange(5) / 5
-    assert math.isclose(whole[1, 1], (1 / (9 - 9 * f)).sum())
+def test_tied_sums_equal_direct_summation():
+    for d in (1, 2, 127, 128, 129, 200, 5_000, 300_000):
+        for ratio in (1.0, 1 + 1e-9, 1.01, 1.9, 2.1, 50, 1e6):
+            e = 0.7 * d
+            s, f = np.longdouble(e * ratio), np.arange(d, dtype=np.longdouble) / d
+            q = s - f * np.longdouble(e)
+            want = [float(np.sum(v)) for v in (np.log(q), 1 / q, f / q, 1 / q**2, f / q**2, f**2 / q**2)]
+            got = _tied_sums(np.array([float(d)]), np.array([e * ratio]), np.array([e]))[0]
+            assert np.allclose(got, want, rtol=1e-10, atol=1e-10), (d, ratio)
+
+
+def test_tied_sums_of_many_events_take_no_time():
+    start = time.perf_counter()
+    _tied_sums(np.array([1e9]), np.array([3e9]), np.array([1e9]))
+    assert time.perf_counter() - start < 0.5
 
 
 def test_logistic_equals_newton_and_scores_vanish(spark):
