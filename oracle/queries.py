@@ -290,6 +290,18 @@ STATEMENTS: dict[str, str] = {
         morbidity_category, famhx_cvd, famhx_htn, famhx_dm, alc_overall, smk_overall, bmi_category FROM linked_recoded_t""",
     "event_or_censor_long": """SELECT pid, carrs, fup, hhid, dm_biomarker, dm_incident, dm_incident_day, time_to_dm,
         baseline_dm FROM long_annotated_t""",
+    "analytic_long": """SELECT pid, carrs, fup, hhid, dm_biomarker, dm_incident, dm_incident_day, time_to_dm,
+        baseline_dm, morbidity_category, bmi_category FROM chain_t""",
+    "analytic_waves": "SELECT hhid, carrs, fup, " + ", ".join(f"{s}_{v}" for s in ("female", "male") for v in WAVE_VALUES)
+        + " FROM (" + members_wide("chain_t", WAVE_VALUES) + ") w",
+    "visits_source": f"SELECT pid, carrs, hhid, fup, visit, {text('doi')}, reason, {r('fpg', digits=9)}, {r('hba1c', digits=9)}, "
+        "dm, dm_allo FROM visit_t",
+    "baseline_source": f"SELECT * EXCLUDE (spousedyad_new) REPLACE ({text('doi')}, {r('weight_kg')}, {r('bmi')}, {r('waist_cm')}) "
+        "FROM person_t",
+    "dyad_flags_source": "SELECT pid, hhid, spousedyad_new FROM person_t",
+    "staged_outcomes": "SELECT carrs, fup, dm_biomarker, count(*) AS n FROM outcome_t GROUP BY ALL",
+    "report_round_trip": """SELECT n_pid, count(*) AS Freq FROM (
+        SELECT hhid, count(DISTINCT pid) AS n_pid FROM visit_t GROUP BY hhid) h GROUP BY n_pid""",
     "baseline_ids": """SELECT DISTINCT pid, dm_biomarker AS baseline_event FROM extra_outcome_t
         WHERE fup = 0 AND dm_biomarker IS NOT NULL""",
     "event_or_censor": "SELECT carrs, pid, fup, hhid, dm_incident, dm_incident_day, time_to_dm FROM long_event_t",

@@ -71,7 +71,9 @@ SELECT v.*, p.spousedyad_new,
        CAST(CASE WHEN v.pid % 10 = 0 THEN 1 + v.pid % 4 END AS INT) AS smk_smoke_freq,
        CAST(CASE WHEN v.pid % 21 = 0 THEN 2 END AS INT) AS smk_chew_freq,
        CAST(CASE WHEN p.educstat >= 5 THEN 1 WHEN p.educstat >= 3 THEN 2 ELSE 3 END AS INT) AS edu_category,
-       p.employ AS employ_category, CAST(1 + v.hhid % 4 AS INT) AS hhincome, p.site
+       p.employ AS employ_category, CAST(1 + v.hhid % 4 AS INT) AS hhincome, p.site,
+       CAST(CASE WHEN v.pid % 53 = 0 THEN NULL ELSE v.pid % 2 END AS INT) AS hld, CAST(1 + v.pid % 4 AS INT) AS religion,
+       CAST(CASE WHEN v.pid % 47 = 0 THEN NULL ELSE 1 + v.pid % 3 END AS INT) AS caste
 FROM visit_t v JOIN person_t p ON p.pid = v.pid"""
 
 OUTCOMES = """
@@ -228,7 +230,7 @@ FROM (
         FROM imputed_t) a) b"""
 
 COMPLETE_CASE_COLUMNS = (
-    "dm", "fpg", "hba1c", "age", "sex", "edu_category", "employ_category", "hhincome", "bmi",
+    "dm", "fpg", "hba1c", "age", "sex", "hld", "religion", "caste", "edu_category", "employ_category", "hhincome", "bmi",
     "famhx_dm", "htn", "chd", "smk_overall", "alc_overall")
 MODEL_CASE_COLUMNS = ("age", "sex", "edu_category", "famhx_dm")
 
@@ -322,6 +324,8 @@ TABLES = {
     "case_t": complete_cases("spouse_t", COMPLETE_CASE_COLUMNS),
     "mixed_t": MIXED.format(source="case_t"), "close_t": CLOSE.format(source="mixed_t"),
     "long_t": RECODE_VISITS.format(source="close_t"),
+    "chain_event_t": EVENT_ROWS.format(source="long_t"),
+    "chain_t": ANNOTATED.format(source="long_t", events="chain_event_t"),
     "outcome_recoded_t": RECODE_VISITS.format(source="extra_outcome_t"),
     "linked_recoded_t": RECODE_VISITS.format(source="linked_t"),
     "long_event_t": EVENT_ROWS.format(source="linked_recoded_t"),

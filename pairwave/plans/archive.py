@@ -13,11 +13,10 @@ from pairwave.operators.visits import (
     define_gated_outcomes, flag_response, impute_visit_dates, keep_schedule, link_visit_dates,
     trim_trailing_nonresponse, wave_midpoints)
 
-# Fixed list of covariates a complete case must have at baseline, without
-# the columns that the cohort tables at hand do not carry.
+# Covariates a complete case must have at baseline.
 COMPLETE_CASE_COLUMNS = (
-    "dm", "fpg", "hba1c", "age", "sex", "edu_category", "employ_category", "hhincome", "bmi",
-    "famhx_dm", "htn", "chd", "smk_overall", "alc_overall")
+    "dm", "fpg", "hba1c", "age", "sex", "hld", "religion", "caste", "edu_category", "employ_category", "hhincome",
+    "bmi", "famhx_dm", "htn", "chd", "smk_overall", "alc_overall")
 
 
 def main_visits(visits: DataFrame) -> DataFrame:

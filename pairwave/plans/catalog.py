@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import partial
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,9 @@ from pairwave.operators import describe, dyads, events, households, recode, visi
 from pairwave.operators.design import term_table
 from pairwave.operators.glm import Z
 from pairwave.plans import archive, current, reports
-from pairwave.session import pin
-from pairwave.sources import cohort
+from pairwave.session import checkpoint_folder, pin
+from pairwave.sources import cohort, tables
+from pairwave.sources.reports import read_report, write_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -415,6 +417,63 @@ def table_one(spark, folder):
     return describe.table_one(pin(_dyads(spark, folder)))
 
 
+# -- sources and stages --------------------------------------------------------------
+
+def _staged(spark, frame, name) -> str:
+    """Write a stage under a name of its own in the shared folder."""
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid4().hex}"
+    tables.write_stage(frame, path)
+    return path
+
+
+@exact_query
+def visits_source(spark, folder):
+    """The visit table as a stage, read back with its schema and checked key."""
+    return tables.read_visits(spark, _staged(spark, cohort.visit(spark, folder), "visits"))
+
+
+@query
+def baseline_source(spark, folder):
+    """The baseline table as a stage, read back with its schema."""
+    return tables.read_baseline(spark, _staged(spark, cohort.baseline(spark, folder), "baseline"))
+
+
+@query
+def dyad_flags_source(spark, folder):
+    """The dyad flags as a stage, read back with their schema."""
+    return tables.read_dyad_flags(spark, _staged(spark, cohort.dyad_flags(spark, folder), "flags"))
+
+
+@query
+def staged_outcomes(spark, folder):
+    """A stage that continues from the one before: outcomes, then visits per wave and outcome."""
+    outcomes = tables.read_stage(spark, _staged(spark, current.visit_outcomes(cohort.visit(spark, folder)), "outcomes"))
+    return outcomes.groupBy("carrs", "fup", "dm_biomarker").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def report_round_trip(spark, folder):
+    """A report written as CSV in order and read back."""
+    path = f"{checkpoint_folder(spark)}/report-{uuid4().hex}"
+    write_report(households.members_histogram(cohort.visit(spark, folder)), path, order=["n_pid"])
+    return read_report(spark, path, "n_pid bigint, Freq bigint")
+
+
+@query
+def analytic_long(spark, folder):
+    """The longitudinal chain end to end: visits of complete couples with events and baseline status."""
+    return archive.analytic_long(cohort.visit_extra(spark, folder)).select(
+        *PERSON_WAVE, "hhid", "dm_biomarker", "dm_incident", "dm_incident_day", "time_to_dm", "baseline_dm",
+        "morbidity_category", "bmi_category")
+
+
+@query
+def analytic_waves(spark, folder):
+    """Its last step: both members of a couple side by side per wave."""
+    long = archive.analytic_long(cohort.visit_extra(spark, folder))
+    return archive.analytic_waves(long.select("hhid", "carrs", "fup", "sex", *WAVE_VALUES))
+
+
 # -- models ------------------------------------------------------------------------
 
 def _terms(spark, fits, z):

@@ -146,6 +146,9 @@ EXTRA_COLUMNS = {
     "edu_category": _int("case when educstat >= 5 then 1 when educstat >= 3 then 2 else 3 end"),
     "employ_category": "employ",
     "hhincome": _int("1 + hhid % 4"),
+    "hld": _int(_unless("pid % 53 = 0", "pid % 2")),
+    "religion": _int("1 + pid % 4"),
+    "caste": _int(_unless("pid % 47 = 0", "1 + pid % 3")),
     "site": "site",
 }
 
