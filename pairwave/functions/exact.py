@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Half-width, in standard deviations, of the part of the support that is
-# evaluated.  The mass outside is below the smallest double.
+# evaluated, besides 50 cells.  An observed cell outside is so unlikely that
+# its p-value is reported as the smallest double instead of zero.
 SPREAD = 40.0
 
 
@@ -89,7 +90,7 @@ def exact_odds_ratio(a: int, b: int, c: int, d: int, level: float = 0.95):
     upper = math.inf if at_high else math.exp(_increasing_root(lambda t: tail - table.at_most(t), start))
     support, mass = table.mass(0.0)
     observed = mass[support == table.x]
-    p = float(mass[mass <= observed[0] * (1.0 + 1e-7)].sum()) if observed.size else 0.0
+    p = float(mass[mass <= observed[0] * (1.0 + 1e-7)].sum()) if observed.size else math.ulp(0.0)
     return estimate, lower, upper, min(p, 1.0)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairwave.functions.columns import any_of, first_match
 
+# Columns of a member and covariates by sex, as published.
 MEMBER_COLUMNS = (
     "age", "bmi", "waist_cm", "educcat", "educcat2", "employocccat", "bmicat", "bmicat2",
     "alc_overall", "smk_overall", "famhx_htn", "famhx_dm", "famhx_cvd", "htn", "dm", "chd", "cva", "ckd",
