@@ -119,15 +119,15 @@ def clustered_tables(prefix: str, size: int) -> dict[str, str]:
         return f"m[1 + {j}] / m[1]"
 
     information = f"m[i * {wide} + j + 1] / m[1] - ({mean('i')}) * ({mean('j')})"
+    # Rows and columns outside a test are those of the identity matrix.
     tests = (f"SELECT t.name, t.cols, len(t.cols) AS df, list(line ORDER BY i) AS a FROM ("
-             f"SELECT t.name, t.cols, i, list(CASE WHEN j = {size + 1} THEN CASE WHEN list_contains(t.cols, i) THEN u.v ELSE 0 END "
-             f"WHEN list_contains(t.cols, i) AND list_contains(t.cols, j) THEN q.v WHEN i = j THEN 1 ELSE 0 END ORDER BY j) AS line "
+             f"SELECT t.name, t.cols, x_i.i AS i, list(CASE "
+             f"WHEN x_j.j = {size + 1} THEN CASE WHEN list_contains(t.cols, x_i.i) THEN u.v ELSE 0 END "
+             f"WHEN list_contains(t.cols, x_i.i) AND list_contains(t.cols, x_j.j) THEN q.v "
+             f"WHEN x_i.i = x_j.j THEN 1 ELSE 0 END ORDER BY x_j.j) AS line "
              f"FROM {prefix}_test_t t, {_index('i', size)}, {_index('j', size + 1)} "
              f"LEFT JOIN {prefix}_left_t q ON q.i = x_i.i AND q.j = x_j.j LEFT JOIN {prefix}_lift_t u ON u.i = x_i.i "
              f"GROUP BY t.name, t.cols, x_i.i) t GROUP BY t.name, t.cols")
-    tests = tests.replace("t.cols, i, list(", "t.cols, x_i.i AS i, list(").replace("list_contains(t.cols, i)", "list_contains(t.cols, x_i.i)")
-    tests = tests.replace("list_contains(t.cols, j)", "list_contains(t.cols, x_j.j)").replace("WHEN i = j THEN", "WHEN x_i.i = x_j.j THEN")
-    tests = tests.replace(f"CASE WHEN j = {size + 1}", f"CASE WHEN x_j.j = {size + 1}").replace("ORDER BY j)", "ORDER BY x_j.j)")
     solved = _eliminate(tests, size, "name, cols, df")
     return {
         f"{prefix}_jump_t": f"SELECT t, any_value(d) AS d, j, sum(1 / m[1]) AS h0, sum({mean('j')} / m[1]) AS h1, "
