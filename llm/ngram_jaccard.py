@@ -114,17 +114,21 @@ def _sign(shingles, owner, weight, scheme, segments, deletion, size):
     return keys, np.concatenate(owners), capacity
 
 
+def _digests(weight: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hashes of sets of mixed shingles."""
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(weight, dtype=np.uint64)])
+    return mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+
 def _signatures(shingles, first, percent):
     """Entries (key, digest) of some sets, and the sets' digests, sizes and capacities (own scheme, scheme below)."""
     size = np.diff(first)
     rows = len(size)
     owner = np.repeat(np.arange(rows), size)
     weight = mix(shingles)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(weight, dtype=np.uint64)])
-    digest = mix(sums[first[1:]] - sums[first[:-1]] + size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    digest = _digests(weight, first)
     band = np.frexp(np.maximum(size, 1).astype(float))[1] - 1
     below = (size * percent <= (2 ** band - 1) * 100) & (band > 0)
-    able = size * 100 // percent > 0
     # a set of which no other can be within reach needs no signature
     able = most_different(size, size * 100 // percent, percent) > 0
     capacity = np.full((2, rows), -1, np.int64)
@@ -269,10 +273,12 @@ def _sets(n: int):
             for a, b in row_slices(offsets):
                 shingles, first = shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], n)
                 blobs = [shingles[x:y].tobytes() for x, y in zip(first[:-1], first[1:])]
+                digests = _digests(mix(shingles), first).view(np.int64).tolist()
                 rows = {"node": [], "family": [], "i": [], "j": [], "mine": [], "shingles": []}
-                for node, family, blocks, blob in zip(batch.column("node")[a:b].to_pylist(),
-                                                      batch.column("family")[a:b].to_pylist(),
-                                                      batch.column("blocks")[a:b].to_pylist(), blobs):
+                for node, family, blocks, blob, digest in zip(
+                        *(batch.column(c)[a:b].to_pylist() for c in ("node", "family", "blocks")), blobs, digests):
+                    if node != digest:
+                        continue  # another text under the same id
                     mine = (node & 0xFFFFFFFF) * blocks >> 32
                     for k in range(blocks):
                         for name, value in zip(rows, (node, family, min(mine, k), max(mine, k), mine, blob)):

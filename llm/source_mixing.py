@@ -76,28 +76,29 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
 
 
 def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, doc: str = "doc_id",
-        text: str = "text", source: str = "source", lang: str = "lang", seed: str = "mix") -> DataFrame:
-    """All columns of ``docs`` with n_tokens, probability and kept.
+        text: str = "text", source: str = "source", lang: str = "lang", seed: str = "mix",
+        names: tuple[str, str, str] = ("n_tokens", "probability", "kept")) -> DataFrame:
+    """All columns of ``docs`` with its number of words, probability and choice, called ``names``.
 
     ``topic`` defaults to the layout of the text and ``targets`` to tempered shares.  A null source, language or
     topic is a group of its own; documents without words carry no weight and have their cell's
     probability; equal ids are kept or left together, a missing id counts as the empty text.  Columns of the new names are replaced.
     """
-    docs = docs.drop("n_tokens", "probability", "kept")
+    docs, (tokens, probability, kept) = docs.drop(*names), names
     keys = dict(zip(DIMENSIONS, (F.col(source), F.col(lang), layout_topic(text) if topic is None else topic)))
     marked = docs.withColumns({f"_{d}": F.coalesce(c.cast("string"), F.lit("(none)")) for d, c in keys.items()} |
-                              {"n_tokens": n_words(text)})
-    cells = saved(marked.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("n_tokens").alias("tokens")),
+                              {tokens: n_words(text)})
+    cells = saved(marked.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum(tokens).alias("tokens")),
                   "mixing-sums")
     if targets is None:
         targets = {d: saved(tempered(cells, d), "mixing-targets") for d in DIMENSIONS}
     scaled = rake(cells, targets)
     top = scaled.agg(F.max("scale")).first()[0]
-    chances = scaled.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), (F.col("scale") / F.lit(top)).alias("probability"))
+    chances = scaled.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), (F.col("scale") / F.lit(top)).alias(probability))
     few = chances.count() <= BROADCAST_CELLS
     joined = marked.join(F.broadcast(chances) if few else chances, [f"_{d}" for d in DIMENSIONS])
-    joined = joined.withColumn("kept", uniform_or_empty(doc, seed) < F.col("probability"))
-    return joined.select(*docs.columns, "n_tokens", "probability", "kept")
+    joined = joined.withColumn(kept, uniform_or_empty(doc, seed) < F.col(probability))
+    return joined.select(*docs.columns, *names)
 
 
 def uniform_or_empty(doc: str, seed: str) -> Column:

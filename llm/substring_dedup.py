@@ -102,9 +102,10 @@ def _contents(length: int):
                 for k in range(a, b):
                     owner = batch.column("doc")[k].as_py()
                     for s in batch.column("segments")[k].as_py():
-                        at = first[k - a] + s["start"]
-                        for column, value in zip(out, (s["shard"], s["segment"], owner,
-                                                       short[at:at + s["windows"] + length - 1].tobytes())):
+                        at, size = first[k - a] + s["start"], s["windows"] + length - 1
+                        if at + size > first[k - a + 1]:
+                            continue  # another text under the same id
+                        for column, value in zip(out, (s["shard"], s["segment"], owner, short[at:at + size].tobytes())):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 

@@ -131,12 +131,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc: str = "
     return Model(places[real], weights[real], float(weights[~real][0]) if len(places) else 0.0)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and a column ``score`` from 0 to 1; a null text counts as empty.
+def score(docs: DataFrame, model: Model, column: str = "score", text: str = "text") -> DataFrame:
+    """All columns of ``docs`` and their scores from 0 to 1 in ``column``; a null text counts as empty.
 
     A column of that name is replaced.
     """
-    docs = docs.drop("score")
+    docs = docs.drop(column)
     # The model has at most 2**BITS places.
     shared = docs.sparkSession.sparkContext.broadcast((model.places, model.weights, model.intercept))
     at = docs.columns.index(text)
@@ -155,9 +155,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 total = np.bincount(packed >> BITS, dense[packed & ((1 << BITS) - 1)], b - a) + intercept
                 scores.append(1 / (1 + np.exp(-np.clip(total, -700, 700))))
             scores = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, column])
 
-    schema = ", ".join([f"`{c}` {kind}" for c, kind in docs.dtypes] + ["score double"])
+    schema = ", ".join([f"`{c}` {kind}" for c, kind in docs.dtypes] + [f"`{column}` double"])
     return docs.mapInArrow(run, schema)
 
 
@@ -166,9 +166,9 @@ def held_out(doc: str = "doc_id"):
     return F.crc32(F.col(doc).cast("string")) % 4 == 2
 
 
-def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def scored_documents(docs: DataFrame, labels: DataFrame, column: str = "score") -> DataFrame:
     """Scores of ``docs`` by a model of the labels outside the held-out rows."""
-    return score(docs, train(docs, labels.where(~held_out())))
+    return score(docs, train(docs, labels.where(~held_out())), column)
 
 
 THRESHOLD = 0.3
