@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import fresh_folder
-from llm.decontamination import contamination
+from llm.decontamination import find_overlaps
 from llm.ngram_jaccard import jaccard_components
 from llm.source_mixing import mix
 from llm.token_files import token_digest
@@ -20,25 +20,26 @@ from llm.toxicity import THRESHOLD, scored_documents
 def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    return scored_documents(docs, labels).where(F.col("score") < THRESHOLD).select(docs.columns)
+    return scored_documents(docs, labels, "_toxicity").where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class."""
+    """All but the documents that are near duplicates of one with a smaller id; rows without an id stay."""
     classes = jaccard_components(docs)
-    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, docs.doc_id == F.col("_kept"), "semi")
+    others = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
+    return docs.join(others, docs.doc_id == F.col("_other"), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Documents without passages of the benchmark; rows without an id stay."""
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
-    return contamination(docs, benchmark).where("overlaps = 0").select(docs.columns)
+    found = find_overlaps(docs, benchmark).select(F.col("doc").alias("_found")).distinct()
+    return docs.join(found, docs.doc_id == F.col("_found"), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """A sample with the target shares of source, language and layout."""
-    return mix(docs).where("kept").select(docs.columns)
+    return mix(docs, names=("_tokens", "_probability", "_kept")).where("_kept").drop("_tokens", "_probability", "_kept")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
