@@ -49,7 +49,7 @@ def test_raked_sums_meet_targets(spark):
                                   "source string, lang string, tokens long")
     targets = {"source": spark.createDataFrame([("a", 0.7), ("b", 0.3)], "value string, target double"),
                "lang": spark.createDataFrame([("x", 0.4), ("y", 0.6)], "value string, target double")}
-    rows = source_mixing.rake(cells, targets).collect()
+    rows = source_mixing.rake(cells, targets, tolerance=1e-9).collect()
     for dimension, target in (("source", {"a": 0.7, "b": 0.3, "c": 0}), ("lang", {"x": 0.4, "y": 0.6})):
         for value, share in target.items():
             assert sum(r["tokens"] * r["scale"] for r in rows if r[dimension] == value) == pytest.approx(95 * share, abs=1e-6)
