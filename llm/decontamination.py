@@ -100,19 +100,28 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
         "doc", "item", "at", "words", "matched").distinct()
 
 
+def contaminated_documents(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", **options) -> DataFrame:
+    """(doc, overlaps, item, matched) of each document with an overlap: the number of overlaps, and the item
+    and the number of equal words of the largest (the smallest item of equals)."""
+    return find_overlaps(docs, benchmark, doc, **options).groupBy("doc").agg(
+        F.count(F.lit(1)).alias("overlaps"),
+        F.min(F.struct((-F.col("matched")).alias("size"), F.col("item").alias("item"))).alias("top")).select(
+        F.col("doc").alias(doc), "overlaps", "top.item", (-F.col("top.size")).cast("long").alias("matched"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", **options) -> DataFrame:
-    """All columns of ``docs`` with overlaps, item and matched: the number of overlaps, and the item and
-    the number of equal words of the largest (the smallest item of equals); null without one."""
-    overlaps = find_overlaps(docs, benchmark, doc, **options).groupBy(F.col("doc").alias("_doc")).agg(
-        F.count(F.lit(1)).alias("overlaps"), F.min(F.struct(-F.col("matched"), F.col("item").alias("item"))).alias("top"))
+    """All columns of ``docs`` with overlaps, item and matched; 0 and null without an overlap.
+
+    Columns of these names are replaced.
+    """
+    found = contaminated_documents(docs, benchmark, doc, **options).withColumnRenamed(doc, "_doc")
     docs = docs.drop("overlaps", "item", "matched")
-    return docs.join(overlaps, docs[doc] == F.col("_doc"), "left").select(
-        *docs.columns, F.coalesce("overlaps", F.lit(0)).cast("long").alias("overlaps"), F.col("top.item").alias("item"),
-        (-F.col("top.col1")).cast("long").alias("matched"))
+    return docs.join(found, docs[doc] == F.col("_doc"), "left").select(
+        *docs.columns, F.coalesce("overlaps", F.lit(0)).cast("long").alias("overlaps"), "item", "matched")
 
 
 def op2_decontamination(spark, folder: str) -> DataFrame:
-    """Overlaps of all documents with all benchmark items."""
+    """All documents that hold passages of benchmark items, with the item they share most with."""
     docs, benchmark = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
-    found = contamination(docs.select("doc_id", "text"), benchmark)
-    return found.select("doc_id", (F.col("overlaps") > 0).alias("contaminated"), "overlaps", "item", "matched")
+    found = contaminated_documents(docs, benchmark)
+    return found.select("doc_id", F.col("item").alias("item_id"), "overlaps", "matched")
