@@ -82,11 +82,6 @@ def _chi_square_p(statistic: pd.Series, df: pd.Series) -> pd.Series:
                       for x, k in zip(statistic, df)], dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def _wald_p(z: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(v) else normal_two_sided(v) for v in z], dtype="float64")
-
-
 def t_critical(df: Column) -> Column:
     """97.5 % quantile of Student's t, one value per (already grouped) row."""
     return F.nanvl(_t_critical(df.cast("double")), F.lit(None).cast("double"))
@@ -96,10 +91,6 @@ def chi_square_p(statistic: Column, df: Column) -> Column:
     return F.nanvl(_chi_square_p(statistic.cast("double"), df.cast("double")), F.lit(None).cast("double"))
 
 
-def wald_p(z: Column) -> Column:
-    return F.nanvl(_wald_p(z.cast("double")), F.lit(None).cast("double"))
-
-
 def p_text(p: Column) -> Column:
     return (F.when(p.isNull(), "NA").when(p < 0.001, "< 0.001").otherwise(F.format_string("%.3f", p)))
 
