@@ -57,12 +57,19 @@ def allocate(band: int, percent: int) -> tuple[int, bool]:
     """Number of segments for a band, and whether they are signed with one-deletion neighbourhoods."""
     size = 2 ** (band + 1) - 1
     needed = most_different(size, size * 100 // percent, percent) + 1
-    options = [((needed + 1) // 2 + size, (needed + 1) // 2, True)]
-    for segments in range(needed, size + 1):
+
+    def filled(segments: int) -> float:
+        """Segments that are not empty, less three standard deviations; grows with the number of segments."""
         empty = segments * math.exp(-size / segments)
-        if segments - empty - 3 * math.sqrt(empty) >= needed:
-            options.append((segments, segments, False))
-            break
+        return segments - empty - 3 * math.sqrt(empty)
+
+    options = [((needed + 1) // 2 + size, (needed + 1) // 2, True)]
+    if needed <= size and filled(size) >= needed:
+        low, high = needed, size
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if filled(middle) >= needed else (middle + 1, high)
+        options.append((low, low, False))
     return min(options)[1:]
 
 
@@ -377,7 +384,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc: str
                  F.when(F.col("single"), F.col("size")).otherwise(F.lit(-1)).alias("capacity"),
                  F.floor(F.col("size") * 100 / percent).cast("long").alias("partner")))).alias("s")
     ).select("node", "size", "s.*").where("capacity >= 0")
-    by_deletion = [k for k in range(SINGLES) if k < 40 and allocate_is_deletion(k, percent)]
+    by_deletion = [k for k in range(40) if allocate(k, percent)[1]]
     frequent = found.where("kind = 'frequent'").select(F.col("a").alias("node"), F.col("b").alias("key"), "scheme").distinct()
     lost = frequent.groupBy("node", "scheme").agg(F.count(F.lit(1)).alias("lost"))
     apart = F.floor((100 - percent) * (F.col("size") + F.col("partner")) / (100 + percent)).cast("long")
@@ -417,11 +424,6 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc: str
         F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
 
 
-def allocate_is_deletion(band: int, percent: int) -> bool:
-    """Bands for small sets only: the cost of a neighbourhood grows with the size."""
-    return band < 12 and allocate(band, percent)[1]
-
-
 def op9_ngram_jaccard(spark, folder: str) -> DataFrame:
     """Near-duplicate classes of all documents on five-word shingles at a similarity of 0.8."""
     return jaccard_components(spark.read.parquet(f"{folder}/documents.parquet"))
