@@ -1,7 +1,7 @@
 """Token ids in files, compressed block by block with a context-mixing range coder.
 
 A file holds documents in ascending id order: magic and counts, a table of documents (id, number of
-ids), a table of blocks (ids, words, CRC-32 of the ids), the CRC-32 of all that, and the blocks'
+ids), a table of blocks (ids, words, CRC-32 of the ids and the payload), the CRC-32 of all that, and the blocks'
 payloads.  A block is ``BLOCK`` ids with a model and a coder of its own, so it can be read alone.
 
 Model.  Orders 1 and 2 each predict an id: a slot named by the ids before holds the id seen most of
@@ -41,6 +41,7 @@ BLOCK = 2048
 LANES, FILE_IDS = 4096, 8_000_000
 #: Distinct pieces of text whose ids a worker remembers.
 PIECES = 800_000
+RECENT = 1 << 20
 
 MAGIC = b"TOKMIX01"
 #: Places for magnitude classes (60 are used), and what an id adds to the count of its own.
@@ -105,10 +106,11 @@ class _Model:
         goal = hit * np.int32(65535)
         self.trust1[self.state1] = self.chance1 + ((goal - self.chance1) >> 5)
         self.trust2[self.state2] = self.chance2 + ((goal - self.chance2) >> 5)
-        # a weight grows when its order was nearer to what came than the mix
-        error = (goal - self.mixed) >> 8
-        self.weight1 = np.minimum(np.maximum(self.weight1 + ((error * (self.off1 >> 8)) >> 9), 500), 14000)
-        self.weight2 = np.minimum(np.maximum(self.weight2 + ((error * (self.off2 >> 8)) >> 9), 500), 14000)
+        # a weight grows when its order was nearer to what came than the mix; every fourth step will do
+        if self.total // STEP % 4 == 0:
+            error = (goal - self.mixed) >> 8
+            self.weight1 = np.minimum(np.maximum(self.weight1 + ((error * (self.off1 >> 8)) >> 7), 500), 14000)
+            self.weight2 = np.minimum(np.maximum(self.weight2 + ((error * (self.off2 >> 8)) >> 7), 500), 14000)
         self.trust0 += (goal - self.trust0) >> 6
         fresh = (ids << TWO) | ONE
         self.slot1[self.at1] = np.where(self.id1 == ids, self.found1 + (self.sure1 < THREE),
@@ -239,8 +241,10 @@ def pack(docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
         payloads += encode_blocks(rows)
     head = MAGIC + struct.pack("<IQQ", BLOCK, len(docs), len(blocks))
     head += docs.astype("<i8").tobytes() + sizes.astype("<u8").tobytes()
-    head += np.array([(len(b), len(p), _crc(b)) for b, p in zip(blocks, payloads)], "<u4").reshape(-1, 3).tobytes()
-    return head + struct.pack("<I", zlib.crc32(head)) + b"".join(p.astype("<u4").tobytes() for p in payloads)
+    payloads = [p.astype("<u4").tobytes() for p in payloads]
+    checks = [zlib.crc32(p, _crc(b)) for b, p in zip(blocks, payloads)]
+    head += np.array([(len(b), len(p) // 4, c) for b, p, c in zip(blocks, payloads, checks)], "<u4").reshape(-1, 3).tobytes()
+    return head + struct.pack("<I", zlib.crc32(head)) + b"".join(payloads)
 
 
 def unpack(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,9 +268,9 @@ def unpack(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out = []
     for k in range(0, blocks, LANES):
         rows = decode_blocks(payloads[k:k + LANES], int(table[k, 0]))
-        for row, (size, _, crc) in zip(rows, table[k:k + LANES].tolist()):
+        for row, payload, (size, _, crc) in zip(rows, payloads[k:k + LANES], table[k:k + LANES].tolist()):
             out.append(row[:size])
-            if _crc(out[-1]) != crc:
+            if zlib.crc32(payload.tobytes(), _crc(out[-1])) != crc:
                 raise ValueError("a block of a token file is damaged")
     ids = np.concatenate(out) if out else np.zeros(0, np.uint32)
     if len(ids) != sizes.sum():
@@ -321,6 +325,8 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
+        # the piece last seen at each place, which answers most lookups at once
+        self.recent, self.recent_place = np.zeros(RECENT, np.uint64), np.zeros(RECENT, np.int64)
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool, self.filled = np.zeros(4096, np.uint32), 0
 
@@ -392,18 +398,23 @@ class Encoder:
     def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = self._pieces(data, offsets)
         ends = np.append(starts[1:], len(data))
-        hashes, index, inverse = np.unique(ranges_hash(_BYTE[data], starts, ends, "byte"), return_index=True,
-                                           return_inverse=True)
         if len(self.known) > PIECES:
             self.forget()
-        keys = hashes.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.known]
-        if new:
-            raw = data.tobytes()
-            where = index[new]
-            self._learn([keys[k] for k in new], [raw[x:y].decode() for x, y in zip(starts[where].tolist(), ends[where].tolist())])
-        known = self.known
-        place = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[inverse]
+        hashes = ranges_hash(_BYTE[data], starts, ends, "byte")
+        at = (hashes % np.uint64(RECENT)).astype(np.int64)
+        place = self.recent_place.take(at)
+        missed = np.flatnonzero(self.recent.take(at) != hashes)
+        if len(missed):
+            found, index, inverse = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            keys, known = found.tolist(), self.known
+            new = [k for k, h in enumerate(keys) if h not in known]
+            if new:
+                raw, where = data.tobytes(), missed[index[new]]
+                self._learn([keys[k] for k in new],
+                            [raw[x:y].decode() for x, y in zip(starts[where].tolist(), ends[where].tolist())])
+            places = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+            place[missed] = places[inverse]
+            self.recent[at[missed]], self.recent_place[at[missed]] = hashes[missed], place[missed]
         sizes = self.sizes[place]
         total = np.concatenate([[0], np.cumsum(sizes)])
         at = np.repeat(self.starts[place] - total[:-1], sizes) + np.arange(total[-1])
