@@ -102,12 +102,12 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def row_slices(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Consecutive row ranges of at most ``limit`` bytes, or of one row."""
+def row_slices(offsets: np.ndarray, limit: int = CHUNK_BYTES, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Consecutive row ranges of at most ``limit`` bytes, or of one row; of at most ``rows`` rows if given."""
     first = 0
     while first < len(offsets) - 1:
         last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
-        last = max(first + 1, min(last, len(offsets) - 1))
+        last = max(first + 1, min(last, len(offsets) - 1, first + (rows or len(offsets))))
         yield first, last
         first = last
 

@@ -44,6 +44,8 @@ BLOCK_SHINGLES, BLOCK_SETS = 150_000, 1000
 SINGLES = 63
 #: Entries (signature, set) that a task sorts at once.
 SORT_ENTRIES = 4_000_000
+#: Rows that shingle_sets takes at once: 12 bits beside a 52-bit shingle.
+PACKED_ROWS = 1 << 12
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -77,7 +79,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     """The distinct shingles of some rows, ordered by row, and each row's first (one more at the end).
 
     A row with fewer than n words has its whole sequence as one shingle, a row without words none.
+    Takes at most PACKED_ROWS rows.
     """
+    if len(offsets) - 1 > PACKED_ROWS:
+        raise ValueError(f"at most {PACKED_ROWS} rows at once")
     _, _, hashes, first = words(_LOWER[data], offsets)
     size = np.diff(first)
     found = grams(hashes, n)
@@ -186,7 +191,7 @@ def _pack(n: int, percent: int, buckets: int):
             data, offsets = strings(batch.column(1))
             ids = batch.column(0)
             entries = []
-            for a, b in row_slices(offsets):
+            for a, b in row_slices(offsets, rows=PACKED_ROWS):
                 shingles, first = shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], n)
                 keys, nodes, digest, size, capacity, single = _signatures(shingles, first, percent)
                 yield _blank(_PACKED_ARROW, b - a, bucket=as_signed(digest % np.uint64(buckets)), doc=ids.slice(a, b - a),
@@ -277,7 +282,7 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = strings(batch.column("text"))
-            for a, b in row_slices(offsets):
+            for a, b in row_slices(offsets, rows=PACKED_ROWS):
                 shingles, first = shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], n)
                 blobs = [shingles[x:y].tobytes() for x, y in zip(first[:-1], first[1:])]
                 digests = _digests(mix(shingles), first).view(np.int64).tolist()

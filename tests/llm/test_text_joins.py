@@ -66,6 +66,39 @@ def test_jaccard_with_frequent_signatures_and_small_blocks(spark, monkeypatch, g
     assert joined(jaccard_components(frame(spark, docs))) == plain.jaccard(docs)
 
 
+def test_jaccard_of_many_short_rows_in_one_batch(monkeypatch):
+    """More rows in a batch than row numbers fit beside a shingle."""
+    import pyarrow as pa
+
+    r = random.Random(10)
+    texts = [r.choice([None, "", "one two", " ".join(r.choices("abcdefgh", k=r.randint(1, 9)))]) for _ in range(10_000)]
+    docs = list(enumerate(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000), pa.int64()), pa.array(texts, pa.string())], ["doc", "text"])
+    rows = [x for b in ngram_jaccard._pack(5, 80, 8)(iter([batch])) for x in b.to_pylist() if x["doc"] is not None]
+    assert {x["doc"]: x["size"] for x in rows} == {d: n for d, (n, _) in plain.jaccard(docs).items()}
+    # equal sets and only these have equal digests
+    sets = {}
+    for x in rows:
+        w = tuple(plain.words(texts[x["doc"]]))
+        key = frozenset(w[k:k + 5] for k in range(len(w) - 4)) if len(w) >= 5 else w
+        assert sets.setdefault(key, x["digest"]) == x["digest"]
+    assert len(set(sets.values())) == len(sets)
+    sets = pa.RecordBatch.from_arrays(
+        [pa.array([x["digest"] for x in rows]), pa.array([1] * 10_000, pa.int64()), pa.array([1] * 10_000, pa.int32()),
+         pa.array([texts[x["doc"]] for x in rows], pa.string())], ["node", "family", "blocks", "text"])
+    found = [x["node"] for b in ngram_jaccard._sets(5)(iter([sets])) for x in b.to_pylist()]
+    assert found == [x["digest"] for x in rows]
+
+
+def test_jaccard_of_short_rows_equals_plain(spark):
+    r = random.Random(11)
+    texts = [" ".join(r.choices([f"w{k}" for k in range(50)], k=r.randint(4, 12))) for _ in range(300)]
+    texts = [None] * 3000 + [""] * 2000 + texts * 2 + [f"{t} tail" for t in texts] + [None] * 4100
+    docs = list(enumerate(texts))
+    data = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    assert joined(jaccard_components(data)) == plain.jaccard(docs)
+
+
 @pytest.mark.parametrize("percent", [50, 95])
 def test_jaccard_at_other_thresholds(spark, percent):
     docs = corpus(3)
