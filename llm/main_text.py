@@ -4,7 +4,8 @@ Each paragraph earns points for its length and its commas, discounted by the sha
 that stands in links; its parent gets them in full, further ancestors in shrinking parts.  The element
 with the most points, again discounted by link density, holds the article; siblings that look like
 parts of it are kept.  Elements that are never part of an article (menus, forms, scripts,
-adverts, comments and so on) are left out before scoring.
+adverts, comments and so on) are left out before scoring, by tag, attribute or class; the class of a
+wrapper around the article does not count.
 """
 
 from __future__ import annotations
@@ -33,14 +34,18 @@ BOILERPLATE = frozenset(
     "cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup "
     "login search share sharing social comment comments commentlist disqus reply replies respond related recommended "
     "recommendations widget hidden contentinfo complementary dialog form skip tags".split())
+#: In a class such as has-sidebar or modal-open, words that tell the state of a page or a wrapper and not what it holds.
+STATE_BEFORE = frozenset("has no not with without overflow".split())
+STATE_AFTER = frozenset("open opened closed enabled disabled active collapsed expanded".split())
 ARTICLE = frozenset("article main content body post entry story text".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>", re.S)
-_MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?",
-                    re.I)
+#: Attributes as name and value; names inside another attribute's value are part of that value.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
+_MARKS = frozenset("class id role hidden aria-hidden style itemprop".split())
 _WORD = re.compile(r"[a-z]+")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -55,37 +60,61 @@ PARAGRAPH_CHARS = 25
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "dropped", "score", "chars", "links", "prior", "inside")
+    __slots__ = ("tag", "parent", "dropped", "hidden", "wrapper", "score", "chars", "links", "prior", "inside")
 
-    def __init__(self, tag, parent, dropped, prior):
+    def __init__(self, tag, parent, dropped, prior, hidden=False, wrapper=None):
         self.tag, self.parent, self.dropped, self.prior = tag, parent, dropped, prior
+        # hidden: left out whatever its class; wrapper: the place in the page if its class alone leaves it out
+        self.hidden, self.wrapper = hidden, wrapper
         self.score, self.chars, self.links = 0.0, 0, 0
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
 
 
-def _marks(rest: str) -> tuple[bool, float]:
-    """Whether attributes mark boilerplate, and the points they give an element to start with."""
-    boilerplate, prior = False, 0.0
-    for name, a, b, c in _MARKS.findall(rest):
-        name, value = name.lower(), (a or b or c).lower()
+def _kind_words(value: str) -> set[str]:
+    """Words of class names, ids and roles, without those that only tell a state."""
+    kinds = set()
+    for name in value.split():
+        listed = _WORD.findall(name)
+        if len(listed) > 1 and listed[-1] in STATE_AFTER:
+            continue
+        state = next((k for k, word in enumerate(listed) if word in STATE_BEFORE), len(listed))
+        kinds.update(listed[:state])
+    return kinds
+
+
+def _marks(rest: str) -> tuple[bool, bool, bool, float]:
+    """Whether attributes hide an element, whether its class, id or role marks boilerplate, whether they do so
+    beside a word for an article, and the points they give it to start with."""
+    hidden, boilerplate, mixed, prior = False, False, False, 0.0
+    for name, a, b, c in _ATTRIBUTE.findall(rest):
+        name = name.lower()
+        if name not in _MARKS:
+            continue
+        value = (a or b or c).lower()
         if name == "style":
-            boilerplate |= bool(_INVISIBLE.search(value))
+            hidden |= bool(_INVISIBLE.search(value))
         elif name == "hidden":
-            boilerplate = True
+            hidden = True
         elif name == "aria-hidden":
-            boilerplate |= value == "true"
+            hidden |= value == "true"
         else:
-            words = set(_WORD.findall(value))
-            if words & ARTICLE:
+            marked = bool(_kind_words(value) & BOILERPLATE)
+            if set(_WORD.findall(value)) & ARTICLE:
                 prior = 15.0
-            elif words & BOILERPLATE:
-                boilerplate = True
-    return boilerplate, prior
+                mixed |= marked
+            else:
+                boilerplate |= marked
+    return hidden, boilerplate, mixed, prior
 
 
-def _parse(page: str) -> list[tuple[_Node, str, int]]:
-    """Blocks of a page in order: element, text, characters in links."""
+def _parse(page: str, spared: frozenset | None = frozenset()) -> tuple[list[tuple[_Node, str, int]], frozenset]:
+    """Blocks of a page in order (element, text, characters in links), and the places of elements that their
+    class leaves out though they hold the page's main element, or its articles if none stands elsewhere.
+
+    Elements at the places ``spared`` stay whatever their class; None spares all.
+    """
     root = _Node("#root", None, False, 0.0)
+    around_main, around_article, free_article = set(), set(), False
     node, blocks, parts, in_link, linked = root, [], [], 0, 0
     at, end, raw = 0, len(page), None
 
@@ -175,23 +204,49 @@ def _parse(page: str) -> list[tuple[_Node, str, int]]:
             continue
         if rest.endswith("/") and name not in BLOCK and name != "a":
             continue
-        boilerplate, prior = _marks(rest) if rest else (False, 0.0)
-        if name in ("html", "body", "article", "main"):
-            boilerplate = False
-        drop = node.dropped or name in DROPPED or boilerplate or (name == "header" and not node.inside)
+        hides, boilerplate, mixed, prior = _marks(rest) if rest else (False, False, False, 0.0)
+        named = name in ("html", "body", "article", "main")
+        hidden = node.hidden or name in DROPPED or (hides and not named) or (name == "header" and not node.inside)
+        by_class = boilerplate and not named and spared is not None and token.start() not in spared
+        drop = node.dropped or hidden or by_class
+        if not hidden and (name == "main" or (name == "article" and not boilerplate and not mixed)):
+            around, up = set(), node
+            while up is not None:
+                if up.wrapper is not None:
+                    around.add(up.wrapper)
+                up = up.parent
+            if name == "main":
+                around_main |= around
+            elif around:
+                around_article |= around
+            else:
+                free_article = True
         if drop and not node.dropped and name not in BLOCK:
             parts.append(" ")
         if name == "a":
             in_link += 1
-        node = _Node(name, node, drop, prior + (25.0 if name in ("article", "main") else 0.0))
+        node = _Node(name, node, drop, prior + (25.0 if name in ("article", "main") else 0.0), hidden,
+                     token.start() if by_class and not hidden else None)
     close(root)
     flush(root)
-    return blocks
+    return blocks, frozenset(around_main if free_article else around_main | around_article)
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page: its blocks joined by newlines; empty if there is none."""
-    blocks = _parse(page or "")
+    """The article of a page: its blocks joined by newlines; empty if there is none.
+
+    A wrapper whose class marks boilerplate stays if it holds the page's main element or its only articles.
+    Where classes leave no text, the page is scored again without them.
+    """
+    page = page or ""
+    blocks, wrappers = _parse(page)
+    if wrappers:
+        blocks, _ = _parse(page, wrappers)
+    return _best_text(blocks) or _best_text(_parse(page, None)[0])
+
+
+def _best_text(blocks: list[tuple[_Node, str, int]]) -> str:
+    """The blocks of the best element and of the siblings that belong to it."""
     if not blocks:
         return ""
     scored = {}

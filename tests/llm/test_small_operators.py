@@ -214,6 +214,30 @@ def test_odd_pages_do_not_fail(page):
     assert isinstance(main_text(page), str)
 
 
+LONG = "A sentence of the article, with a comma, that is long enough to count as a paragraph of its own."
+
+
+@pytest.mark.parametrize("wrapper", ["layout has-sidebar", "no-sidebar", "modal-open", "widget-area", "overflow-hidden"])
+def test_main_text_inside_a_wrapper(wrapper):
+    for tag in ("article", "main", "div"):
+        page = f"<body><div class='{wrapper}'><{tag}><p>{LONG}</p><p>{LONG}</p></{tag}></div><div class='footer'>foot</div></body>"
+        assert main_text(page).startswith(f"{LONG}\n{LONG}"), (wrapper, tag)
+        assert "foot" not in main_text(page) or tag == "div"
+
+
+def test_main_text_keeps_out_comments_beside_the_article():
+    page = (f"<main><article><p>{LONG}</p></article><div class='comments'><article class='comment-body'><p>{LONG} no</p>"
+            f"</article></div><div class='related'><article><p>{LONG} no</p></article></div></main>")
+    assert main_text(page) == LONG
+    assert main_text(f"<article><p>{LONG}</p><div hidden><p>{LONG} no</p></div></article>") == LONG
+
+
+def test_main_text_reads_attributes_by_name():
+    page = (f"<article><p data-caption='a hidden gem'>{LONG}</p><p>{LONG} <a title=\"The Hidden Valley\">valley</a></p>"
+            f"<p title='x class=sidebar y'>{LONG}</p><p hidden>no</p><p aria-hidden=true>no</p><p class=sidebar>no</p></article>")
+    assert main_text(page) == f"{LONG}\n{LONG} valley\n{LONG}"
+
+
 def test_extract_keeps_rows(spark, folder):
     pages = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, "old"), (2, None, None, "old")],
                                   "page_id long, url string, html string, text string")
