@@ -6,6 +6,9 @@ are joined with those of the documents.  A hit names an item and a diagonal (pos
 document less position in the item); on each diagonal the words are compared one by one, and the
 stretch with the best balance of equal words (1 each) and substituted words (-2 each) is the overlap.
 
+Items shorter than a seed have one exact key over all their words, which is joined with the document's
+windows of that length.
+
 A document is contaminated when an overlap has at least ``least`` equal words, or all but one in ten
 of the words of an item shorter than that.
 """
@@ -26,11 +29,18 @@ BROADCAST_ROWS = 500_000
 
 #: What separates words: white space and ASCII signs.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Letters of scripts written without spaces, each of which is a word: Thai to Myanmar, Khmer, kana and Han.
+UNSPACED = r"\u0E00-\u0E7F\u0E80-\u0EFF\u0F00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u31F0-\u31FF" \
+           r"\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
+#: Signs of these scripts, which separate words.
+UNSPACED_SIGNS = r"\u3000-\u3004\u3008-\u303F\u30FB\uFF00-\uFF0F\uFF1A-\uFF20\uFF3B-\uFF40\uFF5B-\uFF65"
 
 
 def tokens(text: str) -> Column:
-    """Words of a text in lower case; none for a null text."""
-    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS), "")
+    """Words of a text in lower case, and single letters of scripts without spaces; none for a null text."""
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    apart = F.regexp_replace(F.regexp_replace(lower, f"[{UNSPACED_SIGNS}]", " "), f"([{UNSPACED}])", " $1 ")
+    return F.array_remove(F.split(F.when(lower.rlike(f"[{UNSPACED}{UNSPACED_SIGNS}]"), apart).otherwise(lower), SEPARATORS), "")
 
 
 def _seeds(words: str) -> Column:
@@ -42,6 +52,15 @@ def _seeds(words: str) -> Column:
     return F.when(F.size(words) >= SPAN, F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - SPAN), at)))
 
 
+def _windows(words: str, lengths: list[int]) -> Column:
+    """(at, seed): keys of all windows of some lengths shorter than a seed."""
+    def keys(n: int) -> Column:
+        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(
+            i.alias("at"), F.xxhash64(F.lit(-n), *[F.get("h", i + k) for k in range(n)]).alias("seed"))))
+
+    return F.flatten(F.array_compact(F.array(*[keys(n) for n in lengths])))
+
+
 def _hashed(frame: DataFrame, words: str) -> DataFrame:
     return frame.withColumn("h", F.transform(words, lambda w: F.xxhash64(w)))
 
@@ -50,19 +69,30 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
                   item_text: str = "text", least: int = LEAST) -> DataFrame:
     """(doc, item, at, words, matched): overlaps of documents with benchmark items.
 
-    ``at`` is the document word the overlap starts with.  Texts or items that are null or shorter than a seed
-    have no overlap; rows without an id are left out; equal items each count.
+    ``at`` is the document word the overlap starts with.  Texts or items that are null or without words have no
+    overlap; an item of fewer than ten words overlaps where all its words stand, also a single word; rows without
+    an id are left out; equal items each count.
     """
     items = benchmark.select(F.col(item).alias("item"), tokens(item_text).alias("words")).where(
-        F.col("item").isNotNull() & (F.size("words") >= SPAN))
+        F.col("item").isNotNull() & (F.size("words") > 0))
     items = saved(items.withColumn("total", F.size("words")), "decontamination-items")
-    seeds = saved(_hashed(items, "words").select("item", "total", F.posexplode(_seeds("words")).alias("k", "seed")).select(
-        "item", "total", F.floor(F.col("k") / len(MASKS)).cast("int").alias("from"), "seed").distinct(), "decontamination-seeds")
+    lengths = sorted(r["total"] for r in items.where(F.col("total") < SPAN).select("total").distinct().collect())
+    seeds = _hashed(items, "words").select("item", "total", F.posexplode(_seeds("words")).alias("k", "seed")).select(
+        "item", "total", F.floor(F.col("k") / len(MASKS)).cast("int").alias("from"), "seed").distinct()
+    if lengths:
+        whole = F.coalesce(*[F.when(F.col("total") == n, F.get(_windows("words", [n]), F.lit(0))["seed"]) for n in lengths])
+        short = _hashed(items.where(F.col("total") < SPAN), "words").select(
+            "item", "total", F.lit(0).alias("from"), whole.alias("seed"))
+        seeds = seeds.unionByName(short)
+    seeds = saved(seeds, "decontamination-seeds")
     small = seeds.count() <= BROADCAST_ROWS
     known = F.broadcast(seeds) if small else seeds
     named = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc is not null")
-    tested = _hashed(named.select("doc", tokens("text").alias("words")), "words").select(
-        "doc", F.posexplode(_seeds("words")).alias("k", "seed"))
+    hashed = _hashed(named.select("doc", tokens("text").alias("words")), "words")
+    tested = hashed.select("doc", F.posexplode(_seeds("words")).alias("k", "seed"))
+    if lengths:
+        tested = tested.unionByName(hashed.select("doc", F.explode(_windows("words", lengths)).alias("w")).select(
+            "doc", (F.col("w.at") * len(MASKS)).alias("k"), "w.seed"))
     hits = tested.join(known, "seed").select(
         "doc", "item", "total", (F.floor(F.col("k") / len(MASKS)).cast("int") - F.col("from")).alias("diagonal")).distinct()
     found = saved(hits.groupBy("doc").agg(F.collect_list(F.struct("item", "total", "diagonal")).alias("found")),

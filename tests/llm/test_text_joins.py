@@ -191,6 +191,20 @@ def test_decontamination(spark):
     assert got[10] == got[11] == got[9]
 
 
+def test_decontamination_by_short_items_and_unspaced_scripts(spark):
+    han = "中华人民共和国的首都是哪一座城市"
+    items = [(0, "Who wrote Hamlet?"), (1, "What is the capital of the old republic"), (2, "东京在哪里?"), (3, han), (4, "!?"),
+             (5, "Zugzwang"), (6, "one two three four five six seven eight nine")]
+    docs = [(1, "they ask: who wrote hamlet, and why"), (2, "hamlet wrote who"), (3, "what is the capital of the old republic"),
+            (4, "what is the capital of the new republic"), (5, "有人问:东京在哪里。没有人知道"), (6, "东京在这里"),
+            (7, "問題「" + han + "」"), (8, "a zugzwang"), (9, "zugzwangs"), (10, "one two three four five six seven eight nine"),
+            (11, None), (12, "who wrote hamlet who wrote hamlet"), (13, han[:8])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {x["doc_id"]: (x["overlaps"], x["item"], x["matched"]) for x in contamination(frame(spark, docs), benchmark).collect()}
+    assert {d: x for d, x in got.items() if x[0]} == {
+        1: (1, 0, 3), 3: (1, 1, 8), 5: (1, 2, 5), 7: (1, 3, 16), 8: (1, 5, 1), 10: (1, 6, 9), 12: (2, 0, 3)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], TYPE)
     benchmark = spark.createDataFrame([], "item_id long, text string")
