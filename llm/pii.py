@@ -2,11 +2,12 @@
 
 Base spans are found by pattern: e-mail addresses, IP addresses, payment cards and phone numbers.
 Each distinct value is a protected entity.  The corpus then tells which words disclose an entity:
-with p(t) the share of documents that hold word t and p(t|e) its share of the distinct contexts of
-entity e, the pointwise mutual information log(p(t|e) / p(t)) is compared with the entity's own
-information log(N / n(e)), which is the most that any word can give.  A word in a context of the
-entity with a ratio of at least ``remove`` is removed, from ``generalise`` on it is generalised.
-Copies of a context count once, and words seen in fewer than ``support`` contexts of an entity tell nothing.
+with p(t) the share of documents that hold word t and p(t|e) its share of the distinct documents that
+hold entity e, the pointwise mutual information log(p(t|e) / p(t)) is compared with the entity's own
+information log(N / n(e)), which is the most that any word can give.  A word with a ratio of at least
+``remove`` for some entity is removed wherever it stands in any document, from ``generalise`` on it is
+generalised.  Documents of equal words count once, and words seen in fewer than ``support`` documents of
+an entity tell nothing.
 
 Offsets are code points, ends exclusive.  A null text is empty.
 """
@@ -25,9 +26,7 @@ from pyspark.sql import functions as F
 from llm.common import as_signed, row_slices, saved, strings, words
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters on each side of an entity that are its context.
-CONTEXT = 100
-#: Distinct contexts of an entity that a word must be seen in, and shares of the entity's information.
+#: Distinct documents of an entity that a word must be seen in, and shares of the entity's information.
 SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.9
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,7 +37,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){12,}")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = frozenset("0123456789")
 
-#: Letters in lower case and bytes beyond ASCII make the words of contexts; all else separates.
+#: Letters in lower case and bytes beyond ASCII make words; all else separates.
 _LETTERS = np.full(256, 32, np.uint8)
 for _low, _high in ((65, 91), (97, 123), (128, 256)):
     _LETTERS[_low:_high] = np.arange(_low, _high)
@@ -103,27 +102,28 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _terms(text: str) -> list[tuple[int, int, int]]:
-    """(hash, start, end) of the words of a piece of text; a word cut by its ends is left out by the caller."""
+def _terms(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of a text that touch no base span."""
     data = np.frombuffer(text.encode(), np.uint8)
     start, end, hashes, _ = words(_LETTERS[data], np.array([0, len(data)]))
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     keep = end - start >= LEAST_BYTES
-    return list(zip(hashes[keep].view(np.int64).tolist(), points[start[keep]].tolist(), points[end[keep]].tolist()))
+    # a code point ends with its last byte
+    hashes, start, end = hashes[keep], points[start[keep]], points[end[keep]]
+    covered = np.zeros(len(text) + 1, np.int64)
+    for _, x, y in spans:
+        covered[x + 1:y + 1] = 1
+    covered = np.cumsum(covered)
+    free = covered[start] == covered[end]
+    return hashes[free], start[free], end[free]
 
 
-def _context(text: str, a: int, b: int) -> list[tuple[int, int, int]]:
-    low, high = max(0, a - CONTEXT), min(len(text), b + CONTEXT)
-    before = [(h, s + low, e + low) for h, s, e in _terms(text[low:a]) if low == 0 or s > 0]
-    after = [(h, s + b, e + b) for h, s, e in _terms(text[b:high]) if high == len(text) or e + b < high]
-    return before + after
-
-
-_SCAN = pa.schema([("kind", pa.string()), ("doc", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS),
-                   ("spans", pa.string()), ("sha", pa.string()), ("entity", pa.int64()), ("term", pa.int64()),
-                   ("context", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("count", pa.int64())])
-_SCAN_TYPE = ("kind string, doc long, n_email long, n_ip long, n_card long, n_phone long, spans string, sha string, "
-              "entity long, term long, context long, start long, stop long, count long")
+_SCAN = pa.schema([("kind", pa.string()), ("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()),
+                   ("count", pa.int64()), ("terms", pa.list_(pa.int64()))])
+_SCAN_TYPE = "kind string, entity long, term long, context long, count long, terms array<long>"
+_FOUND = pa.schema([("doc", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()),
+                    ("base_sha256", pa.string()), ("spans", pa.string())])
+_FOUND_TYPE = "doc long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, spans string"
 
 
 def _rows(columns: dict[str, list | pa.Array]) -> pa.RecordBatch:
@@ -154,30 +154,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = strings(batch.column(1))
         for a, b in row_slices(offsets):
-            ids = batch.column(0).slice(a, b - a).to_pylist()
-            documents = {c: [] for c in ("kind", "doc", *(f"n_{k}" for k in KINDS), "spans", "sha")}
-            near = {c: [] for c in ("kind", "doc", "entity", "term", "context", "start", "stop")}
-            for doc, text in zip(ids, batch.column(1).slice(a, b - a).to_pylist()):
-                text = text or ""
-                spans = base_spans(text)
-                joined = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
-                kinds = [k for k, _, _ in spans]
-                for column, value in zip(documents.values(), ("document", doc, *(kinds.count(k) for k in KINDS), joined,
-                                                              hashlib.sha256(joined.encode()).hexdigest())):
-                    column.append(value)
-                covered = sorted((s, e) for _, s, e in spans)
-                for kind, s, e in spans:
-                    value = text[s:e].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", text[s:e])
-                    terms = [t for t in _context(text, s, e) if not any(x < t[2] and t[1] < y for x, y in covered
-                                                                       if x < e + CONTEXT and y > s - CONTEXT)]
-                    context = _hash(" ".join(str(t[0]) for t in terms))
-                    entity = _hash(f"{kind}:{value}")
-                    for term, x, y in terms:
-                        for column, item in zip(near.values(), ("near", doc, entity, term, context, x, y)):
-                            column.append(item)
-            yield _rows(documents)
-            if near["doc"]:
-                yield _rows(near)
+            yield _rows({"kind": ["rows"], "count": [b - a]})
+            holds, texts = {"entity": [], "context": []}, {"context": [], "terms": []}
+            for text in batch.column(1).slice(a, b - a).to_pylist():
+                spans = base_spans(text or "")
+                if not spans:
+                    continue
+                terms = _terms(text, spans)[0]
+                context = int.from_bytes(hashlib.blake2b(terms.tobytes(), digest_size=8).digest(), "little", signed=True)
+                texts["context"].append(context)
+                texts["terms"].append(np.unique(terms).view(np.int64))
+                entities = {_hash(f"{kind}:" + (text[s:e].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", text[s:e])))
+                            for kind, s, e in spans}
+                holds["entity"] += entities
+                holds["context"] += [context] * len(entities)
+            if texts["context"]:
+                yield _rows({"kind": ["holds"] * len(holds["entity"]), **holds})
+                yield _rows({"kind": ["text"] * len(texts["context"]), **texts})
             part = _LETTERS[data[offsets[a]:offsets[b]]]
             start, end, hashes, first = words(part, offsets[a:b + 1] - offsets[a])
             # a word counts once in a document
@@ -196,35 +189,74 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from told(counts())
 
 
+def _find(terms: np.ndarray, removed: np.ndarray):
+    """Rows of results; ``terms`` are hashes of the disclosing words in order, ``removed`` tells which are removed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = strings(batch.column(1))
+            for a, b in row_slices(offsets):
+                _, _, hashes, first = words(_LETTERS[data[offsets[a]:offsets[b]]], offsets[a:b + 1] - offsets[a])
+                hits = np.concatenate([[0], np.cumsum(_places(terms, hashes) >= 0)])
+                touched = hits[first[1:]] > hits[first[:-1]]
+                out = {f.name: [] for f in _FOUND}
+                rows = zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), touched)
+                for doc, text, some in rows:
+                    text = text or ""
+                    spans = base_spans(text)
+                    base = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+                    kinds, added = [k for k, _, _ in spans], []
+                    if some:
+                        found, start, end = _terms(text, spans)
+                        at = _places(terms, found)
+                        added = sorted(("term_remove" if removed[k] else "term_generalise", x, y) for k, x, y in
+                                       zip(at[at >= 0].tolist(), start[at >= 0].tolist(), end[at >= 0].tolist()))
+                    told = ",".join(f"{k}:{x}:{y}" for k, x, y in added)
+                    for column, value in zip(out.values(), (
+                            doc, *(kinds.count(k) for k in KINDS), base, hashlib.sha256(base.encode()).hexdigest(),
+                            ",".join(x for x in (base, told) if x))):
+                        column.append(value)
+                yield pa.RecordBatch.from_pydict(out, schema=_FOUND)
+
+    return run
+
+
+def _places(terms: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The place of each hash in ascending ``terms``, or -1."""
+    if not len(terms):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
+    return np.where(terms[at] == hashes, at, -1)
+
+
 def find_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", support: int = SUPPORT,
                generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(doc, n_email, n_ip, n_card, n_phone, base, base_sha256, spans) of each document.
 
     base and spans list kind:start:end, joined by commas, by kind and start; spans has the base spans
-    first and then those of disclosing words, of kinds term_generalise and term_remove.  Equal rows
-    give equal results; other columns are ignored.
+    first and then all occurrences of disclosing words, of kinds term_generalise and term_remove, also in
+    documents without the entity.  Equal rows give equal results; other columns are ignored.
     """
-    scanned = saved(docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(
-        _scan, _SCAN_TYPE), "pii-scan")
-    documents = scanned.where("kind = 'document'").select("doc", *(f"n_{k}" for k in KINDS), "spans", "sha")
-    near = scanned.where("kind = 'near'").select("doc", "entity", "term", "context", "start", "stop")
-    total = documents.count()
-    together = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(
+    docs = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
+    scanned = saved(docs.mapInArrow(_scan, _SCAN_TYPE), "pii-scan")
+    total = scanned.where("kind = 'rows'").agg(F.sum("count")).first()[0] or 0
+    holds = scanned.where("kind = 'holds'").select("entity", "context").distinct()
+    contexts = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("contexts")).where(
+        (F.col("contexts") >= support) & (F.col("contexts") < total))
+    texts = scanned.where("kind = 'text'").groupBy("context").agg(F.first("terms").alias("terms"))
+    together = holds.join(contexts.select("entity"), "entity").join(texts, "context").select(
+        "entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(
         F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    contexts = near.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("contexts"))
     spread = scanned.where("kind = 'count'").groupBy("term").agg(F.sum("count").alias("documents"))
     ratio = (F.log(F.col("both") / F.col("contexts")) - F.log(F.col("documents") / F.lit(float(max(total, 1))))) / F.log(
         F.lit(float(max(total, 1))) / F.col("contexts"))
-    strong = together.join(contexts, "entity").join(spread, "term").where(F.col("contexts") < total).withColumn(
-        "ratio", ratio).where(F.col("ratio") >= generalise).select(
-        "entity", "term", F.when(F.col("ratio") >= remove, "term_remove").otherwise("term_generalise").alias("action"))
-    # The stronger action holds where a word is near several entities.
-    added = near.join(strong, ["entity", "term"]).groupBy("doc", "start", "stop").agg(F.max("action").alias("action"))
-    added = added.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("action", "start", "stop"))).alias("added"))
-    told = F.array_join(F.transform("added", lambda s: F.concat_ws(":", s["action"], s["start"], s["stop"])), ",")
-    return documents.join(added, "doc", "left").withColumn("told", told).select(
-        "doc", *(f"n_{k}" for k in KINDS), F.col("spans").alias("base"), F.col("sha").alias("base_sha256"),
-        F.concat_ws(",", F.nullif("spans", F.lit("")), "told").alias("spans"))
+    # The stronger action holds where a word discloses several entities.
+    strong = together.join(contexts, "entity").join(spread, "term").withColumn("ratio", ratio).where(
+        F.col("ratio") >= generalise).groupBy("term").agg((F.max("ratio") >= remove).alias("removed")).toArrow()
+    terms = strong["term"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(terms)
+    removed = np.array(strong["removed"].to_pylist(), bool)
+    return docs.mapInArrow(_find(terms[order], removed[order]), _FOUND_TYPE)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

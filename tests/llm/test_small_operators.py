@@ -155,6 +155,20 @@ def test_disclosing_words_and_sanitised_text(spark):
     assert pii.find_spans(docs.limit(0)).count() == 0
 
 
+def test_disclosing_words_are_found_wherever_they_stand(spark):
+    """Far from the entity, and in documents without it."""
+    r = random.Random(4)
+    say = lambda n: " ".join(r.choice(["the", "and", "with", "some", "more", "text"]) for _ in range(n))
+    texts = [f"é {say(6)} Zorblax {say(60)} jo@ex.org {say(50)} zorblax {say(k + 3)}" for k in range(6)]
+    texts += [say(30) for _ in range(60)] + [f"{say(9)} ZORBLAX {say(3)}", f"{say(9)} zorblax@ex.com {say(3)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in pii.find_spans(docs).collect():
+        text, spans = texts[row["doc"]], [x.split(":") for x in row["spans"].split(",") if x]
+        want = [m.span() for m in re.finditer("zorblax(?!@)", text, re.I)]
+        assert [(int(a), int(b)) for k, a, b in spans if k.startswith("term_")] == want
+    assert all("zorblax" not in x["text"].lower() for x in pii.sanitise(docs).collect())
+
+
 # -- embeddings --------------------------------------------------------------
 
 def plain_links(vectors, threshold=0.9):
