@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from llm import source_mixing
+from llm.bpe_chunks import op11_bpe_chunks
 from llm.decontamination import op2_decontamination
 from llm.embedding_neardup import op6_embedding_neardup
 from llm.main_text import op7_html_extraction
@@ -16,6 +17,7 @@ from llm.warc import op4_warc
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_decontamination, op3_source_mixing, op4_warc, op5_pii, op6_embedding_neardup,
-    op7_html_extraction, op8_toxicity, op9_ngram_jaccard, op10_token_files)}
+    op7_html_extraction, op8_toxicity, op9_ngram_jaccard, op10_token_files,
+    op11_bpe_chunks)}
 
 ORACLES = {"op3_source_mixing": source_mixing.oracle()}
