@@ -19,7 +19,7 @@ import hashlib
 import json
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,17 +28,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import mix, row_slices, strings, _BYTE
-from llm.token_files import TOKENIZER, _tokenizer
+from llm.common import lean, mix, row_slices, strings, _BYTE
+from llm.token_files import TOKENIZER, _encoder
 
 #: Bytes under the rolling hash; it is a power of two.
 WINDOW = 32
 #: A place is a cut with a chance of one in 2**CUT_BITS; chunks have at least and at most so many bytes.
 #: With LEAST no smaller than WINDOW the bytes before a text don't matter to its cuts.
-CUT_BITS, LEAST, MOST = 9, 128, 8192
+CUT_BITS, LEAST, MOST = 10, 256, 8192
 #: Bytes of text hashed at once, packed at once, and remembered with their ids.
 SCAN, PACK, REMEMBER = 1 << 19, 32 << 20, 64 << 20
-LEVEL = 3
+#: Compression level of packed rows.
+LEVEL = 6
 
 _GEAR = (_BYTE >> np.uint64(32)).astype(np.uint32)
 _FACTOR = 0x9E3779B1
@@ -124,8 +125,9 @@ class _Packer:
             used, local = np.unique(which[a:b], return_inverse=True)
             contents = [self.contents[k] for k in used]
             sizes = np.array([len(c) for c in contents], np.uint32)
-            plain = b"".join([np.array([b - a, len(used)], np.uint32).tobytes(), docs[a:b].tobytes(), tags[a:b].tobytes(),
-                              places[a:b].tobytes(), local.astype(np.uint32).tobytes(), sizes.tobytes(), *contents])
+            plain = b"".join([np.array([b - a, len(used)], np.uint32).tobytes(), np.diff(docs[a:b], prepend=0).tobytes(),
+                              tags[a:b].tobytes(), places[a:b].tobytes(),
+                              np.diff(local.astype(np.uint32), prepend=np.uint32(0)).tobytes(), sizes.tobytes(), *contents])
             blobs.append(len(plain).to_bytes(8, "little") + _codec().compress(plain, asbytes=True))
             names.append(bucket[a])
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "packed"])
@@ -139,8 +141,9 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     for kind, size in ((np.int64, rows), (np.uint32, rows), (np.uint32, rows), (np.uint32, rows), (np.uint32, count)):
         columns.append(np.frombuffer(plain, kind, size, at))
         at += columns[-1].nbytes
-    ends = (at + np.cumsum(columns[4], dtype=np.int64)).tolist()
-    return *columns[:4], [plain[a:b] for a, b in zip([at, *ends], ends)]
+    docs, tags, places, which, sizes = columns
+    ends = (at + np.cumsum(sizes, dtype=np.int64)).tolist()
+    return np.cumsum(docs), tags, places, np.cumsum(which, dtype=np.uint32), [plain[a:b] for a, b in zip([at, *ends], ends)]
 
 
 def _cut(buckets: int):
@@ -172,7 +175,7 @@ def _cut(buckets: int):
                         yield from flush()
         yield from flush()
 
-    return run
+    return lean(run)
 
 
 # -- encoding ----------------------------------------------------------------
@@ -210,9 +213,9 @@ def bytes_of(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encode_texts(texts: list[bytes], path: str) -> list[np.ndarray]:
-    tokenizer = _tokenizer(path)
-    return [np.array(e.ids, np.uint32) for k in range(0, len(texts), 1000)
-            for e in tokenizer.encode_batch_fast([t.decode() for t in texts[k:k + 1000]], add_special_tokens=False)]
+    """The tokenizer's ids of each text; the words of a worker's texts are looked up once."""
+    return [ids for k in range(0, len(texts), 4000) for *_, rows in _encoder(path)(pa.array(texts[k:k + 4000], pa.binary()))
+            for ids in rows]
 
 
 def _id_type(path: str) -> type:
@@ -250,7 +253,7 @@ def _encode(path: str, buckets: int):
                     yield from flush()
         yield from flush()
 
-    return run
+    return lean(run)
 
 
 # -- repair ------------------------------------------------------------------
@@ -273,6 +276,11 @@ def cell_starts(data: np.ndarray) -> np.ndarray:
     return at[ascii_ | double | triple]
 
 
+def _once(values: np.ndarray) -> np.ndarray:
+    """Ascending values without repeats."""
+    return values[np.concatenate([values[:1] == values[:1], values[1:] != values[:-1]])]
+
+
 def repair(ids: np.ndarray, joins: np.ndarray, walls: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts from the ids of their chunks, one after the other.
 
@@ -285,11 +293,10 @@ def repair(ids: np.ndarray, joins: np.ndarray, walls: np.ndarray, path: str) ->
     data, begin = bytes_of(ids, path)
     free = cell_starts(data)
     edge = np.searchsorted(begin, free)
-    edges = np.union1d(edge[begin[edge] == free], walls)  # first ids of cells, and the end
+    edges = _once(np.sort(np.concatenate([edge[begin[edge] == free], walls]), kind="stable"))  # first ids of cells, and the end
     wall = np.searchsorted(edges, walls)
-    # a join that is the start of a cell is no join
-    joins = joins[~np.isin(joins, edges)]
-    cells = np.unique(np.searchsorted(edges, joins, "right") - 1)
+    cells = np.searchsorted(edges, joins, "right") - 1
+    cells = _once(cells[edges[cells] != joins])  # a join that is the start of a cell needs nothing
     if not len(cells):
         return ids, walls
     home = np.searchsorted(wall, cells, "right") - 1
@@ -333,7 +340,7 @@ def repair(ids: np.ndarray, joins: np.ndarray, walls: np.ndarray, path: str) ->
 
 
 def _assemble(path: str):
-    """The ids of documents from packed rows in the order of their buckets; a bucket is held at a time."""
+    """The ids of documents from the packed rows of a partition, which are held with their ids, but not the texts."""
     schema = pa.schema([("doc", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def documents(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -366,18 +373,11 @@ def _assemble(path: str):
             yield _batch(docs[heads[a:b]][rows], ids, walls, rows, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if bucket != current and held:
-                    yield from documents(held)
-                    held = []
-                current = bucket
-                held.append(blob)
+        held = [blob for batch in batches for blob in batch.column(1).to_pylist()]
         if held:
             yield from documents(held)
 
-    return run
+    return lean(run)
 
 
 def _batch(docs: np.ndarray, ids: np.ndarray, walls: np.ndarray, rows: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
@@ -397,14 +397,17 @@ def encode_texts(docs: DataFrame, path: str | None = None, doc: str = "doc_id",
     rows give equal rows, different texts under one id a row each.  Rows without an id are left out,
     other columns are ignored.
     """
-    path = path or public_tokenizers.path(TOKENIZER)
+    return _encoded(docs, path or public_tokenizers.path(TOKENIZER), doc, text, _assemble, "doc long, ids array<int>").toDF(doc, ids)
+
+
+def _encoded(docs: DataFrame, path: str, doc: str, text: str, last: Callable, schema: str) -> DataFrame:
+    """``last`` makes the function of the tasks that put documents together."""
     vocabulary(path)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
     chunks = rows.mapInArrow(_cut(partitions), _PACKED).hint("rebalance", "bucket")
-    encoded = chunks.mapInArrow(_encode(path, 4 * partitions), _PACKED)
-    placed = encoded.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return placed.mapInArrow(_assemble(path), "doc long, ids array<int>").toDF(doc, ids)
+    encoded = chunks.mapInArrow(_encode(path, partitions), _PACKED).repartitionById(partitions, "bucket")
+    return encoded.mapInArrow(last(path), schema)
 
 
 def decode_bytes(ids: np.ndarray, path: str) -> bytes:
@@ -434,12 +437,15 @@ def decode_texts(frame: DataFrame, path: str | None = None, ids: str = "ids", te
             texts = [None if x is None else decode_bytes(x, path).decode() for x in _lists(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
 
-    return frame.mapInArrow(run, ", ".join([f"`{c}` {kind}" for c, kind in frame.dtypes] + [f"`{text}` string"]))
+    return frame.mapInArrow(lean(run), ", ".join([f"`{c}` {kind}" for c, kind in frame.dtypes] + [f"`{text}` string"]))
 
 
 def _digest(path: str):
+    """Checksums of the ids and of the text decoded from them, in the task that has put the ids together."""
+    assemble = _assemble(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in assemble(batches):
             rows = [(len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest(),
                      hashlib.sha256(decode_bytes(x, path)).hexdigest()) for x in _lists(batch.column(1))]
             sizes, ids, texts = zip(*rows) if rows else ([], [], [])
@@ -452,6 +458,5 @@ def _digest(path: str):
 
 def op11_bpe_chunks(spark, folder: str) -> DataFrame:
     """Number and checksum of the ids of all documents, and the checksum of the text decoded from them."""
-    found = encode_texts(spark.read.parquet(f"{folder}/documents.parquet"))
-    return found.mapInArrow(_digest(public_tokenizers.path(TOKENIZER)),
-                            "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(spark.read.parquet(f"{folder}/documents.parquet"), public_tokenizers.path(TOKENIZER), "doc_id", "text",
+                    _digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
