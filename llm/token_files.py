@@ -8,9 +8,9 @@ Model.  Orders 1 and 2 each predict an id: a slot named by the ids before holds
 late and how sure it is.  The prediction of the highest order that is sure is the candidate.  Each
 order gives its probability by its sureness and whether the other agrees, order 0 by how often
 candidates are right at all; these are learned in the block and mixed by weights that follow the
-better ones.  One binary decision codes whether the candidate is right.  If not, the id is coded by
-its magnitude class under adaptive order-0 counts and by its place in the class.  All arithmetic is
-on integers, so every machine decodes the same.
+better ones.  The candidate has the part of the range that the mix gives it; the rest is shared out to
+magnitude classes by adaptive order-0 counts, and evenly within a class.  All arithmetic is on integers,
+so every machine decodes the same.
 
 Blocks are coded side by side: one step handles the next id of every block at once.
 """
@@ -32,32 +32,35 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm.common import fresh_folder, ranges_hash, row_slices, saved, strings, _BYTE
+from llm.common import fresh_folder, lean, ranges_hash, row_slices, saved, strings, _BYTE
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 BLOCK = 2048
 #: Blocks coded side by side, and ids in a file, at most.
 LANES, FILE_IDS = 4096, 8_000_000
-#: Distinct pieces of text whose ids a worker remembers.
-PIECES = 800_000
+#: Distinct pieces of text whose ids a worker remembers, some 40 bytes each.
+PIECES = 1_500_000
 RECENT = 1 << 20
 
-MAGIC = b"TOKMIX01"
-#: Places for magnitude classes (60 are used), and what an id adds to the count of its own.
-CLASSES, STEP = 64, 24
-SLOTS, SLOT_SHIFT = 2048, np.uint32(21)
-U32 = np.uint64(32)
+MAGIC = b"TOKMIX02"
+#: Places for magnitude classes (31 are used), and what an id adds to the count of its own.
+CLASSES, STEP = 32, 48
+SLOTS, SLOT_SHIFT = 1024, np.uint32(22)
+#: A range below FLOOR gives away its top 16 bits.
+FLOOR, U12, U16, U48, U56 = (np.uint64(k) for k in (1 << 48, 12, 16, 48, 56))
+#: A product with it has the sum of a number's bytes on top.
+EACH = np.uint64(0x0101010101010101)
 ONE, TWO, THREE, FOUR = (np.uint32(k) for k in (1, 2, 3, 4))
 
 
 def _class_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class of each id below 2**16, and first id and bits of each class."""
-    x = np.arange(1 << 16) + 4
+    x = np.arange(1 << 16) + 2
     power = np.frexp(x.astype(float))[1] - 1
-    classes = (power - 2) * 4 + ((x >> (power - 2)) & 3)
-    bits = np.arange(CLASSES) // 4
-    return classes.astype(np.int64), (((4 + np.arange(CLASSES) % 4) << bits) - 4).astype(np.uint64), bits.astype(np.uint64)
+    classes = (power - 1) * 2 + ((x >> (power - 1)) & 1)
+    bits = np.arange(CLASSES) // 2
+    return classes.astype(np.int64), (((2 + np.arange(CLASSES) % 2) << bits) - 2).astype(np.uint64), bits.astype(np.uint64)
 
 
 CLASS_OF, CLASS_BASE, CLASS_BITS = _class_tables()
@@ -66,6 +69,16 @@ MOST_ID = len(CLASS_OF) - 1
 RAISES = (np.arange(CLASSES) > np.arange(CLASSES)[:, None]).astype(np.uint16) * np.uint16(STEP)
 
 
+def _turned(rows: np.ndarray) -> np.ndarray:
+    """The transpose, some columns at a time; rows are a little apart, else all of them would share few places of the cache."""
+    wide = np.empty((len(rows), rows.shape[1] + 24), rows.dtype)[:, :rows.shape[1]]
+    wide[:] = rows
+    out = np.empty((rows.shape[1], len(rows) + 24), rows.dtype)[:, :len(rows)]
+    for k in range(0, rows.shape[1], 32):
+        out[k:k + 32] = wide[:, k:k + 32].T
+    return out
+
+
 class _Model:
     """The models of several blocks, one step at a time.
 
@@ -83,7 +96,7 @@ class _Model:
         self.weight1, self.weight2 = np.full(lanes, 5000, np.int32), np.full(lanes, 8000, np.int32)
         self.counts = np.tile(np.arange(CLASSES, dtype=np.uint16), (lanes, 1))
         self.flat = self.counts.reshape(-1)
-        self.total = CLASSES - 1
+        self.total, self.turn = CLASSES - 1, 0
         self.before = self.two = np.zeros(lanes, np.uint32)
 
     def predict(self) -> np.ndarray:
@@ -93,7 +106,8 @@ class _Model:
         self.found1, self.found2 = self.slot1.take(self.at1), self.slot2.take(self.at2)
         self.sure1, self.sure2 = self.found1 & THREE, self.found2 & THREE
         self.id1, self.id2 = self.found1 >> TWO, self.found2 >> TWO
-        self.candidate = np.where(self.sure2 > 0, self.id2, self.id1)
+        self.some2 = self.sure2 > 0
+        self.candidate = np.where(self.some2, self.id2, self.id1)
         agree = (self.id1 == self.id2) * FOUR
         self.state1, self.state2 = self.eight + (self.sure1 + agree), self.eight + (self.sure2 + agree)
         self.chance1, self.chance2 = self.trust1.take(self.state1), self.trust2.take(self.state2)
@@ -102,23 +116,25 @@ class _Model:
         return np.minimum(np.maximum(self.mixed >> 4, 24), 4072).astype(np.uint64)
 
     def update(self, ids: np.ndarray, hit: np.ndarray, classes: np.ndarray) -> None:
-        """Learn the ids that came."""
-        goal = hit * np.int32(65535)
-        self.trust1[self.state1] = self.chance1 + ((goal - self.chance1) >> 5)
-        self.trust2[self.state2] = self.chance2 + ((goal - self.chance2) >> 5)
-        # a weight grows when its order was nearer to what came than the mix; every fourth step will do
-        if self.total // STEP % 4 == 0:
-            error = (goal - self.mixed) >> 8
-            self.weight1 = np.minimum(np.maximum(self.weight1 + ((error * (self.off1 >> 8)) >> 7), 500), 14000)
-            self.weight2 = np.minimum(np.maximum(self.weight2 + ((error * (self.off2 >> 8)) >> 7), 500), 14000)
+        """Learn the ids that came; counts, and trust and weights, take their turns, which costs little size and saves time."""
+        goal, self.turn = hit * np.int32(65535), self.turn + 1
+        if self.turn & 1:
+            self.counts += RAISES.take(classes, 0)
+            self.total += STEP
+        else:
+            self.trust1[self.state1] = self.chance1 + ((goal - self.chance1) >> 4)
+            self.trust2[self.state2] = self.chance2 + ((goal - self.chance2) >> 4)
+            # a weight grows when its order was nearer to what came than the mix
+            if self.turn & 2:
+                error = (goal - self.mixed) >> 8
+                self.weight1 = np.minimum(np.maximum(self.weight1 + ((error * (self.off1 >> 8)) >> 7), 500), 14000)
+                self.weight2 = np.minimum(np.maximum(self.weight2 + ((error * (self.off2 >> 8)) >> 7), 500), 14000)
         self.trust0 += (goal - self.trust0) >> 6
         fresh = (ids << TWO) | ONE
         self.slot1[self.at1] = np.where(self.id1 == ids, self.found1 + (self.sure1 < THREE),
                                         np.where(self.sure1 > 0, self.found1 - ONE, fresh))
         self.slot2[self.at2] = np.where(self.id2 == ids, self.found2 + (self.sure2 < THREE),
-                                        np.where(self.sure2 > 0, self.found2 - ONE, fresh))
-        self.counts += RAISES.take(classes, 0)
-        self.total += STEP
+                                        np.where(self.some2, self.found2 - ONE, fresh))
         self.two, self.before = self.before, ids
 
 
@@ -127,102 +143,86 @@ def encode_blocks(ids: np.ndarray) -> list[np.ndarray]:
     lanes, length = ids.shape
     if int(ids.max(initial=0)) > MOST_ID:
         raise ValueError(f"ids above {MOST_ID} can't be coded")
-    ids = np.ascontiguousarray(ids.T.astype(np.uint32))
-    model = _Model(lanes)
+    ids = _turned(ids.astype(np.uint32, copy=False))
+    model, every = _Model(lanes), np.arange(lanes)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    out, used = np.zeros((lanes, length + 8), np.uint32), np.zeros(lanes, np.int64)
-    floor = np.uint64(1 << 32)
-
-    def carry(before, after):
-        over = np.flatnonzero(after < before)
-        place = used[over] - 1
-        while len(over):
-            out[over, place] += np.uint32(1)
-            more = out[over, place] == 0
-            over, place = over[more], place[more] - 1
-
-    def shift():
-        small = np.flatnonzero(width < floor)
-        if len(small):
-            out[small, used[small]] = low[small] >> U32
-            used[small] += 1
-            low[small] <<= U32
-            width[small] <<= U32
+    out, used = np.zeros((2 * length + 8, lanes), np.uint16), np.zeros(lanes, np.int64)
 
     for step in range(length):
         now = ids[step]
-        chance = model.predict()
+        # the candidate has the lower part of the range, the classes share the rest
+        right = (width >> U12) * model.predict()
         hit = now == model.candidate
         classes = CLASS_OF.take(now)
-        part = width >> np.uint64(12)
-        right = part * chance
-        moved = np.where(hit, low, low + right)
-        carry(low, moved)
-        low, width = moved, np.where(hit, right, part * (np.uint64(4096) - chance))
-        shift()
         place = model.wide + classes
-        begin = model.flat.take(place).astype(np.uint64)
-        share = model.flat.take(place + 1).astype(np.uint64) - begin
-        part = width // np.uint64(model.total)
-        inner = part * share >> CLASS_BITS.take(classes)
-        moved = np.where(hit, low, low + part * begin + inner * (now - CLASS_BASE.take(classes)))
-        carry(low, moved)
-        low, width = moved, np.where(hit, width, inner)
-        shift()
+        begin = model.flat.take(place)
+        share = model.flat.take(place + 1) - begin
+        unit = (width - right) // np.uint64(model.total)
+        inner = unit * share >> CLASS_BITS.take(classes)
+        moved = low + np.where(hit, np.uint64(0), right + unit * begin + inner * (now - CLASS_BASE.take(classes)))
+        over = np.flatnonzero(moved < low)
+        at = used[over] - 1
+        while len(over):  # a carry
+            out[at, over] += np.uint16(1)
+            more = out[at, over] == 0
+            over, at = over[more], at[more] - 1
+        low, width = moved, np.where(hit, right, inner)
+        small = np.flatnonzero(width < FLOOR)
+        while len(small):
+            out[used[small], small] = low[small] >> U48
+            used[small] += 1
+            low[small] <<= U16
+            width[small] <<= U16
+            small = small[width[small] < FLOOR]
         model.update(now, hit, classes)
-    for _ in range(2):
-        out[np.arange(lanes), used] = low >> U32
+    for _ in range(4):
+        out[used, every] = low >> U48
         used += 1
-        low <<= U32
-    return [row[:n].copy() for row, n in zip(out, used)]
+        low <<= U16
+    return [row[:n].copy() for row, n in zip(_turned(out[:used.max(initial=0)]), used)]
 
 
 def decode_blocks(payloads: list[np.ndarray], length: int) -> np.ndarray:
     """Rows of ``length`` ids each."""
     lanes = len(payloads)
-    words = np.zeros((lanes, max(map(len, payloads)) + 2), np.uint64)
+    words = np.zeros((lanes, max(map(len, payloads)) + 5), np.uint16)
     for row, payload in zip(words, payloads):
         row[:len(payload)] = payload
-    model = _Model(lanes)
-    at = np.full(lanes, 2)
-    code = (words[:, 0] << U32) | words[:, 1]
+    words, model = _turned(words), _Model(lanes)
+    every, at, code = np.arange(lanes), np.full(lanes, 4), np.zeros(lanes, np.uint64)
+    for k in range(4):
+        code = (code << U16) | words[k]
     width = np.full(lanes, 2**64 - 1, np.uint64)
     out = np.zeros((length, lanes), np.uint32)
-    floor = np.uint64(1 << 32)
-
-    def shift():
-        small = np.flatnonzero(width < floor)
-        if len(small):
-            code[small] = (code[small] << U32) | words[small, at[small]]
-            at[small] += 1
-            width[small] <<= U32
 
     for step in range(length):
-        chance = model.predict()
-        part = width >> np.uint64(12)
-        right = part * chance
+        right = (width >> U12) * model.predict()
         hit = code < right
-        code = np.where(hit, code, code - right)
-        width = np.where(hit, right, part * (np.uint64(4096) - chance))
-        shift()
-        part = width // np.uint64(model.total)
-        value = np.minimum(code // part, np.uint64(model.total - 1)).astype(np.uint16)
-        below = np.packbits(model.counts <= value[:, None], axis=1).view(np.uint64).reshape(-1)
-        classes = np.bitwise_count(below).astype(np.int64) - 1
+        left = code - right
+        unit = (width - right) // np.uint64(model.total)
+        value = np.minimum(left // unit, np.uint64(model.total - 1)).astype(np.uint16)
+        below = (model.counts <= value[:, None]).view(np.uint64)  # eight classes in each of four numbers
+        below = below[:, 0] + below[:, 1] + below[:, 2] + below[:, 3]
+        classes = (below * EACH >> U56).astype(np.int64) - 1
         place = model.wide + classes
-        begin = model.flat.take(place).astype(np.uint64)
-        share = model.flat.take(place + 1).astype(np.uint64) - begin
+        begin = model.flat.take(place)
+        share = model.flat.take(place + 1) - begin
         bits = CLASS_BITS.take(classes)
-        inner = part * share >> bits
-        left = code - part * begin
+        inner = unit * share >> bits
+        left -= unit * begin
         rest = np.minimum(left // inner, (np.uint64(1) << bits) - np.uint64(1))
         now = np.where(hit, model.candidate, (CLASS_BASE.take(classes) + rest).astype(np.uint32))
         code = np.where(hit, code, left - inner * rest)
-        width = np.where(hit, width, inner)
-        shift()
+        width = np.where(hit, right, inner)
+        small = np.flatnonzero(width < FLOOR)
+        while len(small):
+            code[small] = (code[small] << U16) | words[at[small], small]
+            at[small] += 1
+            width[small] <<= U16
+            small = small[width[small] < FLOOR]
         out[step] = now
         model.update(now, hit, CLASS_OF.take(now))
-    return out.T
+    return _turned(out)
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -241,9 +241,9 @@ def pack(docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
         payloads += encode_blocks(rows)
     head = MAGIC + struct.pack("<IQQ", BLOCK, len(docs), len(blocks))
     head += docs.astype("<i8").tobytes() + sizes.astype("<u8").tobytes()
-    payloads = [p.astype("<u4").tobytes() for p in payloads]
+    payloads = [p.astype("<u2").tobytes() for p in payloads]
     checks = [zlib.crc32(p, _crc(b)) for b, p in zip(blocks, payloads)]
-    head += np.array([(len(b), len(p) // 4, c) for b, p, c in zip(blocks, payloads, checks)], "<u4").reshape(-1, 3).tobytes()
+    head += np.array([(len(b), len(p) // 2, c) for b, p, c in zip(blocks, payloads, checks)], "<u4").reshape(-1, 3).tobytes()
     return head + struct.pack("<I", zlib.crc32(head)) + b"".join(payloads)
 
 
@@ -263,8 +263,8 @@ def unpack(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at += 4
     payloads = []
     for _, words, _ in table.tolist():
-        payloads.append(np.frombuffer(content, "<u4", words, at))
-        at += 4 * words
+        payloads.append(np.frombuffer(content, "<u2", words, at))
+        at += 2 * words
     out = []
     for k in range(0, blocks, LANES):
         rows = decode_blocks(payloads[k:k + LANES], int(table[k, 0]))
@@ -295,10 +295,11 @@ def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
 
 
 _ASCII, _LATIN = _byte_classes()
-_EASY = np.zeros(256, bool)
-_EASY[:128] = True
-_EASY[0x80:0xCA] = True  # continuation bytes and leads of two-byte characters below U+0280
-_EASY[[0x27, 0x3C]] = False  # an apostrophe may start a contraction, "<" a special token
+#: All but ASCII, continuation bytes and leads of two-byte characters below U+0240; an apostrophe may start
+#: a contraction, "<" a special token.
+_HARD = np.ones(256, bool)
+_HARD[:0xC9] = False
+_HARD[[0x27, 0x3C]] = True
 
 
 @lru_cache(1)
@@ -321,19 +322,39 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id
+        for token, k in vocabulary.items():
+            self.width[k] = len(token)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        #: Hashes of the known pieces, ascending, and the place of each in starts and sizes.
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         # the piece last seen at each place, which answers most lookups at once
-        self.recent, self.recent_place = np.zeros(RECENT, np.uint64), np.zeros(RECENT, np.int64)
-        self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.recent, self.recent_place = np.zeros(RECENT, np.uint64), np.zeros(RECENT, np.int32)
+        self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.pool, self.filled = np.zeros(4096, np.uint32), 0
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.array([len(e) for e in encoded])
-        flat = np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(encoded), np.uint32, sum(map(len, encoded)))
+
+    def _learn(self, at: np.ndarray, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Pieces with hashes that belong before the places ``at`` of the known ones.
+
+        Pieces that begin with a space and end in what surely is none can stand one after the other in a text,
+        which costs less than a text for each.
+        """
+        raw, last = data.tobytes(), data[ends - 1]
+        joined = (data[starts] == 0x20) & (ends - starts > 1) & (
+            (last > 0x20) & (last < 0x7F) | (last >= 0x80) & (data[ends - 2] >= 0xC3))
+        order = np.argsort(~joined, kind="stable")
+        words = [raw[x:y].decode() for x, y in zip(starts[order].tolist(), ends[order].tolist())]
+        many = int(joined.sum())
+        flat = self._ids(["".join(words[k:min(k + 64, many)]) for k in range(0, many, 64)] + words[many:])
+        cuts = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum((ends - starts)[order])) + 1
+        sizes = np.diff(cuts, prepend=0)
         first, need = len(self.known), self.filled + len(flat)
         while need > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
@@ -341,10 +362,10 @@ class Encoder:
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
         self.pool[self.filled:need] = flat
-        self.starts[first:first + len(hashes)] = self.filled + np.cumsum(sizes) - sizes
-        self.sizes[first:first + len(hashes)] = sizes
+        self.starts[first + order], self.sizes[first + order] = self.filled + cuts - sizes, sizes
         self.filled = need
-        self.known.update(zip(hashes, range(first, first + len(hashes))))
+        self.known = np.insert(self.known, at, hashes)
+        self.place = np.insert(self.place, at, np.arange(first, first + len(hashes)))
 
     def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of the pieces of some rows."""
@@ -375,9 +396,7 @@ class Encoder:
             part, bounds = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
             hard = np.zeros(b - a, bool)
             if len(part):
-                lead = part >= 0xC9
-                odd = np.flatnonzero(~_EASY[part] | (lead & (part == 0xC9) & (np.append(part[1:], 0) >= 0x90)))
-                hard[np.searchsorted(bounds, odd, "right") - 1] = True
+                hard[np.searchsorted(bounds, np.flatnonzero(_HARD[part]), "right") - 1] = True
             ids, sizes = [np.zeros(0, np.uint32)] * (b - a), np.zeros(b - a, np.int64)
             if hard.any():
                 rows = np.flatnonzero(hard)
@@ -396,24 +415,27 @@ class Encoder:
             yield a, b, sizes, ids
 
     def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts = self._pieces(data, offsets)
-        ends = np.append(starts[1:], len(data))
         if len(self.known) > PIECES:
             self.forget()
-        hashes = ranges_hash(_BYTE[data], starts, ends, "byte")
+        found = []
+        for a, b in row_slices(offsets, 1 << 18):  # few enough for the cache
+            part = data[offsets[a]:offsets[b]]
+            starts = self._pieces(part, offsets[a:b + 1] - offsets[a])
+            found.append((starts + offsets[a], ranges_hash(_BYTE[part], starts, np.append(starts[1:], len(part)), "byte")))
+        starts, hashes = (np.concatenate(x) for x in zip(*found))
+        ends = np.append(starts[1:], len(data))
         at = (hashes % np.uint64(RECENT)).astype(np.int64)
         place = self.recent_place.take(at)
         missed = np.flatnonzero(self.recent.take(at) != hashes)
         if len(missed):
             found, index, inverse = np.unique(hashes[missed], return_index=True, return_inverse=True)
-            keys, known = found.tolist(), self.known
-            new = [k for k, h in enumerate(keys) if h not in known]
-            if new:
-                raw, where = data.tobytes(), missed[index[new]]
-                self._learn([keys[k] for k in new],
-                            [raw[x:y].decode() for x, y in zip(starts[where].tolist(), ends[where].tolist())])
-            places = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
-            place[missed] = places[inverse]
+            where = np.searchsorted(self.known, found)
+            new = np.flatnonzero(np.append(self.known, np.uint64(0))[where] != found)
+            if len(new):
+                words = missed[index[new]]
+                self._learn(where[new], found[new], data, starts[words], ends[words])
+                where = np.searchsorted(self.known, found)
+            place[missed] = self.place[where][inverse]
             self.recent[at[missed]], self.recent_place[at[missed]] = hashes[missed], place[missed]
         sizes = self.sizes[place]
         total = np.concatenate([[0], np.cumsum(sizes)])
@@ -508,7 +530,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     files = manifest.count()
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return manifest.select("file", "start").repartition(max(1, min(files, 8 * parts))).mapInArrow(
-        run, "doc long, start long, n_tokens long, ids_crc32 long")
+        lean(run), "doc long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
