@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import as_signed, components, grams, mix, ranges_hash, row_slices, saved, strings, words
+from llm.common import as_signed, components, grams, lean, mix, ranges_hash, row_slices, saved, strings, words
 
 #: Sets that share a signature and still make pairs.
 GROUP = 12
@@ -203,7 +203,7 @@ def _pack(n: int, percent: int, buckets: int):
                     entries = []
             yield from _packed(entries, buckets)
 
-    return run
+    return lean(run)
 
 
 def _packed(entries: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -219,6 +219,7 @@ def _packed(entries: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]
                  entries=pa.array([entries[x:y].tobytes() for x, y in zip(begin, ends)], pa.binary()))
 
 
+@lean
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of sets that share signatures, and the members of frequent signatures.
 
@@ -300,7 +301,7 @@ def _sets(n: int):
                             rows = {name: [] for name in rows}
                 yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
-    return run
+    return lean(run)
 
 
 def _links(nodes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -356,7 +357,7 @@ def _verify(percent: int):
                 rows.append((node, mine, np.frombuffer(blob.as_buffer(), np.uint64).copy()))
         yield finish()
 
-    return run
+    return lean(run)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc: str = "doc_id",

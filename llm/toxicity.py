@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import mix, row_slices, strings, words
+from llm.common import lean, mix, row_slices, strings, words
 
 BITS = 20
 #: Labelled rows the classifier is fitted on, at most.
@@ -56,6 +56,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(rows), (np.concatenate(places) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+@lean
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("order", pa.int64()), ("label", pa.int32()), ("places", pa.binary())])
     for batch in batches:
@@ -101,6 +102,7 @@ def fit_ftrl(examples: list[tuple[np.ndarray, int]], alpha: float = 0.5, beta: f
     return Model(places, weights[places], float(-z0 / ((beta + np.sqrt(n0)) / alpha)))
 
 
+@lean
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     examples = [(np.frombuffer(p.as_buffer(), np.uint32).astype(np.int64), label)
                 for batch in batches for p, label in zip(batch.column("places"), batch.column("label").to_pylist())]
@@ -158,7 +160,7 @@ def score(docs: DataFrame, model: Model, column: str = "score", text: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, column])
 
     schema = ", ".join([f"`{c}` {kind}" for c, kind in docs.dtypes] + [f"`{column}` double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def held_out(doc: str = "doc_id"):
