@@ -1,18 +1,21 @@
 """Cox proportional hazards with Efron ties, fitted on risk-set sums.
 
-Rows stay on the executors.  A Newton step sends coefficients out and gets
-back, per distinct time, sums over the rows at that time.  Reverse
-cumulative sums over the times are the risk sets; the likelihood, its
-derivatives and the proportional-hazards test are sums over event times.
-
-Follow-up counted in days has a few thousand distinct times, which are
-evaluated as one block.  Above ``BLOCK_TIMES`` distinct times the time axis
-is cut into ranges: the totals per range give each range the sums of all
-later ones, and the ranges are evaluated on the executors.
+Rows stay on the executors.  A Newton step sends coefficients out; tasks add
+up the rows at each distinct time.  Reverse cumulative sums over the times
+are the risk sets; the likelihood, its derivatives and the
+proportional-hazards test are sums over event times.
+
+The time axis is cut into ranges of about ``TIMES_PER_RANGE`` distinct times.
+The totals per range give each range the sums of all later ones, and every
+range is evaluated on the executors.  The driver gets one short row per
+model and range.  Follow-up counted in days is one or two ranges.  With very
+many distinct times, ranges and times per range grow with the square root
+of their number, so neither a task nor the driver holds more than that.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,9 +29,7 @@ from pairwave.functions.joins import attach
 from pairwave.operators.design import Fit, Model, dependent_columns, expand, separated, sum_of_products
 from pairwave.session import pin
 
-BLOCK_TIMES = 10_000
 TIMES_PER_RANGE = 5_000
-MAX_RANGES = 4_096
 MAX_STEPS = 25
 # Tied events added one by one per time, and times handled at once.
 TIED_DIRECT, TIED_ROWS = 128, 4_096
@@ -47,13 +48,13 @@ class SurvivalFrame:
     levels: dict
     cluster: str | None = None
 
-    def blocks(self) -> bool:
-        return len(self.cuts) > 0
+    @property
+    def ranges(self) -> int:
+        return len(self.cuts) + 1
 
 
 def survival_frame(frame: DataFrame, time: str, event: str, covariates, group: str | None = "role",
-                   cluster: str | None = None, factors=(), block_times: int = BLOCK_TIMES,
-                   times_per_range: int = TIMES_PER_RANGE) -> SurvivalFrame:
+                   cluster: str | None = None, factors=(), times_per_range: int = TIMES_PER_RANGE) -> SurvivalFrame:
     """Collapse equal rows, sort them by time into partitions, and pin them.
 
     Partitions by ranges of time hold few distinct times each, so the sums
@@ -78,8 +79,8 @@ def survival_frame(frame: DataFrame, time: str, event: str, covariates, group: s
         *[F.sort_array(F.collect_set(c)).alias(f"levels_{c}") for c in factors]).collect()
     distinct = sum(r["times"] for r in measured)
     cuts: tuple[float, ...] = ()
-    if distinct > block_times:
-        ranges = int(min(MAX_RANGES, max(2, distinct // times_per_range)))
+    ranges = math.ceil(distinct / max(times_per_range, math.sqrt(distinct), 1))
+    if ranges > 1:
         points = [k / ranges for k in range(1, ranges)]
         cuts = tuple(sorted(set(rows.select("time").distinct().approxQuantile("time", points, 0.1 / ranges))))
     return SurvivalFrame(
@@ -192,7 +193,7 @@ def _sums(frame: SurvivalFrame, models, betas, per_range: bool) -> DataFrame:
     return frame.rows.mapInPandas(run, "model int, part int, time double, sums array<double>")
 
 
-# -- one block of times ----------------------------------------------------
+# -- one range of times ----------------------------------------------------
 
 def _tied_sums(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """For d tied events per time, with f = l/d for l = 0..d-1 and q = s - f e:
@@ -260,7 +261,7 @@ def _smooth_sums(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 @dataclass
 class _Block:
-    """Event-time quantities of one block, times ascending."""
+    """Event-time quantities of one range, times ascending."""
 
     rows: float
     time: np.ndarray
@@ -277,7 +278,7 @@ class _Block:
 
 
 def _evaluate(p: int, beta: np.ndarray, time: np.ndarray, sums: np.ndarray, later: np.ndarray) -> _Block:
-    """Likelihood pieces per event time; ``later`` holds the sums of all later blocks."""
+    """Likelihood pieces per event time; ``later`` holds the sums of all later ranges."""
     # Coefficients that run away overflow; the step control rejects the result.
     with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
         layout = _Layout(p)
@@ -304,7 +305,7 @@ def _evaluate(p: int, beta: np.ndarray, time: np.ndarray, sums: np.ndarray, late
 
 
 def _pack(block: _Block, p: int, survival_before: float | None) -> np.ndarray:
-    """Sums of a block: likelihood, score and information, and if asked for
+    """Sums of a range: likelihood, score and information, and if asked for
     the score and information weighted by 1 - survival just before the event."""
     parts = [[block.rows, block.loglik.sum()], block.residual.sum(axis=0), block.info.sum(axis=0).ravel()]
     if survival_before is not None:
@@ -316,10 +317,11 @@ def _pack(block: _Block, p: int, survival_before: float | None) -> np.ndarray:
     return np.concatenate([np.asarray(v, dtype=float) for v in parts])
 
 
-def _totals_per_range(frame: SurvivalFrame, models, betas) -> dict[int, np.ndarray]:
-    """Sums of all later ranges, per model and range; a few thousand vectors at most."""
-    widths = [_Layout(len(m.terms)).width for m in models]
-    totals = [np.zeros((len(frame.cuts) + 1, w)) for w in widths]
+def _later(frame: SurvivalFrame, models, betas) -> list[np.ndarray]:
+    """Per model and range the sums of all later ranges; a single range has none and needs no pass."""
+    totals = [np.zeros((frame.ranges, _Layout(len(m.terms)).width)) for m in models]
+    if not frame.cuts:
+        return totals
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"model": rows["model"][:1], "part": rows["part"][:1],
@@ -327,63 +329,52 @@ def _totals_per_range(frame: SurvivalFrame, models, betas) -> dict[int, np.ndarr
 
     partial = _sums(frame, models, betas, per_range=True).drop("time")
     merged = partial.groupBy("model", "part").applyInPandas(merge, "model int, part int, sums array<double>")
-    for row in merged.toLocalIterator():
-        totals[row["model"]][row["part"]] += np.array(row["sums"])
-    return {k: t[::-1].cumsum(axis=0)[::-1] - t for k, t in enumerate(totals)}
+    for row in merged.collect():
+        totals[row["model"]][row["part"]] = row["sums"]
+    return [t[::-1].cumsum(axis=0)[::-1] - t for t in totals]
 
 
 def _step(frame: SurvivalFrame, models, betas, weighted: bool = False) -> list[np.ndarray]:
-    """Packed sums of every model at its coefficients: one pass over the rows
-    for a single block, two or three for ranges."""
-    models = list(models)
-    if not frame.blocks():
-        partial = _sums(frame, models, betas, per_range=False).toArrow().to_pandas()
-        packed = []
-        for k, model in enumerate(models):
-            block = _block_of(partial, k, model, betas[k])
-            packed.append(_pack(block, len(model.terms), 1.0 if weighted else None))
-        return packed
+    """Packed sums of every model at its coefficients.
 
-    later = _totals_per_range(frame, models, betas)
+    One pass over the rows for a single range; one more for the totals of
+    several, and one more for the survival before each if ``weighted``.
+    """
+    models = list(models)
+    later = _later(frame, models, betas)
     sizes = [len(m.terms) for m in models]
 
-    def evaluate(rows: pd.DataFrame) -> _Block:
+    def evaluate(rows: pd.DataFrame) -> tuple[int, int, _Block]:
         k, part = int(rows["model"].iloc[0]), int(rows["part"].iloc[0])
-        return _evaluate(sizes[k], betas[k], rows["time"].to_numpy("float64"), np.stack(rows["sums"]), later[k][part])
+        return k, part, _evaluate(sizes[k], betas[k], rows["time"].to_numpy("float64"), np.stack(rows["sums"]), later[k][part])
 
     def log_survival(rows: pd.DataFrame) -> pd.DataFrame:
-        block = evaluate(rows)
+        k, part, block = evaluate(rows)
         with np.errstate(divide="ignore"):
             value = np.log1p(-block.deaths / block.at_risk).sum()
-        return pd.DataFrame({"model": rows["model"][:1], "part": rows["part"][:1], "value": [value]})
+        return pd.DataFrame({"model": [k], "part": [part], "value": [value]})
 
     groups = _sums(frame, models, betas, per_range=False).groupBy("model", "part")
-    before: dict[tuple[int, int], float] = {}
-    if weighted:
-        logs = np.zeros((len(models), len(frame.cuts) + 1))
-        for row in groups.applyInPandas(log_survival, "model int, part int, value double").toLocalIterator():
+    before = np.ones((len(models), frame.ranges))
+    if weighted and frame.cuts:
+        logs = np.zeros(before.shape)
+        for row in groups.applyInPandas(log_survival, "model int, part int, value double").collect():
             logs[row["model"], row["part"]] = row["value"]
-        running = np.exp(np.concatenate([np.zeros((len(models), 1)), np.cumsum(logs, axis=1)[:, :-1]], axis=1))
-        before = {(k, j): running[k, j] for k in range(len(models)) for j in range(len(frame.cuts) + 1)}
+        before[:, 1:] = np.exp(np.cumsum(logs, axis=1)[:, :-1])
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        k, part = int(rows["model"].iloc[0]), int(rows["part"].iloc[0])
-        packed = _pack(evaluate(rows), sizes[k], before.get((k, part)))
-        return pd.DataFrame({"model": rows["model"][:1], "packed": [packed]})
-
-    result: list = [0.0] * len(models)
-    for row in groups.applyInPandas(pack, "model int, packed array<double>").toLocalIterator():
+        k, part, block = evaluate(rows)
+        packed = _pack(block, sizes[k], before[k, part] if weighted else None)
+        return pd.DataFrame({"model": [k], "part": [part], "packed": [packed]})
+
+    result = [_pack(_evaluate(p, beta, np.zeros(0), np.zeros((0, _Layout(p).width)), np.zeros(_Layout(p).width)), p,
+                    1.0 if weighted else None) for p, beta in zip(sizes, betas)]
+    # In the order of the ranges, so that the sums don't depend on which task ends first.
+    for row in sorted(groups.applyInPandas(pack, "model int, part int, packed array<double>").collect(), key=lambda r: r["part"]):
         result[row["model"]] = result[row["model"]] + np.array(row["packed"])
     return result
 
 
-def _block_of(partial: pd.DataFrame, k: int, model: Model, beta: np.ndarray) -> _Block:
-    layout = _Layout(len(model.terms))
-    mine = partial[partial["model"] == k]
-    sums = np.stack(mine["sums"]) if len(mine) else np.zeros((0, layout.width))
-    return _evaluate(layout.p, beta, mine["time"].to_numpy("float64"), sums, np.zeros(layout.width))
-
-
 def _unpack(packed: np.ndarray, p: int):
     """Log-likelihood, score and information; the first entry counts the rows."""
     return packed[1], packed[2:2 + p], packed[2 + p:2 + p + p * p].reshape(p, p)
@@ -442,6 +433,8 @@ def fit_cox(frame: SurvivalFrame, models, robust: bool = False) -> list[Fit]:
               "converged": k not in open_models and not lost[k].any()} for k in range(len(models))]
     if robust:
         for k, model in enumerate(models):
+            if not model.terms:
+                continue
             meat = cluster_meat(frame, model, betas[k])
             covs[k] = covs[k] @ meat @ covs[k]
     fits = []
@@ -473,16 +466,9 @@ def _hazard_table(frame: SurvivalFrame, model: Model, beta: np.ndarray) -> DataF
             "time": all_times, "hazard": before[at, 0], "mean": list(before[at, 1:]),
             "own_hazard": own[:, 0], "own_mean": list(own[:, 1:]), "tied": list(tied)})
 
-    if not frame.blocks():
-        partial = _sums(frame, [model], [beta], per_range=False).toArrow().to_pandas()
-        block = _block_of(partial, 0, model, beta)
-        rows = table(block, np.unique(partial["time"].to_numpy("float64")), np.zeros(1 + p))
-        columns = [[v.tolist() if isinstance(v, np.ndarray) else float(v) for v in rows[c]] for c in rows]
-        return spark.createDataFrame(list(zip(*columns)), schema)
-
-    later = _totals_per_range(frame, [model], [beta])[0]
+    later = _later(frame, [model], [beta])[0]
 
-    def evaluate(rows: pd.DataFrame):
+    def evaluate(rows: pd.DataFrame) -> tuple[int, _Block]:
         part = int(rows["part"].iloc[0])
         return part, _evaluate(p, beta, rows["time"].to_numpy("float64"), np.stack(rows["sums"]), later[part])
 
@@ -491,10 +477,11 @@ def _hazard_table(frame: SurvivalFrame, model: Model, beta: np.ndarray) -> DataF
         return pd.DataFrame({"part": [part], "sums": [np.concatenate([[block.hazard.sum()], block.hazard_mean.sum(axis=0)])]})
 
     groups = _sums(frame, [model], [beta], per_range=False).groupBy("part")
-    steps = np.zeros((len(frame.cuts) + 1, 1 + p))
-    for row in groups.applyInPandas(increments, "part int, sums array<double>").toLocalIterator():
-        steps[row["part"]] = row["sums"]
-    bases = np.vstack([np.zeros(1 + p), np.cumsum(steps, axis=0)[:-1]])
+    steps = np.zeros((frame.ranges, 1 + p))
+    if frame.cuts:
+        for row in groups.applyInPandas(increments, "part int, sums array<double>").collect():
+            steps[row["part"]] = row["sums"]
+    bases = np.cumsum(steps, axis=0) - steps
 
     def tabulate(rows: pd.DataFrame) -> pd.DataFrame:
         part, block = evaluate(rows)
@@ -513,11 +500,7 @@ def cluster_meat(frame: SurvivalFrame, model: Model, beta: np.ndarray) -> np.nda
     rows = frame.rows.dropna(subset=list(model.columns))
     if model.group is not None:
         rows = rows.where(F.col("role") == model.group)
-    table = _hazard_table(frame, model, beta)
-    if not frame.blocks():
-        joined = rows.join(F.broadcast(table), "time")
-    else:
-        joined = attach(rows, table, "time", how="inner")
+    joined = attach(rows, _hazard_table(frame, model, beta), "time", how="inner")
     centers = frame.centers.get(model.group, {})
     x = [t.expression() - F.lit(float(centers.get(t.column, 0.0)) if t.level is None else 0.0) for t in model.terms]
     linear = sum((xj * F.lit(float(b)) for xj, b in zip(x, beta)), F.lit(0.0))

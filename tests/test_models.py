@@ -115,14 +115,37 @@ def test_ranges_of_time_give_the_same_fit(spark):
     frame, _ = simulated(spark, n=600)
     model = Model("m", TERMS, "all")
     whole = survival_frame(frame, "time", "event", ("x", "z", "g"), cluster="home")
-    cut = survival_frame(frame, "time", "event", ("x", "z", "g"), cluster="home", block_times=10, times_per_range=7)
-    assert not whole.blocks() and len(cut.cuts) >= 4
+    cut = survival_frame(frame, "time", "event", ("x", "z", "g"), cluster="home", times_per_range=7)
+    assert whole.ranges == 1 and cut.ranges >= 5
     a, b = fit_cox(whole, [model], robust=True)[0], fit_cox(cut, [model], robust=True)[0]
     assert np.allclose(a.coef, b.coef, atol=1e-10) and np.allclose(a.cov, b.cov, rtol=1e-8)
     for one, other in zip(proportional_hazards_test(whole, a), proportional_hazards_test(cut, b)):
         assert one[0] == other[0] and math.isclose(one[1], other[1], rel_tol=1e-8)
 
 
+def test_a_time_of_a_third_of_the_rows_and_short_ranges(spark):
+    frame, rows = simulated(spark, n=500)
+    rows = [(*r[:1], 3.0, *r[2:]) if k % 3 == 0 else r for k, r in enumerate(rows)]
+    frame = spark.createDataFrame(rows, frame.schema).repartition(6)
+    b, info, _ = naive_cox(rows, LINEAR)
+    survival = survival_frame(frame, "time", "event", ("x", "z", "g"), times_per_range=1)
+    assert 6 <= survival.ranges <= 10  # the square root of the number of times
+    fit = fit_cox(survival, [Model("m", TERMS, "all")])[0]
+    assert np.allclose(fit.coef, b, atol=1e-8) and np.allclose(inverse(fit.cov), info, rtol=1e-6)
+
+
+@pytest.mark.parametrize("per_range", [1, 5_000])
+def test_cox_without_rows_or_with_missing_times(spark, per_range):
+    frame, rows = simulated(spark, n=300)
+    make = lambda f: survival_frame(f, "time", "event", ("x", "z", "g"), cluster="home", times_per_range=per_range)
+    none = fit_cox(make(frame.limit(0)), [Model("m", TERMS, "all")], robust=True)[0]
+    assert (none.n_frame, none.n_model, none.events) == (0, 0, 0) and none.ratio("x", 1.96) == (None, None, None, None)
+    holes = frame.withColumn("time", F.when(F.col("home") % 4 != 0, F.col("time"))).withColumn("sums", F.lit("x"))
+    fit = fit_cox(make(holes), [Model("m", TERMS, "all")])[0]
+    kept = naive_cox([r for r in rows if r[6] % 4], LINEAR)[0]
+    assert np.allclose(fit.coef, kept, atol=1e-8) and fit.n_frame == sum(r[6] % 4 != 0 for r in rows)
+
+
 def test_clustered_variance(spark):
     frame, rows = simulated(spark)
     b, info, residuals = naive_cox(rows, LINEAR)
