@@ -2,11 +2,12 @@
 
 A rotation learned on a bounded sample turns directions into balanced binary codes (principal
 axes, then alternating between the nearest signs and the best rotation).  A code is cut into
-``TABLES`` chunks, each the key of one table; a chunk has about as many bits as the number of
-vectors needs, so buckets do not grow.  Every vector is entered under its chunk and under all chunks one bit
-away, so two vectors meet when some chunk differs in at most two bits.  Those whose codes are close
-enough are compared by their original vectors in double precision, and only pairs that reach the
-threshold link.
+chunks, each the key of one table; a chunk has about as many bits as the number of vectors needs, so
+buckets do not grow.  Every vector is entered under its chunk and under all chunks one bit away, so
+two vectors meet when some chunk differs in at most two bits.  Longer chunks differ more, so they come
+with more tables: as many as two vectors at the threshold need to meet with a chance of ``RECALL``.  Where
+vectors have too few components for that, chunks are shorter.  Those whose codes are close enough are
+compared by their original vectors in double precision, and only pairs that reach the threshold link.
 
 Equal vectors are one class from the start and are not expanded.  All vectors are indexed; the
 search is approximate, with its recall measured in the tests.
@@ -15,6 +16,7 @@ search is approximate, with its recall measured in the tests.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,10 @@ from pyspark.sql import functions as F
 
 from llm.common import components, saved
 
-TABLES = 4
+#: Least number of tables, and the least chance that vectors at the threshold meet in one.
+TABLES, RECALL = 4, 0.95
+#: Bits of a code that are compared before the vectors are.
+COMPARED = 128
 #: Vectors the rotation is learned on, at most.
 SAMPLE = 8192
 ITERATIONS = 40
@@ -67,6 +72,26 @@ def learn_rotation(vectors: np.ndarray, bits: int, iterations: int = ITERATIONS)
     return axes @ rotation
 
 
+def chance(chunk: int, tables: int, threshold: float) -> float:
+    """The chance that vectors at the threshold have at most two different bits in some chunk; each bit
+    differs as often as the angle's share of the half circle."""
+    apart = math.acos(threshold) / math.pi
+    one = sum(math.comb(chunk, k) * apart**k * (1 - apart) ** (chunk - k) for k in range(3))
+    return 1 - (1 - min(one, 1.0)) ** tables
+
+
+def allocate(total: int, width: int, threshold: float, chunk: int | None = None) -> tuple[int, int]:
+    """Bits of a chunk and number of tables for so many vectors of so many components."""
+    wanted = chunk or max(8, math.ceil(math.log2(max(2, total))))
+    for chunk in range(min(wanted, width, 32), 1, -1):
+        tables = min(TABLES, width // chunk)
+        while chance(chunk, tables, threshold) < RECALL and tables * chunk <= width:
+            tables += 1
+        if tables * chunk <= width:
+            return chunk, tables
+    return 1, max(1, min(TABLES, width))
+
+
 def _unit(blobs: list[bytes], width: int) -> np.ndarray:
     out = np.zeros((len(blobs), width))
     for row, blob in zip(out, blobs):
@@ -75,9 +100,8 @@ def _unit(blobs: list[bytes], width: int) -> np.ndarray:
     return out / np.sqrt((out * out).sum(1, keepdims=True))
 
 
-def _entries(matrix: np.ndarray, chunk: int):
+def _entries(matrix: np.ndarray, chunk: int, tables: int):
     schema = pa.schema([("place", pa.int64()), ("node", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])
-    tables = max(1, matrix.shape[1] // chunk)
     flips = np.concatenate([[0], 1 << np.arange(chunk)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +111,8 @@ def _entries(matrix: np.ndarray, chunk: int):
                 node = part.column("node").to_numpy()
                 signs = (_unit(part.column("vector").to_pylist(), len(matrix)) @ matrix >= 0)[:, :tables * chunk]
                 chunks = signs.reshape(len(node), tables, chunk) @ (1 << np.arange(chunk))
-                halves = np.zeros((len(node), 128), np.int64)
-                halves[:, :min(128, signs.shape[1])] = signs[:, :128]
+                halves = np.zeros((len(node), COMPARED), np.int64)
+                halves[:, :min(COMPARED, signs.shape[1])] = signs[:, :COMPARED]
                 weights = np.array([1 << k for k in range(63)] + [-(1 << 63)], np.int64)
                 low, high = halves[:, :64] @ weights, halves[:, 64:] @ weights
                 place = ((np.arange(tables) << chunk) | chunks)[:, :, None] ^ flips
@@ -120,14 +144,14 @@ def _similar(threshold: float):
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", column: str = "embedding",
-                    sample: int = SAMPLE) -> DataFrame:
+                    sample: int = SAMPLE, chunk: int | None = None) -> DataFrame:
     """(key, n_links, component_id, kept) for every vector.
 
     n_links counts the other vectors at a cosine of at least ``threshold``, component_id is the
     smallest key reachable by links, kept says whether that is the vector's own.  Vectors that are
     null, zero or hold null or non-finite components link with nothing; shorter vectors count as
     filled up with zeros.  Rows without a key are left out, keys are taken to be unique, other
-    columns are ignored.
+    columns are ignored.  ``chunk`` is the number of bits of a chunk, by default from the number of vectors.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v")).where("id is not null")
     rows = saved(rows.mapInArrow(_vectors, "id long, vector binary, class binary"), "itq-vectors")
@@ -137,16 +161,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_
     # At most ``sample`` vectors come to the driver.
     chosen = [bytes(r[0]) for r in classes.select("vector", "node").orderBy(F.xxhash64("node"), "node").limit(sample).collect()]
     width = max((len(v) // 8 for v in chosen), default=1)
-    chunk = max(1, min(max(8, int(np.ceil(np.log2(max(2, total))))), width // TABLES, 32))
-    if chosen:
-        matrix = learn_rotation(_unit(chosen, width), min(width, TABLES * chunk, 128))
-    else:
-        matrix = np.zeros((1, 1))
-    bits = max(1, matrix.shape[1] // chunk) * chunk
+    chunk, tables = allocate(total, width, threshold, chunk)
+    matrix = learn_rotation(_unit(chosen, width), tables * chunk) if chosen else np.zeros((1, tables * chunk))
+    bits = min(COMPARED, tables * chunk)
     apart = np.arccos(threshold) / np.pi
     limit = int(np.ceil(bits * apart + SLACK * np.sqrt(bits * apart * (1 - apart))))
     entries = saved(classes.select("node", "vector").mapInArrow(
-        _entries(matrix, min(chunk, matrix.shape[1])), "place long, node long, high long, low long"), "itq-entries")
+        _entries(matrix, chunk, tables), "place long, node long, high long, low long"), "itq-entries")
     one = entries.select("place", F.col("node").alias("a"), F.col("high").alias("ha"), F.col("low").alias("la"))
     two = entries.select("place", F.col("node").alias("b"), F.col("high").alias("hb"), F.col("low").alias("lb"))
     near = F.expr(f"bit_count(la ^ lb) + bit_count(ha ^ hb) <= {limit}")

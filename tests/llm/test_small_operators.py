@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from llm import pii, source_mixing, token_files
 from llm.common import fresh_folder, strings, words
-from llm.embedding_neardup import near_duplicates
+from llm.embedding_neardup import RECALL, allocate, chance, near_duplicates
 from llm.main_text import extract, main_text
 from llm.toxicity import held_out, scored_documents
 from llm.warc import LoserTree, archive_round_trip, read_captures, read_record, url_key, write_archives
@@ -199,6 +199,27 @@ def test_embedding_recall_and_links(spark):
     assert got[2200]["n_links"] >= 300 and got[2200]["component_id"] == 0 and not got[2200]["kept"]
 
 
+def test_tables_are_as_many_as_long_chunks_need():
+    for total in (1, 500, 50_000, 10**6, 10**8, 10**10):
+        for width in (1, 2, 8, 64, 96, 256, 768):
+            for threshold in (0.8, 0.9, 0.95):
+                bits, tables = allocate(total, width, threshold)
+                assert bits * tables <= width and (width < 8 or chance(bits, tables, threshold) >= RECALL)
+    assert allocate(50_000, 64, 0.9) == (16, 4) and allocate(10**6, 256, 0.9) == (20, 6)
+
+
+def test_recall_of_long_chunks_on_wide_vectors(spark):
+    r = np.random.default_rng(5)
+    base = r.normal(size=(900, 256))
+    noisy = base + r.normal(size=base.shape) * 0.48  # about the threshold
+    vectors = [(k, v.tolist()) for k, v in enumerate(np.concatenate([base, noisy]))]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(4)
+    close = plain_links(vectors)
+    assert close.sum() > 600
+    found = sum(x["n_links"] for x in near_duplicates(frame, chunk=22).collect())
+    assert 0.9 * close.sum() <= found <= close.sum()
+
+
 def test_embeddings_of_no_rows_and_few_dimensions(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert near_duplicates(none).count() == 0
