@@ -1,14 +1,16 @@
 """Samples of documents whose tokens follow target shares, by iterative proportional fitting.
 
 Tokens are summed over cells (source, language, topic).  Raking scales the cells until their sums
-over each dimension meet that dimension's targets; the scale of a cell over the largest scale is the
-probability of its documents, so that expected tokens have the target shares and no document is
-taken twice.  DataFrame operations only; documents are read for the sums and for the sample, all
+over each dimension meet that dimension's targets; the scale of a cell over the largest scale of a cell
+with tokens is the probability of its documents, so that expected tokens have the target shares and no
+document is taken twice.  DataFrame operations only; documents are read for the sums and for the sample, all
 steps between work on the cells.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +56,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     """``cells`` with a column ``scale``: tokens * scale has the target sums over each dimension.
 
     A target is (value, target) with shares of one.  Values without a target, or without tokens, are not scaled.
+    Where the targets are still missed after all rounds, as they are when they contradict each other, a
+    warning says by how much.
     """
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total")).first()["total"]
-    cells = cells.withColumn("scale", F.lit(1.0))
+    cells, worst = cells.withColumn("scale", F.lit(1.0)), 0.0
     for _ in range(rounds):
         off = F.lit(0.0)
         for dimension, target in targets.items():
@@ -71,7 +75,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         worst = cells.agg(F.max("off")).first()[0]
         cells = cells.drop("off")
         if worst is None or worst <= tolerance:
-            break
+            return cells
+    if worst > 1e-6:
+        warnings.warn(f"sums miss their targets by a factor of up to {1 + worst:.6g} after {rounds} rounds", stacklevel=2)
     return cells
 
 
@@ -82,7 +88,7 @@ def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFra
 
     ``topic`` defaults to the layout of the text and ``targets`` to tempered shares.  A null source, language or
     topic is a group of its own; documents without words carry no weight and have their cell's
-    probability; equal ids are kept or left together, a missing id counts as the empty text.  Columns of the new names are replaced.
+    probability, at most one; equal ids are kept or left together, a missing id counts as the empty text.  Columns of the new names are replaced.
     """
     docs, (tokens, probability, kept) = docs.drop(*names), names
     keys = dict(zip(DIMENSIONS, (F.col(source), F.col(lang), layout_topic(text) if topic is None else topic)))
@@ -93,8 +99,9 @@ def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFra
     if targets is None:
         targets = {d: saved(tempered(cells, d), "mixing-targets") for d in DIMENSIONS}
     scaled = rake(cells, targets)
-    top = scaled.agg(F.max("scale")).first()[0]
-    chances = scaled.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), (F.col("scale") / F.lit(top)).alias(probability))
+    top = scaled.agg(F.max(F.when(F.col("tokens") > 0, F.col("scale")))).first()[0]
+    chances = scaled.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS),
+                             F.least(F.col("scale") / F.lit(top or 1.0), F.lit(1.0)).alias(probability))
     few = chances.count() <= BROADCAST_CELLS
     joined = marked.join(F.broadcast(chances) if few else chances, [f"_{d}" for d in DIMENSIONS])
     joined = joined.withColumn(kept, uniform_or_empty(doc, seed) < F.col(probability))
@@ -131,6 +138,7 @@ def oracle(rounds: int = 14) -> str:
         len(regexp_extract_all(t, '{blank}'))::BIGINT AS n_tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
       c0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens, 1.0::DOUBLE AS scale FROM d GROUP BY ALL),
       {targets}, {", ".join(steps)}
-      SELECT doc_id, n_tokens, round(scale / (SELECT max(scale) FROM {last}), 6) AS probability,
-        ('0x' || substr(md5('mix' || doc_id), 1, 12))::BIGINT / {float(16**12)} < scale / (SELECT max(scale) FROM {last}) AS kept
-      FROM d JOIN {last} c USING (source, lang, topic)"""
+      SELECT doc_id, n_tokens, round(chance, 6) AS probability,
+        ('0x' || substr(md5('mix' || doc_id), 1, 12))::BIGINT / {float(16**12)} < chance AS kept
+      FROM (SELECT d.doc_id, d.n_tokens, least(1, scale / (SELECT max(scale) FROM {last} WHERE tokens > 0)) AS chance
+            FROM d JOIN {last} c USING (source, lang, topic))"""

@@ -55,6 +55,20 @@ def test_raked_sums_meet_targets(spark):
             assert sum(r["tokens"] * r["scale"] for r in rows if r[dimension] == value) == pytest.approx(95 * share, abs=1e-6)
 
 
+def test_cells_without_tokens_do_not_lower_the_others(spark):
+    rows = [(k, "w " * 10, "ab"[k % 2], "xy"[k // 2 % 2], "prose") for k in range(40)] + [(90, "", "c", "z", "prose"), (91, "", "a", "z", "list")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, layout string")
+    got = source_mixing.mix(docs, topic=F.col("layout")).collect()
+    assert max(r["probability"] for r in got if r["n_tokens"]) == 1.0 and all(r["probability"] <= 1 for r in got)
+
+
+def test_targets_that_contradict_are_told(spark):
+    cells = spark.createDataFrame([("a", "x", 10), ("b", "y", 10)], "source string, lang string, tokens long")
+    share = lambda *v: spark.createDataFrame(list(zip(("ab", "xy")[v[0] > 0.6], v)), "value string, target double")
+    with pytest.warns(UserWarning, match="miss their targets"):
+        source_mixing.rake(cells, {"source": share(0.5, 0.5), "lang": share(0.9, 0.1)}, rounds=5)
+
+
 def test_mixing_of_odd_rows(spark):
     rows = [(1, "a b", "s", "en", 1), (1, "a b", "s", "en", 2), (2, None, None, None, 3), (3, "", "s", None, 4),
             (None, "t " * 9, "q", "de", 5)]
