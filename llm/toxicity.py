@@ -71,14 +71,13 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([places[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())], schema=schema)
 
 
-def fit_ftrl(examples: list[tuple[np.ndarray, int]], alpha: float = 0.5, beta: float = 1.0, l1: float | None = None,
+def fit_ftrl(examples: list[tuple[np.ndarray, int]], alpha: float = 0.5, beta: float = 1.0, l1: float = 8.0,
              l2: float = 0.1, epochs: int = 4) -> Model:
     """FTRL-proximal over examples (distinct places, label); the intercept is not penalised.
 
-    Without ``l1`` the penalty grows with the number of examples, from 2.5 to 8.
+    The penalty is the same at every size; held out, 8 was as good as or better than 1.5 to 12 from 300 to 7,000 examples.
     """
     size = 1 << BITS
-    l1 = min(8.0, 2.5 + len(examples) / 800) if l1 is None else l1
     z, n = np.zeros(size), np.zeros(size)
     z0 = n0 = 0.0
 
