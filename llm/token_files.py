@@ -46,7 +46,7 @@ RECENT = 1 << 20
 MAGIC = b"TOKMIX02"
 #: Places for magnitude classes (31 are used), and what an id adds to the count of its own.
 CLASSES, STEP = 32, 48
-SLOTS, SLOT_SHIFT = 1024, np.uint32(22)
+SLOTS, SLOT_SHIFT = 512, np.uint32(23)
 #: A range below FLOOR gives away its top 16 bits.
 FLOOR, U12, U16, U48, U56 = (np.uint64(k) for k in (1 << 48, 12, 16, 48, 56))
 #: A product with it has the sum of a number's bytes on top.
