@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from llm.common import SPACE_CLASS, saved
@@ -60,25 +60,29 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     warning says by how much.
     """
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total")).first()["total"]
-    cells, worst = cells.withColumn("scale", F.lit(1.0)), 0.0
+    columns, worst = cells.columns, 0.0
+    for dimension, target in targets.items():
+        goal = target.select(F.col("value").alias(dimension), (F.col("target") * F.lit(float(total))).alias(f"goal_{dimension}"))
+        cells = cells.join(goal, dimension, "left")
+    cells = saved(cells.withColumn("scale", F.lit(1.0)), "mixing-cells")
     for _ in range(rounds):
-        off = F.lit(0.0)
-        for dimension, target in targets.items():
-            sums = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum(F.col("tokens") * F.col("scale")).alias("now"))
-            steps = sums.join(target, "value").select(
-                F.col("value").alias(dimension),
-                F.when(F.col("now") > 0, F.col("target") * F.lit(float(total)) / F.col("now")).alias("step"))
-            cells = cells.join(steps, dimension, "left").withColumn("step", F.coalesce("step", F.lit(1.0))).withColumn(
-                "scale", F.col("scale") * F.col("step")).withColumn(f"off_{dimension}", F.abs(F.col("step") - 1)).drop("step")
-            off = F.greatest(off, F.col(f"off_{dimension}"))
-        cells = saved(cells.withColumn("off", off).drop(*(f"off_{d}" for d in targets)), "mixing-cells")
-        worst = cells.agg(F.max("off")).first()[0]
-        cells = cells.drop("off")
+        scaled, off = cells, F.lit(0.0)
+        for dimension in targets:
+            sums = scaled.groupBy(dimension).agg(F.sum(F.col("tokens") * F.col("scale")).alias("now"))
+            step = F.coalesce(F.when(F.col("now") > 0, F.col(f"goal_{dimension}") / F.col("now")), F.lit(1.0))
+            scaled = scaled.join(sums, dimension, "left").withColumn(f"step_{dimension}", step).drop("now").withColumn(
+                "scale", F.col("scale") * F.col(f"step_{dimension}"))
+            off = F.greatest(off, F.abs(F.col(f"step_{dimension}") - 1))
+        seen = Observation()
+        scaled = scaled.observe(seen, F.max(off).alias("worst")).drop(*(f"step_{d}" for d in targets))
+        cells = saved(scaled, "mixing-cells")
+        worst = seen.get["worst"]
         if worst is None or worst <= tolerance:
-            return cells
+            worst = 0.0
+            break
     if worst > 1e-6:
         warnings.warn(f"sums miss their targets by a factor of up to {1 + worst:.6g} after {rounds} rounds", stacklevel=2)
-    return cells
+    return cells.select(*columns, "scale")
 
 
 def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, doc: str = "doc_id",
