@@ -26,8 +26,7 @@ BROADCAST_CELLS = 200_000
 
 
 def n_words(text: str) -> Column:
-    trimmed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, f"{SPACE_CLASS}+"))).cast("long")
+    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(SPACE_CLASS.replace("[", "[^") + "+")).cast("long")
 
 
 def layout_topic(text: str) -> Column:
