@@ -24,6 +24,8 @@ from llm.common import saved
 MASKS = ("110110011", "101001111", "111010101")
 SPAN = 9
 LEAST = 13
+#: Words of a document from which positions are listed at once.
+PIECE = 256
 #: Rows of benchmark seeds, and of words of its items, that are sent to every executor at most; beyond, the joins shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -40,29 +42,37 @@ def tokens(text: str) -> Column:
     """Words of a text in lower case, and single letters of scripts without spaces; none for a null text."""
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
     apart = F.regexp_replace(F.regexp_replace(lower, f"[{UNSPACED_SIGNS}]", " "), f"([{UNSPACED}])", " $1 ")
-    return F.array_remove(F.split(F.when(lower.rlike(f"[{UNSPACED}{UNSPACED_SIGNS}]"), apart).otherwise(lower), SEPARATORS), "")
+    # All these scripts lie from U+0E00 on; one comparison spares letters before it the list of ranges.
+    some = lower.rlike(f"[\\u0E00-\\x{{10FFFF}}&&[{UNSPACED}{UNSPACED_SIGNS}]]")
+    return F.array_remove(F.split(F.when(some, apart).otherwise(lower), SEPARATORS), "")
 
 
-def _seeds(words: str) -> Column:
-    """Seed hashes of an array of words, mask by mask for each position."""
-    def at(i: Column) -> Column:
-        return F.array(*[F.xxhash64(F.lit(m), *[F.get("h", i + k) for k in range(SPAN) if mask[k] == "1"])
-                         for m, mask in enumerate(MASKS)])
+def _positions(frame: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, at, h0 to h8): the hash of the word at each position of ``words`` and of the eight after it, null past the end.
 
-    return F.when(F.size(words) >= SPAN, F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - SPAN), at)))
+    Words are hashed in pieces that overlap by a seed, so what a row carries while positions are listed has a fixed size
+    at any length of the text.
+    """
+    last = F.size("words") - 1
 
+    def piece(i: Column) -> Column:
+        return F.struct(i.alias("first"), F.transform(
+            F.sequence(i, F.least(i + (PIECE + SPAN - 2), last)), lambda j: F.xxhash64(F.get("words", j))).alias("h"))
 
-def _windows(words: str, lengths: list[int]) -> Column:
-    """(at, seed): keys of all windows of some lengths shorter than a seed."""
-    def keys(n: int) -> Column:
-        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(
-            i.alias("at"), F.xxhash64(F.lit(-n), *[F.get("h", i + k) for k in range(n)]).alias("seed"))))
+    pieces = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(PIECE)), piece))
+    listed = frame.select(*keep, F.explode(pieces).alias("c")).select(*keep, "c.first", "c.h").select(
+        *keep, "first", "h", F.explode(F.sequence(F.lit(0), F.least(F.size("h"), F.lit(PIECE)) - 1)).alias("p"))
+    return listed.select(*keep, (F.col("first") + F.col("p")).alias("at"),
+                         *[F.get("h", F.col("p") + k).alias(f"h{k}") for k in range(SPAN)])
 
-    return F.flatten(F.array_compact(F.array(*[keys(n) for n in lengths])))
 
+def _keys(lengths: list[int]) -> Column:
+    """Keys of a position: the hash of each mask, then that of the window of each length; null past the end."""
+    def key(tag: int, places: list[int]) -> Column:
+        return F.when(F.col(f"h{places[-1]}").isNotNull(), F.xxhash64(F.lit(tag), *[f"h{k}" for k in places]))
 
-def _hashed(frame: DataFrame, words: str) -> DataFrame:
-    return frame.withColumn("h", F.transform(words, lambda w: F.xxhash64(w)))
+    return F.array(*[key(m, [k for k in range(SPAN) if mask[k] == "1"]) for m, mask in enumerate(MASKS)],
+                   *[key(-n, list(range(n))) for n in lengths])
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -77,24 +87,19 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
         F.col("item").isNotNull() & (F.size("words") > 0))
     items = saved(items.withColumn("total", F.size("words")), "decontamination-items")
     lengths = sorted(r["total"] for r in items.where(F.col("total") < SPAN).select("total").distinct().collect())
-    seeds = _hashed(items, "words").select("item", "total", F.posexplode(_seeds("words")).alias("k", "seed")).select(
-        "item", "total", F.floor(F.col("k") / len(MASKS)).cast("int").alias("from"), "seed").distinct()
-    if lengths:
-        whole = F.coalesce(*[F.when(F.col("total") == n, F.get(_windows("words", [n]), F.lit(0))["seed"]) for n in lengths])
-        short = _hashed(items.where(F.col("total") < SPAN), "words").select(
-            "item", "total", F.lit(0).alias("from"), whole.alias("seed"))
-        seeds = seeds.unionByName(short)
+    # A window counts only as the key of a whole item.
+    of = F.array(*[F.col("total")] * len(MASKS), *map(F.lit, lengths))
+    seeds = _positions(items, "item", "total").select(
+        "item", "total", F.col("at").alias("from"), F.posexplode(_keys(lengths)).alias("kind", "seed")).where(
+        F.col("seed").isNotNull() & (F.get(of, F.col("kind")) == F.col("total"))).drop("kind").distinct()
     seeds = saved(seeds, "decontamination-seeds")
     small = seeds.count() <= BROADCAST_ROWS
     known = F.broadcast(seeds) if small else seeds
     named = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc is not null")
-    hashed = _hashed(named.select("doc", tokens("text").alias("words")), "words")
-    tested = hashed.select("doc", F.posexplode(_seeds("words")).alias("k", "seed"))
-    if lengths:
-        tested = tested.unionByName(hashed.select("doc", F.explode(_windows("words", lengths)).alias("w")).select(
-            "doc", (F.col("w.at") * len(MASKS)).alias("k"), "w.seed"))
+    tested = _positions(named.select("doc", tokens("text").alias("words")), "doc").select(
+        "doc", "at", F.explode(_keys(lengths)).alias("seed"))
     hits = tested.join(known, "seed").select(
-        "doc", "item", "total", (F.floor(F.col("k") / len(MASKS)).cast("int") - F.col("from")).alias("diagonal")).distinct()
+        "doc", "item", "total", (F.col("at") - F.col("from")).alias("diagonal")).distinct()
     found = saved(hits.groupBy("doc").agg(F.collect_list(F.struct("item", "total", "diagonal")).alias("found")),
                   "decontamination-hits")
     # The part of the document that lies on the diagonal, and where it starts in the item.

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from llm import ngram_jaccard, substring_dedup
+from llm import decontamination, ngram_jaccard, substring_dedup
 from llm.common import components
 from llm.decontamination import contamination
 from llm.ngram_jaccard import jaccard_components
@@ -205,6 +205,40 @@ def test_decontamination_by_short_items_and_unspaced_scripts(spark):
         1: (1, 0, 3), 3: (1, 1, 8), 5: (1, 2, 5), 7: (1, 3, 16), 8: (1, 5, 1), 10: (1, 6, 9), 12: (2, 0, 3)}
 
 
+def test_decontamination_lists_seeds_in_one_pass_without_lambdas(spark, monkeypatch):
+    plans = {}
+
+    def noted(frame, name, save=decontamination.saved):
+        plans[name] = frame._jdf.queryExecution().optimizedPlan().toString()
+        return save(frame, name)
+
+    monkeypatch.setattr(decontamination, "saved", noted)
+    benchmark = spark.createDataFrame([(0, "who wrote hamlet"), (1, " ".join(f"v{k}" for k in range(20)))], "item_id long, text string")
+    found = contamination(frame(spark, [(1, "they ask who wrote hamlet"), (2, "nobody")]), benchmark).where("overlaps > 0")
+    assert [r["doc_id"] for r in found.collect()] == [1]
+    plan = plans["decontamination-hits"]
+    assert plan.count("split(") == 1  # texts are split once, for seeds and for short items
+    seeds = [line for line in plan.split("\n") if "xxhash64(0," in line]
+    assert len(seeds) == 1 and "xxhash64(-3," in seeds[0] and "lambdafunction" not in seeds[0]  # generated code
+
+
+@pytest.mark.parametrize("piece, rows", [(256, 500_000), (4, 500_000), (256, 0)])
+def test_decontamination_at_every_position(spark, monkeypatch, piece, rows):
+    """An item is found wherever it starts, also across the ends of pieces; a passage one word short of the least isn't."""
+    monkeypatch.setattr(decontamination, "PIECE", piece)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", rows)
+    long, short, nine = ([f"{c}{k}" for k in range(n)] for c, n in (("l", 14), ("s", 3), ("n", 9)))
+    items = [(0, " ".join(long)), (1, " ".join(short)), (2, " ".join(nine)), (3, "single"), (4, None)]
+    docs, want = [], set()
+    for at in [*range(0, 12), *range(240, 270), *range(505, 515)]:
+        for item, words in enumerate((long, short, nine, ["single"], long[:12], short[:2], nine[:8])):
+            docs.append((len(docs), " ".join([f"x{k}" for k in range(at)] + words + ["y"] * (at % 3))))
+            if item < 4:
+                want.add((docs[-1][0], item, at, len(words), len(words)))
+    found = decontamination.find_overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert set(map(tuple, found.collect())) == want
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], TYPE)
     benchmark = spark.createDataFrame([], "item_id long, text string")
